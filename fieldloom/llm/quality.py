@@ -7,7 +7,7 @@ taken, which samples k documents without replacement in proportion to their weig
 
 k is the share of documents that are to stay times their number. Unless given, the share is read off the labelled
 rows: the largest share that still keeps `keep_good` of the good ones, carried over to all documents by a count
-of those at or above that log weight. The k-th key is found by counting keys by their leading bits in a fixed
+of those at or above that log weight less a margin, as noise of less than -`margin` is rare (2 in 10^9). The k-th key is found by counting keys by their leading bits in a fixed
 number of passes; nothing is sorted whole and no key is collected.
 
 Defined results: a null or empty text has no n-grams and log weight 0. Labels without a document, null labels and
@@ -134,7 +134,7 @@ def _kth_largest(keys: DataFrame, k: int) -> int:
     return low
 
 
-def sample(weighted: DataFrame, share: float | None = None, keep_good: float = 0.995) -> DataFrame:
+def sample(weighted: DataFrame, share: float | None = None, keep_good: float = 0.998, margin: float = 3.0) -> DataFrame:
     """The rows of a stored `weights` table that are taken, with __gumbel_key, by Gumbel top-k."""
     u = (F.shiftrightunsigned("__draw", 11).cast("double") + 0.5) / float(1 << 53)
     rows = weighted.withColumn("__gumbel_key", F.col("__log_weight") - F.log(-F.log(u)))
@@ -143,7 +143,7 @@ def sample(weighted: DataFrame, share: float | None = None, keep_good: float = 0
     n = rows.count()
     if share is None:
         least = rows.filter("__good = 1").agg(F.percentile("__log_weight", 1 - keep_good)).first()[0]
-        k = n if least is None else rows.filter(F.col("__log_weight") >= F.lit(min(least, 0.0))).count()
+        k = n if least is None else rows.filter(F.col("__log_weight") >= F.lit(min(least, 0.0) - margin)).count()
     else:
         k = round(share * n)
     if k <= 0:

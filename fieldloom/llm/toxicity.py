@@ -6,7 +6,8 @@ so that pairs such as an insult next to a mention of a group carry weight that t
 long text does not gain by its length.
 
 The model is fitted on the driver by mini-batch AdaGrad on a sample of labelled rows bounded by `max_rows` (of
-the labelled ids, those with the smallest hashes; default 20,000). Terms in fewer than `min_rows` of these rows are left out.
+the labelled ids, those with the smallest hashes; default 20,000). Terms in fewer than `min_rows` of these rows, and terms whose share of
+positive rows may be due to chance, are left out.
 Scoring runs over all rows and whole texts.
 
 Defined results: a null or empty text scores by the bias alone. Labels that are null or have no text are passed over; of
@@ -55,13 +56,17 @@ class Terms:
 
 
 class FactorizationMachine:
-    """Logistic FM on binary features, rows given as arrays of feature numbers."""
+    """Logistic FM; rows are arrays of term numbers.
 
-    def __init__(self, dims: int = DIMS, factors: int = 8, rate: float = 0.1, l2: float = 1e-5, epochs: int = 6, min_rows: int = 5, seed: int = 7):
-        self.dims, self.k, self.rate, self.l2, self.epochs, self.min_rows = dims, factors, rate, l2, epochs, min_rows
+    A term's value is how far its share of positive rows is from chance: the excess of its absolute z-score over
+    `least_z`, so that terms which could owe their share to chance are left out and small samples suffice.
+    """
+
+    def __init__(self, dims: int = DIMS, factors: int = 8, rate: float = 0.2, l2: float = 1e-4, epochs: int = 12, min_rows: int = 3, least_z: float = 3.0, seed: int = 7):
+        self.dims, self.k, self.rate, self.l2, self.epochs, self.min_rows, self.least_z = dims, factors, rate, l2, epochs, min_rows, least_z
         self.rng = np.random.default_rng(seed)
-        self.bias, self.at = 0.0, np.full(dims, -1, dtype=np.int64)
-        self.w, self.v = np.zeros(1), np.zeros((1, factors))
+        self.bias, self.at = 0.0, np.full(dims, -1, dtype=np.int32)
+        self.x, self.w, self.v = np.zeros(0), np.zeros(0), np.zeros((0, factors))
 
     def known(self, row: np.ndarray) -> np.ndarray:
         at = self.at[row]
@@ -72,23 +77,28 @@ class FactorizationMachine:
         self.bias = float(np.log(share / (1 - share)))
         if not len(y) or y.min() == y.max():
             return self
-        n = np.bincount(np.concatenate(rows), minlength=self.dims)
-        kept = np.flatnonzero(n >= self.min_rows)
+        everything = np.concatenate(rows)
+        n = np.bincount(everything, minlength=self.dims)
+        good = np.bincount(everything, weights=np.repeat(y, [len(r) for r in rows]), minlength=self.dims)
+        z = np.abs(good - n * share) / np.sqrt(n * share * (1 - share) + 1)
+        kept = np.flatnonzero((n >= self.min_rows) & (z > self.least_z))
         self.at[kept] = np.arange(len(kept))
-        self.w, self.v = np.zeros(len(kept) + 1), self.rng.normal(0, 0.01, (len(kept) + 1, self.k))
+        self.x = np.minimum(z[kept] - self.least_z, 5.0) / 5.0
+        self.w, self.v = np.zeros(len(kept)), self.rng.normal(0, 0.01, (len(kept), self.k))
         rows = [self.known(r) for r in rows]
-        gw, gv, gb = np.full(len(self.w), 1e-3), np.full(self.v.shape, 1e-3), 1.0
+        gw, gv, gb = np.full(self.w.shape, 1e-3), np.full(self.v.shape, 1e-3), 1.0
         for _ in range(self.epochs):
             order = self.rng.permutation(len(rows))
-            for at in range(0, len(order), 128):
-                part = order[at : at + 128]
-                idx, size = np.concatenate([rows[i] for i in part]), np.array([max(1, len(rows[i])) for i in part])
-                of = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+            for start in range(0, len(order), 128):
+                part = order[start : start + 128]
+                sizes = [len(rows[i]) for i in part]
+                idx, of = np.concatenate([rows[i] for i in part]), np.repeat(np.arange(len(part)), sizes)
+                x, size = self.x[idx], np.maximum(1, sizes)
                 p, sums = self._forward(idx, of, size)
                 g = (p - y[part]) / len(part)
                 used, where = np.unique(idx, return_inverse=True)
-                dw = np.bincount(where, weights=g[of], minlength=len(used)) + self.l2 * self.w[used]
-                dv_rows = (g / size)[of, None] * (sums[of] - self.v[idx])
+                dw = np.bincount(where, weights=g[of] * x, minlength=len(used)) + self.l2 * self.w[used]
+                dv_rows = ((g / size)[of] * x)[:, None] * (sums[of] - self.v[idx] * x[:, None])
                 dv = np.stack([np.bincount(where, weights=dv_rows[:, f], minlength=len(used)) for f in range(self.k)], axis=1) + self.l2 * self.v[used]
                 gw[used] += dw**2
                 gv[used] += dv**2
@@ -99,18 +109,16 @@ class FactorizationMachine:
         return self
 
     def _forward(self, idx: np.ndarray, of: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, v = len(size), self.v[idx]
+        n, x = len(size), self.x[idx]
+        v = self.v[idx] * x[:, None]
         sums = np.stack([np.bincount(of, weights=v[:, f], minlength=n) for f in range(self.k)], axis=1)
         squares = np.bincount(of, weights=(v**2).sum(1), minlength=n)
-        z = self.bias + np.bincount(of, weights=self.w[idx], minlength=n) + ((sums**2).sum(1) - squares) / (2 * size)
+        z = self.bias + np.bincount(of, weights=self.w[idx] * x, minlength=n) + ((sums**2).sum(1) - squares) / (2 * size)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), sums
 
     def score(self, row: np.ndarray) -> float:
         idx = self.known(row)
-        v = self.v[idx]
-        s = v.sum(0)
-        z = self.bias + self.w[idx].sum() + ((s * s).sum() - (v * v).sum()) / (2 * max(1, len(idx)))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(self._forward(idx, np.zeros(len(idx), dtype=np.int64), np.array([max(1, len(idx))]))[0][0])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
