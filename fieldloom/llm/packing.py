@@ -6,8 +6,8 @@ adds the base to the offsets, which numbers all tokens of the corpus, and cuts t
 sequence length; a document that crosses a boundary gives a record on each side. No text or token is shuffled.
 The order of the corpus is that of the written pass-one table, which does not change when a task is run again.
 
-Encoding is exact but does each distinct word once per worker while it stays in a bounded cache: the tokenizer's
-pre-tokens never hold white space, so a text's ids are the ids of its blank-separated words, one after the other.
+Encoding is exact, but each distinct pre-token is encoded once per worker while it stays in a bounded cache: a text's
+ids are those of its pre-tokens, one after the other.
 
 Defined results: a null or empty text is a document of the end token only. Repeated rows and null ids are packed
 as documents of their own. An empty table gives no pieces. Other columns are ignored.
@@ -29,45 +29,86 @@ from fieldloom.llm.common import stored
 
 #: The bases are broadcast up to so many tasks of pass one (16 bytes each), and joined by a shuffle beyond.
 MOST_TASKS = 1_000_000
-#: Separators which Python's str.split takes for white space and the tokenizer's patterns do not.
-NOT_BLANK = re.compile("[\x1c-\x1f]")
+#: Texts of these characters only are cut, lower-cased and composed alike by Python and the tokenizer's library.
+PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
+#: The tokenizer's pre-tokens in lower-case plain text: clitics, letters, single digits, runs of anything else.
+PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+WORD_END = "</w>"
 
 
-class WordEncoder:
-    """ids of texts as little-endian unsigned 16 or 32-bit bytes, by a tokenizer whose pre-tokens hold no white space."""
+def byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return "".join(chr(b) if b in prints else chr(next(spare)) for b in range(256))
+
 
-    def __init__(self, path: str, cache_words: int = 200_000):
-        from tokenizers import Tokenizer
+LETTERS = byte_letters()
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
+
+class WordEncoder:
+    """ids of texts as little-endian unsigned 16 or 32-bit bytes, by a byte-level tokenizer with word ends.
+
+    Plain texts are lower-cased and cut into pre-tokens here, which are looked up in a bounded cache; new ones go
+    through the tokenizer's merges together, one call for many, and the ids are told apart by the word ends. Any
+    other text goes through the whole tokenizer. The ids are those of encoding each text whole.
+    """
+
+    def __init__(self, path: str, cache_words: int = 300_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.merges.encode_special_tokens = True
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.dtype("<u2") if len(vocabulary) <= 65536 else np.dtype("<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.parts: dict[str, bytes] = {}
         self.limit = cache_words
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > self.limit:
-            self.cache.clear()
-        todo = list(words)
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, dtype=self.width).tobytes()
+    def _merge(self, parts: list[str]) -> None:
+        line = " ".join([p if p.isascii() else "".join([LETTERS[b] for b in p.encode()]) for p in parts])
+        ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.width)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width.itemsize
+        if len(cuts) != len(parts):
+            raise ValueError("the tokenizer's words have no ends")
+        data, start = ids.tobytes(), 0
+        for p, end in zip(parts, cuts.tolist(), strict=True):
+            self.parts[p] = data[start:end]
+            start = end
+
+    def learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 4096):
+            self._merge(new[at : at + 4096])
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Texts are taken in groups, so that new pre-tokens are learnt together; a group holds one text at least."""
+        out: list[bytes] = []
+        parts, at = self.parts, 0
+        while at < len(texts):
+            cut, size, seen = [], 0, set()
+            while at < len(texts) and (not cut or size < 1 << 18):
+                text = texts[at]
+                cut.append(PRE_TOKEN.findall(text.lower()) if PLAIN.fullmatch(text) else text)
+                if isinstance(cut[-1], list):
+                    seen.update(cut[-1])
+                size += len(text)
+                at += 1
+            new = seen.difference(parts)
+            if len(parts) + len(new) > self.limit:
+                parts.clear()
+                new = seen
+            self.learn(list(new))
+            find = parts.__getitem__
+            out += [b"".join(map(find, x)) if isinstance(x, list) else self.encode_whole(x) for x in cut]
+        return out
 
     def encode(self, text: str) -> bytes:
-        if NOT_BLANK.search(text):
-            return self.encode_whole(text)
-        words = text.split()
-        try:
-            return b"".join([self.cache[w] for w in words])
-        except KeyError:
-            self.learn(set(words) - self.cache.keys())
-            if not all(w in self.cache for w in words):  # the cache was cleared
-                self.learn(set(words))
-            return b"".join([self.cache[w] for w in words])
+        return self.encode_many([text])[0]
 
 
 def tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,7 +118,7 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
         enc, part, at = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=enc.width).tobytes()
         for batch in batches:
-            ids = [enc.encode(t.as_py() or "") + end for t in batch.column(1)]
+            ids = [x + end for x in enc.encode_many([t or "" for t in batch.column(1).to_pylist()])]
             n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // enc.width.itemsize
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
