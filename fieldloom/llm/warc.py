@@ -113,7 +113,7 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     told = _revisits(keys, revisit_min_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "n", "hex", "refers_to", F.lit(0).alias("kind"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"), F.octet_length(text_of(html_col)).cast("bigint").alias("n"), F.sha1(text_of(html_col)).alias("hex"))
     rows = told.unionByName(rows.withColumn("refers_to", F.lit(None).cast(rows.schema["page_id"].dataType)).withColumn("kind", F.lit(1)))
-    placed = rows.withColumn("shard", shard_of("page_id", "hex")).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "hex", "kind", "url")
+    placed = rows.withColumn("shard", shard_of("page_id", "hex")).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "hex", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(path)
