@@ -230,8 +230,8 @@ def zscore_frozen(spark: SparkSession, folder: str) -> DataFrame:
     return fe.zscore(obs, stats, "league", ["qty"]).select("entity", "match", r6(c("qty"), "qty"))
 
 
-#: Means of hundredths are short decimals, which six digits would cut in the middle of a tie.
-DIGITS = {"disc": 9, "tax": 9}
+#: Means of whole numbers and hundredths by tenths are short decimals, which six digits would cut in the middle of a tie.
+DIGITS = {"qty": 9, "disc": 9, "tax": 9, "returned": 9}
 
 
 @query(f"with {OBS} select entity, {', '.join(f'round(sum(mass * {f}) / sum(mass), {DIGITS.get(f, 6)}) {f}' for f in FEATURES)} from o group by entity")
