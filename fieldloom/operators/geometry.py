@@ -236,7 +236,8 @@ def sinkhorn_pairs(clouds: DataFrame, entity: str, kind: str = "euclidean", know
     """
     packed = clouds.groupBy(F.col(entity).alias("e")).agg(F.collect_list(F.struct(F.col("mass").cast("double").alias("m"), F.col("x").cast("array<double>").alias("x"))).alias("rows")).withColumn("g", F.pmod(F.xxhash64("e"), F.lit(groups)))
     a = packed.select(F.col("e").alias("a"), F.col("rows").alias("ra"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    pairs = a.join(packed.select(F.col("e").alias("b"), F.col("rows").alias("rb"), "g"), "g").filter("a < b")
+    # a fixed number of partitions: the few rows are light to send and heavy to work on, so they are not to be put together
+    pairs = a.repartition(4 * groups, "g").join(packed.select(F.col("e").alias("b"), F.col("rows").alias("rb"), "g").repartition(4 * groups, "g"), "g").filter("a < b")
     if known is not None:
         pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
     kind_sql = clouds.schema[entity].dataType.simpleString()

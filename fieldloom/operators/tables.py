@@ -113,8 +113,12 @@ def matchday_subset(matches: DataFrame, pct: float, match: str = "match_id", wee
     share = F.lit(min(max(pct, 0.0), 100.0) / 100)
     known = F.when(F.col(week) != 0, F.col(week))
     facts = matches.agg(F.count_distinct(known).alias("weeks"), F.count(known).alias("with_week"), F.count("*").alias("n"))
-    rows = matches.crossJoin(F.broadcast(facts)).withColumn("__k", known)
-    rows = rows.withColumn("__w", F.dense_rank().over(Window.orderBy(F.col("__k").asc_nulls_last()))).withColumn("__d", F.row_number().over(Window.orderBy(F.coalesce(date, F.lit("")), match)))
+    # ranks over the distinct weeks and dates, few rows, and within a date; no task sorts all matches
+    weeks = matches.select(known.alias("__k")).filter("__k is not null").distinct().withColumn("__w", F.row_number().over(Window.orderBy("__k")))
+    day = F.coalesce(F.col(date).cast("string"), F.lit(""))
+    days = matches.groupBy(day.alias("__day")).agg(F.count("*").alias("__c")).withColumn("__before", F.sum("__c").over(Window.orderBy("__day")) - F.col("__c")).drop("__c")
+    rows = matches.withColumn("__k", known).withColumn("__day", day).join(weeks, "__k", "left").join(days, "__day").crossJoin(F.broadcast(facts))
+    rows = rows.withColumn("__d", F.col("__before") + F.row_number().over(Window.partitionBy("__day").orderBy(match)))
     by_week = (F.col("weeks") > 1) & (F.col("with_week") * 2 >= F.col("n"))
     kept = F.when(by_week, F.col("__k").isNotNull() & (F.col("__w") <= F.greatest(F.lit(1), F.ceil(share * F.col("weeks"))))).otherwise(F.col("__d") <= F.greatest(F.lit(1), F.ceil(share * F.col("n"))))
     return rows.filter(kept).select(*matches.columns)

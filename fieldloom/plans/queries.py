@@ -178,13 +178,19 @@ def index_orders(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("o_orderkey", c("entity_index").cast("bigint").alias("order_index"))
 
 
-@query("""with m as (select cast(o_orderdate as date) d, o_orderkey k, (month(o_orderdate) % 4) w from orders where year(o_orderdate) = 1996 and month(o_orderdate) <= 3),
-  x as (select *, nullif(w, 0) v from m), r as (select *, dense_rank() over (order by v nulls last) g from x), t as (select count(distinct v) n from x) select k, w::bigint w from r, t where v is not null and g <= greatest(1, ceil(0.5 * n))""")
+@query("""with x as (select o_orderkey k, nullif(month(o_orderdate) % 4, 0) v from orders), r as (select *, dense_rank() over (order by v nulls last) g from x), t as (select count(distinct v) n from x)
+  select k, v::bigint w from r, t where v is not null and g <= greatest(1, ceil(0.5 * n))""")
 def matchday_half(spark: SparkSession, folder: str) -> DataFrame:
-    m = table(spark, folder, "orders").filter("year(o_orderdate) = 1996 and month(o_orderdate) <= 3").select(c("o_orderkey").alias("match_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("match_date"), (F.month("o_orderdate") % 4).alias("match_week"))
+    m = table(spark, folder, "orders").select(c("o_orderkey").alias("match_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("match_date"), (F.month("o_orderdate") % 4).alias("match_week"))
     return tb.matchday_subset(m, 50).select(c("match_id").alias("k"), c("match_week").cast("bigint").alias("w"))
 
 
+@query("""with r as (select o_orderkey k, row_number() over (order by cast(o_orderdate as date), o_orderkey) n, count(*) over () total from orders) select k from r where n <= ceil(0.3 * total)""")
+def first_matches(spark: SparkSession, folder: str) -> DataFrame:
+    m = table(spark, folder, "orders").select(c("o_orderkey").alias("match_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("match_date"), F.lit(None).cast("int").alias("match_week"))
+    return tb.matchday_subset(m, 30).select(c("match_id").alias("k"))
+
+
 # --- features ---------------------------------------------------------------------------------------------------------
 
 
@@ -499,11 +505,11 @@ def edge_optimum(spark: SparkSession, folder: str) -> DataFrame:
     return sw.optimum(_cells(spark, folder), "yr", "pr").withColumn("z", F.round("z", 4))
 
 
-@query(f"""with {METRICS}, p as (select pr, max("value") filter (entity = 'F') f, max("value") filter (entity = 'O') o, max("value") filter (entity = 'P') p from l where metric = 'mrr' and yr = '1996' group by pr)
-  select pr, round(f, 4) "F", round(o, 4) "O", round(p, 4) "P", case when greatest(f, o, p) <> least(f, o, p) then case greatest(f, o, p) when f then 'F' when o then 'O' else 'P' end end best from p""")
+@query(f"""with {METRICS}, p as (select combination, max("value") filter (entity = 'F') f, max("value") filter (entity = 'O') o, max("value") filter (entity = 'P') p from l where metric = 'mrr' group by combination)
+  select combination, round(f, 4) "F", round(o, 4) "O", round(p, 4) "P", case when greatest(f, o, p) <> least(f, o, p) then case greatest(f, o, p) when f then 'F' when o then 'O' else 'P' end end best from p""")
 def comparison_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    m = _metrics(spark, folder).filter("metric = 'mrr' and yr = '1996'")
-    return sw.comparison(m, "pr", "entity", ["F", "O", "P"]).select("pr", *[F.round(k, 4).alias(k) for k in "FOP"], "best")
+    m = _metrics(spark, folder).filter("metric = 'mrr'")
+    return sw.comparison(m, "combination", "entity", ["F", "O", "P"]).select("combination", *[F.round(k, 4).alias(k) for k in "FOP"], "best")
 
 
 # --- operators without SQL: held against numpy in the tests --------------------------------------------------------------
@@ -540,8 +546,13 @@ def ease_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query()
-def sinkhorn_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return geo.kernel_from_costs(geo.sinkhorn_pairs(_z(spark, folder, None).filter("league = 'ASIA'").select((c("match") % 100).alias("month"), "mass", F.array(*FEATURES).alias("x")), "month"))
+def sinkhorn_nations(spark: SparkSession, folder: str) -> DataFrame:
+    """Transport kernel between nations; a nation's cloud has one observation per month, made from all its suppliers."""
+    nation = table(spark, folder, "supplier").select(c("s_suppkey").alias("entity"), c("s_nationkey").alias("nation"))
+    w = c("mass")
+    months = observations(spark, folder).join(nation, "entity").groupBy("nation", "match").agg(*[(F.sum(w * c(f)) / F.sum(w)).alias(f) for f in FEATURES], F.sum(w).alias("mass"))
+    z = fe.zscore(months, fe.norm_stats(months, None, FEATURES), None, FEATURES)
+    return geo.kernel_from_costs(geo.sinkhorn_pairs(z.select("nation", "mass", F.array(*FEATURES).alias("x")), "nation"))
 
 
 @query()
