@@ -273,22 +273,39 @@ def nn_elastic_net(a: np.ndarray, y: np.ndarray, beta: float, l1: float, max_ite
     return w
 
 
-def slim_weights(obs: DataFrame, key: str, x: str, k: int, beta: float, l1: float, kind: str = "euclidean") -> DataFrame:
-    """(r, s, w): each observation rebuilt from its k nearest ones with positive weights; one regression per row of the job."""
-    near = knn(obs, obs, k, kind, key, x)
-    vectors = obs.select(F.col(key).alias("s"), F.col(x).cast("array<double>").alias("v"))
-    own = vectors.select(F.col("s").alias("r"), F.col("v").alias("y"))
-    packed = near.select(F.col(key).alias("r"), F.col("neighbour").alias("s")).join(vectors, "s").groupBy("r").agg(F.array_sort(F.collect_list(F.struct("s", "v"))).alias("n")).join(own, "r")
-    kind_sql = obs.schema[key].dataType.simpleString()
+def nn_l1_net(a: np.ndarray, y: np.ndarray, beta: float, l1: float, start: np.ndarray | None = None, passes: int = 8, least: float = 1e-6, tol: float = 1e-4) -> np.ndarray:
+    """As nn_elastic_net, the residual in the absolute norm: squares reweighted by the last pass's residuals, held at `least`."""
+    scale, w = np.ones(len(y)), start
+    for _ in range(passes):
+        last, w = w, nn_elastic_net(a * scale[:, None], y * scale, beta, l1, start=w)
+        if last is not None and (not len(w) or np.abs(w - last).max() < tol):
+            break
+        scale = np.maximum(np.abs(y - a @ w), least) ** -0.5
+    return w
+
+
+def slim_weights(obs: DataFrame, key: str, x: str, k: int, beta: float, l1: float, kind: str = "euclidean", base: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+    """(r, s, w): each observation rebuilt from its k nearest ones with positive weights; one regression per row of the job.
+
+    Neighbours come from `base` (obs itself unless given); the residual is absolute for the manhattan distance. `start` (r, s, w)
+    are earlier weights to begin from; neighbours that it lacks begin at 0.
+    """
+    base = obs if base is None else base
+    near = knn(base, obs, k, kind, key, x).select(F.col(key).alias("r"), F.col("neighbour").alias("s"))
+    near = near.withColumn("w0", F.lit(0.0)) if start is None else near.join(start.select("r", "s", F.col("w").alias("w0")), ["r", "s"], "left").na.fill(0.0, ["w0"])
+    vectors = base.select(F.col(key).alias("s"), F.col(x).cast("array<double>").alias("v"))
+    own = obs.select(F.col(key).alias("r"), F.col(x).cast("array<double>").alias("y"))
+    packed = near.join(vectors, "s").groupBy("r").agg(F.array_sort(F.collect_list(F.struct("s", "v", "w0"))).alias("n")).join(own, "r")
+    kind_sql, solve, warm = obs.schema[key].dataType.simpleString(), nn_l1_net if kind == "manhattan" else nn_elastic_net, start is not None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r, n, y in zip(frame["r"], frame["n"], frame["y"], strict=True):
                 ids = np.array([q["s"] for q in n])
-                w = nn_elastic_net(np.stack([q["v"] for q in n]).T, np.asarray(y), beta, l1)
+                w = solve(np.stack([q["v"] for q in n]).T, np.asarray(y), beta, l1, start=np.array([q["w0"] for q in n]) if warm else None)
                 yield pd.DataFrame({"r": np.full((w > 0).sum(), r), "s": ids[w > 0], "w": w[w > 0]})
 
-    return packed.mapInPandas(run, f"r {kind_sql}, s {kind_sql}, w double")
+    return packed.select("r", "n", "y").mapInPandas(run, f"r {kind_sql}, s {kind_sql}, w double")
 
 
 def aggregate_weights(w: DataFrame, obs: DataFrame, key: str, entity: str, mass: str, symmetric: bool = True) -> DataFrame:

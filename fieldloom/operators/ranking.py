@@ -77,3 +77,43 @@ def strengths(long: DataFrame, entity: str, n: int, oriented: Column) -> DataFra
     side = F.when(F.col("best") <= cut, "strength").when(F.col("worst") <= cut, "weakness")
     rank = F.when(F.col("best") <= cut, F.col("best")).otherwise(F.col("worst")).cast("bigint")
     return rows.withColumn("side", side).withColumn("rank", rank).filter("side is not null").select(entity, "side", "rank", "feature", "v")
+
+
+def divergence(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    """One row over two score tables (a, b, score): max_abs, relative (to the largest absolute score of the second) and the mean share of common top k."""
+    x, y = a.select("a", "b", F.col("score").alias("x")), b.select("a", "b", F.col("score").alias("y"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    both = x.join(y, ["a", "b"], "full_outer").agg(F.max(F.abs(zero(F.col("x")) - zero(F.col("y")))).alias("max_abs"), F.max(F.abs(zero(F.col("y")))).alias("top"))
+    # common / jaccard is the size of the union, so that this is the mean size of the two lists
+    tops = compare_rankings(top_k(a, k), top_k(b, k)).withColumn("of", (F.col("common") / F.nullif(F.col("jaccard"), F.lit(0.0)) + F.col("common")) / 2)
+    overlap = tops.agg(F.avg(F.when(F.col("common") == 0, 0.0).otherwise(F.col("common") / F.col("of"))).alias("overlap"))
+    return both.crossJoin(overlap).select("max_abs", (F.col("max_abs") / F.nullif(F.col("top"), F.lit(0.0))).alias("relative"), "overlap")
+
+
+def top_by_volume(df: DataFrame, volume: str, name: str, n: int = 6) -> DataFrame:
+    return df.orderBy(F.desc(volume), F.desc(name)).limit(n)
+
+
+def model_leagues(obs: DataFrame, league: str) -> DataFrame:
+    """One row: leagues, and whether there is a single one, where normalising by league and over all is the same."""
+    return obs.agg(F.count_distinct(league).alias("leagues")).withColumn("single", F.col("leagues") <= 1)
+
+
+def recommend(scores: DataFrame, long: DataFrame, profile: DataFrame, ids: DataFrame, k: int = 10, n: int = 4) -> DataFrame:
+    """(a, rank, b, score, traits, phases_a, phases_b): the k best (1 to 50) of the asked entities, with what both share and their phases.
+
+    long: (entity, feature, z); profile: (entity, phase, pct); ids: (a).
+    """
+    top = top_k(scores.join(ids.select("a").distinct(), "a", "left_semi"), min(max(k, 1), 50))
+    shared = shared_traits(top, long, "entity", n)
+    told = shared.groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda r: r["feature"]).alias("traits"))
+    phases = profile.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("phase", "pct"))).alias("phases"))
+    of = lambda side: phases.select(F.col("entity").alias(side), F.col("phases").alias(f"phases_{side}"))
+    return top.join(told, ["a", "b"], "left").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "rank", "b", "score", "traits", "phases_a", "phases_b")
+
+
+def compare_positions(shares: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, position, share_a, share_b): the positions of either of two entities. shares: (entity, position, share), whole percents."""
+    one = lambda side: pairs.select("a", "b").distinct().join(shares.select(F.col("entity").alias(side), "position", F.col("share").alias(f"share_{side}")), side)
+    both = one("a").join(one("b"), ["a", "b", "position"], "full_outer").na.fill(0, ["share_a", "share_b"])
+    return both.filter((F.col("share_a") > 0) | (F.col("share_b") > 0)).select("a", "b", "position", "share_a", "share_b")
