@@ -7,7 +7,9 @@ number of a word; for documents that are hit, word numbers are mapped to offsets
 
 The automaton is built once in each Python worker. Its size is bounded: windows are taken in blocks of at most
 `max_window_words` words in total, so that a larger benchmark means more scans, each over all rows, whose hits
-are joined row by row in the same pass, with no shuffle.
+are joined row by row in the same pass, with no shuffle. What is sent to the executors is bounded too: a benchmark of more
+than `max_benchmark_mb` is dealt by hash into parts of about that size, each part has a pass of its own, and the passes hand
+on the hits so far in a written table.
 
 Defined results: a null or empty text has no words. Items without words or of null text have no windows. Items
 of null id mark words but are not listed. Repeated items count once. Empty tables give no rows or no hits.
@@ -17,9 +19,11 @@ they have the name of a result column; those are replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import LOWER, UPPER
+from fieldloom.llm.common import LOWER, UPPER, stored
 
 #: bytes.translate table: A-Z to a-z; ASCII other than letters and digits to a blank; UTF-8 bytes from 0x80 on stay.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b) in LOWER + "0123456789" else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
@@ -104,42 +108,61 @@ def blocks_of(items: list[tuple[str | None, str | None]], size: int, max_window_
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, max_window_words: int = 2_000_000, max_benchmark_mb: int = 256) -> DataFrame:
     """docs with n_words, n_hit, item_ids (those with windows that occur) and hit_spans (offsets in the text).
 
-    The benchmark is the stated query set; its size is checked before it is sent to the executors as text.
+    The benchmark is the stated query set; its size is checked before it is sent to the executors as text, in parts if need be.
     """
-    spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()
     mb = (bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0) / 1e6
-    if mb > max_benchmark_mb:
-        raise ValueError(f"the benchmark has {mb:.0f} MB of text; call mark() on parts of at most {max_benchmark_mb} MB")
-    sent = spark.sparkContext.broadcast([(r.i, r.t) for r in bench.collect()])
+    parts = max(1, math.ceil(mb / max_benchmark_mb))
+    if parts > 1:
+        bench = stored(bench, "benchmark")
     docs = docs.drop(*OUT.names)
+    for part in range(parts):
+        own = bench if parts == 1 else bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
+        docs = _pass(docs, own, text_col, size, max_window_words, first=part == 0, last=part == parts - 1)
+        if part < parts - 1:
+            docs = stored(docs, "hits")
+    return docs
+
+
+def _pass(docs: DataFrame, bench: DataFrame, text_col: str, size: int, max_window_words: int, first: bool, last: bool) -> DataFrame:
+    """One part of the benchmark against all rows; the hits of the parts before come as columns and go on so, or as the result."""
+    sent = docs.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in bench.collect()])
     at = docs.columns.index(text_col)
+    kept = docs.schema.fields if first else docs.schema.fields[:-2]
+    more, kinds = (OUT.fields, KINDS) if last else (HELD.fields, HELD_KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = [Matcher(b) for b in blocks_of(sent.value, size, max_window_words)]
         for batch in batches:
-            rows = [hits(x.as_py(), matchers) for x in batch.column(at)]
-            more = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(KINDS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *OUT.names])
+            texts = (x.as_py() for x in batch.column(at))
+            held = repeat(([], [])) if first else zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True)
+            rows = [hits(text, matchers, ranges, items, last) for text, (ranges, items) in zip(texts, held, strict=False)]
+            new = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[f.name for f in [*kept, *more]])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *OUT.fields]))
+    return docs.mapInArrow(run, T.StructType([*kept, *more]))
 
 
+#: The hits that one pass hands to the next: word ranges and items.
+HELD = T.StructType([T.StructField("__ranges", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__items", T.ArrayType(T.StringType()))])
+HELD_KINDS = [pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
 KINDS = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
 
-def hits(text: str | None, matchers: list[Matcher]) -> tuple:
+def hits(text: str | None, matchers: list[Matcher], ranges: list, items: list[str], last: bool) -> tuple:
+    """A row's hits, with those of earlier passes; as OUT has them, or as HELD has them."""
     words = words_of(text)
-    found, items = [], set()
+    found, named, scans = [(a, b) for a, b in ranges], set(items), int(bool(ranges))
     for m in matchers:
-        ranges, ids = m.scan(words)
-        found += ranges
-        items |= ids
-    if not found:
-        return len(words), 0, [], []
-    ranges = merged(found) if len(matchers) > 1 else found
-    at = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    return len(words), sum(b - a for a, b in ranges), sorted(items), [{"start": at[a][0], "end": at[b - 1][1]} for a, b in ranges]
+        here, ids = m.scan(words)
+        found += here
+        named |= ids
+        scans += bool(here)
+    joined = merged(found) if scans > 1 else found
+    if not last:
+        return joined, sorted(named)
+    at = [(m.start(), m.end()) for m in WORD.finditer(text)] if joined else []
+    return len(words), sum(b - a for a, b in joined), sorted(named), [{"start": at[a][0], "end": at[b - 1][1]} for a, b in joined]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
