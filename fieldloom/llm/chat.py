@@ -9,7 +9,11 @@ Template: `<s>`, then turn after turn: `[INST] text [/INST]` for user, ` text </
 gets a backslash before it, in front of those that it has already; reading back takes one away. A control string
 of the template always follows a blank or a bracket, so none can be mistaken for the other.
 
-Conversations are read in order from sorted partitions, one at a time; memory holds one conversation.
+Conversations are read in order from sorted partitions; memory holds one conversation, or several short ones of about a
+million characters together.
+
+Encoding is exact, but the tokens and offsets of each distinct pre-token are found once per worker while they stay in a bounded
+cache: those of a rendering are those of its pre-tokens, one after the other.
 
 Defined results: a null text is empty. A null role is read back as the empty role. Rows of one conversation come in
 order of turn, then role, then text; null turns come first; repeated rows are turns of their own. Rows of null
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import text_of
+from fieldloom.llm.packing import PLAIN
 
 CONTROL = re.compile(r"(\\*)(<s>|</s>|\[/?INST\]|\[ROLE=[^\]\s]*\]|\[/ROLE\])")
 ESCAPED = re.compile(r"\\(\\*)(<s>|</s>|\[/?INST\]|\[ROLE=[^\]\s]*\]|\[/ROLE\])")
@@ -36,11 +41,11 @@ START = "<s>"
 
 
 def escape(text: str) -> str:
-    return CONTROL.sub(r"\\\1\2", text)
+    return CONTROL.sub(r"\\\1\2", text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return ESCAPED.sub(r"\1\2", text)
+    return ESCAPED.sub(r"\1\2", text) if "\\" in text else text
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -77,20 +82,47 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 class Encoder:
-    """Byte-level tokenizer with offsets that cover every character."""
+    """Byte-level tokenizer with offsets that cover every character: ids and, per token, how many characters it adds.
+
+    Parts of one character share it, so the first takes it and the others add none.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_parts: int = 300_000):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer, processors
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
-
-    def __call__(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """ids, and the tokens' starts and ends; parts of one character share it, so the first takes it."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        ends = np.maximum.accumulate(np.array([b for _, b in e.offsets], dtype=np.int64))
-        return e.ids, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.ids: dict[str, bytes] = {}
+        self.lengths: dict[str, bytes] = {}
+        self.limit = cache_parts
+
+    def whole(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        out = []
+        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
+            ends = np.maximum.accumulate(np.array([b for _, b in e.offsets], dtype=np.int64))
+            out.append((np.array(e.ids, dtype=np.int32).tobytes(), np.diff(ends, prepend=0).astype(np.int32).tobytes()))
+        return out
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and the tokens' starts and ends."""
+        if PLAIN.fullmatch(text):
+            parts = self.cut(text)
+            if new := set(parts).difference(self.ids):
+                if len(self.ids) + len(new) > self.limit:
+                    self.ids.clear(), self.lengths.clear()
+                    new = set(parts)
+                ordered = list(new)
+                for part, (ids, lengths) in zip(ordered, self.whole(ordered), strict=True):
+                    self.ids[part], self.lengths[part] = ids, lengths
+            raw = b"".join(map(self.ids.__getitem__, parts)), b"".join(map(self.lengths.__getitem__, parts))
+        else:
+            raw = self.whole([text])[0]
+        ends = np.cumsum(np.frombuffer(raw[1], dtype=np.int32), dtype=np.int64)
+        return np.frombuffer(raw[0], dtype=np.int32), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
 
 
 def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -112,20 +144,36 @@ def format_chats(conversations: DataFrame, tokenizer: str, conv_col: str = "conv
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
         each = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True))
+        rows, chars = [], 0
         for conv, own in groupby(each, key=lambda r: r[0]):
             turns = [(role, text) for _, role, text in own]
             text, spans = render(turns)
             ids, starts, ends = encode(text)
-            mask, chars = masked(starts, ends, [s for s, (role, _) in zip(spans, turns, strict=True) if role == learn])
-            row = {"conv_id": conv, "n_turns": len(turns), "formatted": text, "input_ids": ids, "loss_mask": mask.tolist(), "loss_spans": [{"start": a, "end": b} for a, b in chars]}
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([pa.field("conv_id", kind), *FIELDS]))
+            mask, learnt = masked(starts, ends, [s for s, (role, _) in zip(spans, turns, strict=True) if role == learn])
+            rows.append((conv, len(turns), text, ids, mask, learnt))
+            chars += len(text)
+            if chars > BATCH_CHARS:
+                yield batch_of(rows, kind)
+                rows, chars = [], 0
+        if rows:
+            yield batch_of(rows, kind)
 
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[rows.schema["conv_id"].dataType.simpleString()]
     sql = rows.schema["conv_id"].dataType.simpleString()
     return ordered.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {sql}, n_turns bigint, formatted string, input_ids array<int>, loss_mask array<tinyint>, loss_spans array<struct<start: bigint, end: bigint>>")
 
 
-FIELDS = [pa.field("n_turns", pa.int64()), pa.field("formatted", pa.string()), pa.field("input_ids", pa.list_(pa.int32())), pa.field("loss_mask", pa.list_(pa.int8())), pa.field("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+BATCH_CHARS = 1 << 20
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def batch_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    conv, turns, texts, ids, masks, spans = zip(*rows, strict=True)
+    at = pa.array(np.cumsum([0, *map(len, ids)]), type=pa.int32())
+    nested = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], type=pa.list_(SPAN))
+    flat = lambda parts, t: pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts), type=t))
+    columns = [pa.array(conv, type=kind), pa.array(turns, type=pa.int64()), pa.array(texts, type=pa.string()), flat(ids, pa.int32()), flat(masks, pa.int8()), nested]
+    return pa.RecordBatch.from_arrays(columns, names=["conv_id", "n_turns", "formatted", "input_ids", "loss_mask", "loss_spans"])
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:

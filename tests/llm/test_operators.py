@@ -170,6 +170,8 @@ def test_decontamination(spark, block):
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got) == Counter((i, *brute_hits(t, items)[:2], tuple(brute_hits(t, items)[2])) for i, t in rows)
     upper = next(r for r in got if r.doc_id == 100)
     assert [upper.text[s.start : s.end] for s in upper.hit_spans] == [upper.text[3:-1]]
+    parts = decontam.mark(docs, bench, max_window_words=block, max_benchmark_mb=1e-4)
+    assert sorted(map(str, parts.collect())) == sorted(map(str, got)) and parts.columns == [*docs.drop("n_hit").columns, *decontam.OUT.names]
     assert {r.doc_id for r in decontam.clean(docs_of(spark, rows), bench).collect()} == {i for i, t in rows if not brute_hits(t, items)[1]}
 
 
@@ -377,3 +379,21 @@ def test_gumbel_top_k_follows_weights(spark):
     taken = quality.sample(flat, share=0.05).groupBy(F.col("id") % 2).count().collect()
     n = {r[0]: r[1] for r in taken}
     assert n[0] + n[1] == 1000 and 2.4 < n[1] / n[0] < 3.7
+
+
+def test_cached_parts_give_the_tokens_and_offsets_of_whole_texts():
+    import random
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, rng = chat.Encoder(path, cache_parts=40), random.Random(3)
+    plain = "".join(c for c in map(chr, range(0x250)) if chat.PLAIN.fullmatch(c))
+    texts = [plain, "", "  a  b\n\n c's don't 12ab_x ", "\u4e2d\U0001f600 x\u0301", "<|endoftext|> <s>"]
+    texts += ["".join(rng.choice(plain if k % 2 else "ab 'stre.\n\xe9\xa0") for _ in range(rng.randrange(80))) for k in range(300)]
+    for text in texts:
+        want = enc.tokenizer.encode(text, add_special_tokens=False)
+        ids, starts, ends = enc(text)
+        assert ids.tolist() == want.ids
+        assert ends.tolist() == np.maximum.accumulate([b for _, b in want.offsets] or [0]).tolist()[: len(want.ids)]
+        assert starts.tolist() == [0, *ends.tolist()[:-1]][: max(1, len(want.ids))]
