@@ -90,22 +90,35 @@ class Encoder:
     def __init__(self, path: str, cache_parts: int = 300_000):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer, processors
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
+        from tokenizers import Tokenizer, pre_tokenizers, processors
+
+        self.tokenizer, self.apart = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.apart):
+            t.encode_special_tokens = True
+            t.post_processor = processors.ByteLevel(trim_offsets=False)
+        # takes pre-tokens that are already cut, a zero character between them
+        self.apart.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\0", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.ids: dict[str, bytes] = {}
         self.lengths: dict[str, bytes] = {}
         self.limit = cache_parts
 
-    def whole(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        out = []
-        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            ends = np.maximum.accumulate(np.array([b for _, b in e.offsets], dtype=np.int64))
-            out.append((np.array(e.ids, dtype=np.int32).tobytes(), np.diff(ends, prepend=0).astype(np.int32).tobytes()))
-        return out
+    def encoded(self, tokenizer, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """ids and ends of a text."""
+        e = tokenizer.encode(text, add_special_tokens=False)
+        return np.array(e.ids, dtype=np.int32), np.maximum.accumulate(np.array([b for _, b in e.offsets], dtype=np.int64))
+
+    def learn(self, parts: list[str]) -> None:
+        """One call for many pre-tokens; places tell whose a token is."""
+        ids, ends = self.encoded(self.apart, "\0".join(parts))
+        stops = np.cumsum([len(p) + 1 for p in parts]) - 1
+        cuts = np.searchsorted(ends, stops, side="right")
+        lengths = np.diff(ends, prepend=0)
+        lengths[cuts[:-1]] -= 1  # the zero character before a pre-token
+        raw, size, start = (ids.tobytes(), lengths.astype(np.int32).tobytes()), ids.itemsize, 0
+        for part, end in zip(parts, (cuts * size).tolist(), strict=True):
+            self.ids[part], self.lengths[part] = raw[0][start:end], raw[1][start:end]
+            start = end
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and the tokens' starts and ends."""
@@ -116,13 +129,13 @@ class Encoder:
                     self.ids.clear(), self.lengths.clear()
                     new = set(parts)
                 ordered = list(new)
-                for part, (ids, lengths) in zip(ordered, self.whole(ordered), strict=True):
-                    self.ids[part], self.lengths[part] = ids, lengths
-            raw = b"".join(map(self.ids.__getitem__, parts)), b"".join(map(self.lengths.__getitem__, parts))
+                for at in range(0, len(ordered), 4096):
+                    self.learn(ordered[at : at + 4096])
+            ids = np.frombuffer(b"".join(map(self.ids.__getitem__, parts)), dtype=np.int32)
+            ends = np.cumsum(np.frombuffer(b"".join(map(self.lengths.__getitem__, parts)), dtype=np.int32), dtype=np.int64)
         else:
-            raw = self.whole([text])[0]
-        ends = np.cumsum(np.frombuffer(raw[1], dtype=np.int32), dtype=np.int64)
-        return np.frombuffer(raw[0], dtype=np.int32), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+            ids, ends = self.encoded(self.tokenizer, text)
+        return ids, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
 
 
 def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
