@@ -50,3 +50,17 @@ def text_of(name: str = "text") -> Column:
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z only; other letters keep their case."""
     return F.translate(c, UPPER, LOWER)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, parts: int | None = None) -> DataFrame:
+    """rows joined with groups, which has one row per key and, in `size`, how many rows have that key; size is dropped.
+
+    Keys that hold more than one in `parts` of all rows (more than an even shuffle partition, unless given) are fewer than
+    `parts`, whatever the data, so they are broadcast and their rows stay where they are. Rows of the other keys are
+    shuffled; none of these keys is hot. Keys are not null.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = (groups.agg(F.sum(size)).first()[0] or 0) / parts
+    hot, few = groups.filter(F.col(size) > least).drop(size), groups.filter(F.col(size) <= least).drop(size)
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(others.join(few, on))

@@ -8,6 +8,8 @@
   a text that makes up a third of all rows sends one entry per task.
 * `verify` compares bytes: among the texts of a digest with several copies the smallest and the largest
   must be the same string. Digests for which they differ are grouped by digest and text instead.
+* Digests that hold a large share of the rows (`join_groups`) are looked up by broadcast, so that their rows and texts are
+  reduced where they are read and no task gets them all.
 
 Defined results: a null text is the empty text. Rows that repeat an id and a text are one document, so they
 get one decision together. Null ids lose against any id; if a group has null ids only, they stay. An empty
@@ -21,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import scratch, text_of
+from fieldloom.llm.common import join_groups, scratch, text_of
 
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "compression": "zstd"}
 
@@ -61,8 +63,8 @@ class DigestIndex:
 
     def verify(self, merged: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Digests under which different texts meet (none, unless the digest has collided)."""
-        hits = merged.filter("copies > 1").select("digest")
-        texts = self.entries(docs, id_col, text_col, text_of(text_col).alias("t")).join(hits, "digest", "left_semi")
+        hits = merged.filter("copies > 1").select("digest", "copies")
+        texts = join_groups(self.entries(docs, id_col, text_col, text_of(text_col).alias("t")), hits, ["digest"], "copies")
         seen = texts.groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
         return seen.filter("lo != hi").select("digest")
 
@@ -74,8 +76,8 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, keep: str, digest) ->
     merged = index.compact()
     collided = index.verify(merged, docs, id_col, text_col)
     if collided.isEmpty():
-        return index.runs().join(merged, "digest")
-    clear = index.runs().join(collided, "digest", "left_anti").join(merged, "digest")
+        return join_groups(index.runs(), merged.withColumn("size", F.col("copies")), ["digest"], "size")
+    clear = index.runs().join(merged.join(collided, "digest", "left_anti"), "digest")
     rows = index.entries(docs, id_col, text_col, text_of(text_col).alias("t")).join(collided, "digest", "left_semi")
     by_text = rows.groupBy("digest", "t").agg(index.best("id").alias("keep_id"), F.count("*").alias("copies"))
     apart = rows.join(by_text, ["digest", "t"])
