@@ -45,19 +45,33 @@ WEAK = {
 SPANS = "array<struct<start: int, kind: int, end: int>>"
 
 
-def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """Spans of all matches: the gaps' and the matches' lengths, summed up."""
-    lengths = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
-    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPANS).alias("out"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+def _placed(sizes: Column, at: Column) -> Column:
+    """Starts, from `at` on, of pieces that follow one another: struct (at: where the next one starts, starts)."""
+    empty = F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(sizes, empty, lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts")))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + x["size"]).alias("end"))
-        return F.struct((start + x["size"]).alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
+def _spans(text: Column, pattern: str, kind: str, block: int = 512) -> Column:
+    """Spans of all matches: the gaps' and the matches' lengths, summed up.
+
+    Sums run within blocks, and over the blocks' totals, so that a text of very many matches costs little more per match.
+    """
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # the last gap has no match
-    return F.aggregate(F.filter(lengths, lambda x: x["size"].isNotNull()), empty, step, lambda s: s["out"])
+    pairs = F.filter(F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"))), lambda x: x["size"].isNotNull())
+
+    def blocked(pairs: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / block).cast("int")), lambda k: F.slice(pairs, k * block + 1, F.lit(block)))
+        totals = F.transform(cuts, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        return F.flatten(F.zip_with(cuts, _placed(totals, F.lit(0))["starts"], spans))
+
+    def spans(cut: Column, base: Column) -> Column:
+        starts = _placed(F.transform(cut, lambda x: x["gap"] + x["size"]), base)["starts"]
+        return F.zip_with(cut, starts, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + x["gap"] + x["size"]).alias("end")))
+
+    # bound to a name, so that the matches are found once
+    found = F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, blocked(p)).otherwise(_none()))
+    return F.element_at(found, 1)
 
 
 def _none() -> Column:
