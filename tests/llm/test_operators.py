@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fieldloom.llm import chat, components, decontam, exact_dedup, packing, quality, queries, secrets, simhash, toxicity, urls, warc
+from fieldloom.llm.common import join_groups
 
 DOCS = "doc_id bigint, text string, lang string, keep_id string, n bigint, __x string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
@@ -397,3 +398,23 @@ def test_cached_parts_give_the_tokens_and_offsets_of_whole_texts():
         assert ids.tolist() == want.ids
         assert ends.tolist() == np.maximum.accumulate([b for _, b in want.offsets] or [0]).tolist()[: len(want.ids)]
         assert starts.tolist() == [0, *ends.tolist()[:-1]][: max(1, len(want.ids))]
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    rows = [(k, "hot") for k in range(500)] + [(500 + k, f"t{k % 300}") for k in range(900)] + [(2000, "lone")]
+    frame = spark.createDataFrame(rows, "n bigint, key string")
+    counted = frame.groupBy("key").agg(F.count("*").alias("size"), F.max("n").alias("last"))
+    last = {key: max(n for n, k in rows if k == key) for _, key in rows}
+    for parts in (2, 100, 4096):  # the hot key, hot and some others, all keys by broadcast
+        got = join_groups(frame, counted, ["key"], "size", parts=parts)
+        assert set(got.columns) == {"n", "key", "last"}
+        assert Counter((r.n, r.key, r.last) for r in got.collect()) == Counter((n, k, last[k]) for n, k in rows)
+    assert join_groups(frame.limit(0), counted.limit(0), ["key"], "size").count() == 0
+
+
+def test_spans_of_a_text_with_very_many_matches(spark):
+    text = " ".join(f"é {k:x} token={k:08d} " + "ab" * 12 for k in range(3000))
+    (got,) = secrets.find(docs_of(spark, [(1, text)])).collect()
+    assert [(x.start, x.end) for x in got.hex] == [m.span() for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert [(x.start, x.end) for x in got["assign"]] == [m.span() for m in re.finditer("token=[0-9]+", text)]
+    assert len(got.hex) == len(got["assign"]) == 3000
