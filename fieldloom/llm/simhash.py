@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import ASCII_LOWER, stored
+from fieldloom.llm.common import ASCII_LOWER, join_groups, stored
 from fieldloom.llm.components import components
 
 BITS = 64
@@ -81,11 +81,12 @@ def links(classes: DataFrame) -> DataFrame:
 
 def _grouped(rows: DataFrame) -> DataFrame:
     """(id, fp, component_id) per row of a table (id, fp)."""
-    classes = stored(rows.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    classes = stored(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     roots = components(links(classes))
-    joined = stored(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
+    joined = stored(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root")), "roots")
     ids = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows.join(joined.join(ids, "root").select("fp", "component_id"), "fp")
+    named = stored(joined.join(ids, "root").select("fp", "component_id", "copies"), "named")
+    return join_groups(rows, named, ["fp"], "copies")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
