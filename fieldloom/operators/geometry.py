@@ -165,6 +165,34 @@ def normalized(df: DataFrame, x: str = "x") -> DataFrame:
     return df.withColumn("__n", F.when(n == 0, 1.0).otherwise(n)).withColumn(x, F.transform(x, lambda v: v / F.col("__n"))).drop("__n")
 
 
+def pair_divergence(a: DataFrame, b: DataFrame, key: str, score, block_rows: int = 2048) -> DataFrame:
+    """One row (max_abs, top) over all pairs of different rows: the largest difference of the scores in a and b, and the largest absolute score in b.
+
+    score is a function of two blocks of rows; a row that one side lacks and undefined scores count as 0. No pairs are emitted.
+    """
+    both = a.select(key, F.col("x").alias("__a")).join(b.select(key, F.col("x").alias("__b")), key, "full_outer").select(key, F.array("__a", "__b").alias("__x"))
+    n = max(1, -(-both.count() // block_rows))
+    packed = both.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("__x").alias("x"))).alias("rows"))
+    left, right = packed.select(F.col("rows").alias("qs")), packed.select("block", F.col("rows").alias("bs"))
+    pairs = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(right, "block").select("qs", "bs")
+
+    def side(qs, bs, i: int) -> np.ndarray:
+        out = np.zeros((len(qs), len(bs)))
+        p, q = ([j for j, r in enumerate(rows) if r["x"][i] is not None] for rows in (qs, bs))
+        if p and q:
+            out[np.ix_(p, q)] = np.nan_to_num(score(np.stack([qs[j]["x"][i] for j in p]), np.stack([bs[j]["x"][i] for j in q])), nan=0.0)
+        out[np.array([r["k"] for r in qs])[:, None] == np.array([r["k"] for r in bs])[None, :]] = 0
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for qs, bs in zip(frame["qs"], frame["bs"], strict=True):
+                s, t = side(qs, bs, 0), side(qs, bs, 1)
+                yield pd.DataFrame({"max_abs": [np.abs(s - t).max()], "top": [np.abs(t).max()]})
+
+    return pairs.mapInPandas(run, "max_abs double, top double").agg(F.max("max_abs").alias("max_abs"), F.max("top").alias("top"))
+
+
 def pair_scores(left: DataFrame, right: DataFrame, key: str, score, k: int, block_rows: int = 2048) -> DataFrame:
     """(a, b, score): the k best other rows per row of left, by a function of two blocks of rows; zero scores are left out."""
     n = max(1, -(-max(right.count(), 1) // block_rows))

@@ -56,8 +56,12 @@ def project_features(spark: SparkSession, folder: str) -> DataFrame:
   h as (select a, count(*) filter (n = 2) both_in, count(*) filter (n = 2) + count(*) filter (n = 1) / 2 size from (select a, b, count(*) n from (select a, b from t1 where r <= 10 union all select a, b from t2 where r <= 10) group by all) group by a)
   select round(m, 6) max_abs, round(m / t, 6) relative, (select round(avg(both_in / size), 6) from h) overlap from d""")
 def score_divergence(spark: SparkSession, folder: str) -> DataFrame:
-    """Over tables of the fifty best per supplier."""
-    got = rk.divergence(_supplier_top(spark, folder, "league", 50).persist(), _supplier_top(spark, folder, None, 50).persist())
+    """Differences over all pairs of suppliers, overlap over the ten best of each."""
+    x, y = (geo.normalized(_supplier_vectors(spark, folder, g)).persist() for g in ("league", None))
+    cosine = lambda a, b: (a @ b.T).round(9)
+    far = geo.pair_divergence(x, y, "entity", cosine)
+    tops = rk.divergence(geo.pair_scores(x, x, "entity", cosine, 10), geo.pair_scores(y, y, "entity", cosine, 10), 10).select("overlap")
+    got = far.crossJoin(tops).select("max_abs", (c("max_abs") / F.nullif(c("top"), F.lit(0.0))).alias("relative"), "overlap")
     return got.select(*[r6(c(k), k) for k in got.columns])
 
 

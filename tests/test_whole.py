@@ -12,3 +12,31 @@ def test_all_orders_are_indexed(spark, sf):
     keys = sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").distinct().collect())
     got = {r.o_orderkey: r.order_index for r in queries.index_orders(spark, sf).collect()}
     assert got == {k: i for i, k in enumerate(keys)}
+
+
+def test_score_divergence_covers_all_pairs(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(2, 130, 5))
+    table = {g: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "entity bigint, x array<double>") for g, m in (("league", x), (None, y))}
+    monkeypatch.setattr(queries, "_supplier_vectors", lambda spark, folder, group: table[group])
+    monkeypatch.setattr(model_queries, "_supplier_vectors", lambda spark, folder, group: table[group])
+    s, t = ((u @ u.T) * (1 - np.eye(130)) for u in (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y)))
+    best = [[set(np.argsort(-(m - 9 * np.eye(130)), axis=1)[i, :10]) for i in range(130)] for m in (s, t)]
+    got = model_queries.score_divergence(spark, str(tmp_path)).first()
+    top = np.abs(s - t).max()
+    assert got.max_abs == pytest.approx(top, abs=2e-6)
+    assert got.relative == pytest.approx(top / np.abs(t).max(), abs=2e-6)
+    assert got.overlap == pytest.approx(np.mean([len(a & b) / 10 for a, b in zip(*best, strict=True)]), abs=2e-6)
+
+
+def test_pair_divergence_in_blocks_with_missing_rows(spark):
+    from fieldloom.operators import geometry as geo
+
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    a = spark.createDataFrame([(i, x[i].tolist()) for i in range(30)], "id bigint, x array<double>")
+    b = spark.createDataFrame([(i, (x[i] * 2).tolist()) for i in range(10, 40)], "id bigint, x array<double>")
+    want = [np.zeros((40, 40)), np.zeros((40, 40))]
+    want[0][:30, :30], want[1][10:, 10:] = x[:30] @ x[:30].T, 4 * x[10:] @ x[10:].T
+    s, t = (m * (1 - np.eye(40)) for m in want)
+    got = geo.pair_divergence(a, b, "id", lambda p, q: p @ q.T, 7).first()
+    assert (got.max_abs, got.top) == pytest.approx((np.abs(s - t).max(), np.abs(t).max()))
