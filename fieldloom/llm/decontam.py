@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import LOWER, UPPER, stored
+from fieldloom.llm.common import LOWER, UPPER, fresh, stored
 
 #: bytes.translate table: A-Z to a-z; ASCII other than letters and digits to a blank; UTF-8 bytes from 0x80 on stay.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b) in LOWER + "0123456789" else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
@@ -116,27 +116,28 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     if parts > 1:
         bench = stored(bench, "benchmark")
     docs = docs.drop(*OUT.names)
+    held = fresh(docs.columns, "__ranges", "__items")
     for part in range(parts):
         own = bench if parts == 1 else bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
-        docs = _pass(docs, own, text_col, size, max_window_words, first=part == 0, last=part == parts - 1)
+        docs = _pass(docs, own, text_col, size, max_window_words, held, first=part == 0, last=part == parts - 1)
         if part < parts - 1:
             docs = stored(docs, "hits")
     return docs
 
 
-def _pass(docs: DataFrame, bench: DataFrame, text_col: str, size: int, max_window_words: int, first: bool, last: bool) -> DataFrame:
+def _pass(docs: DataFrame, bench: DataFrame, text_col: str, size: int, max_window_words: int, held: list[str], first: bool, last: bool) -> DataFrame:
     """One part of the benchmark against all rows; the hits of the parts before come as columns and go on so, or as the result."""
     sent = docs.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in bench.collect()])
     at = docs.columns.index(text_col)
     kept = docs.schema.fields if first else docs.schema.fields[:-2]
-    more, kinds = (OUT.fields, KINDS) if last else (HELD.fields, HELD_KINDS)
+    more, kinds = (OUT.fields, KINDS) if last else ([T.StructField(n, t) for n, t in zip(held, HELD, strict=True)], HELD_KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers = [Matcher(b) for b in blocks_of(sent.value, size, max_window_words)]
         for batch in batches:
             texts = (x.as_py() for x in batch.column(at))
-            held = repeat(([], [])) if first else zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True)
-            rows = [hits(text, matchers, ranges, items, last) for text, (ranges, items) in zip(texts, held, strict=False)]
+            before = repeat(([], [])) if first else zip(batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True)
+            rows = [hits(text, matchers, ranges, items, last) for text, (ranges, items) in zip(texts, before, strict=False)]
             new = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[f.name for f in [*kept, *more]])
 
@@ -144,7 +145,7 @@ def _pass(docs: DataFrame, bench: DataFrame, text_col: str, size: int, max_windo
 
 
 #: The hits that one pass hands to the next: word ranges and items.
-HELD = T.StructType([T.StructField("__ranges", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__items", T.ArrayType(T.StringType()))])
+HELD = [T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())]
 HELD_KINDS = [pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
 KINDS = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
@@ -167,4 +168,9 @@ def hits(text: str | None, matchers: list[Matcher], ranges: list, items: list[st
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those in which a window of an item occurs; their columns as they were."""
-    return mark(docs, benchmark, **how).filter("n_hit = 0").select(*docs.columns)
+    # columns that have the name of a result column wait under another
+    others = [c for c in docs.columns if c.lower() in OUT.names]
+    names = fresh([*docs.columns, *OUT.names], *[f"kept_{c}" for c in others])
+    held = docs.withColumnsRenamed(dict(zip(others, names, strict=True)))
+    kept = mark(held, benchmark, **how).filter("n_hit = 0").drop(*OUT.names)
+    return kept.withColumnsRenamed(dict(zip(names, others, strict=True))).select(*docs.columns)
