@@ -16,15 +16,16 @@ Encoding is exact, but the tokens and offsets of each distinct pre-token are fou
 cache: those of a rendering are those of its pre-tokens, one after the other.
 
 Defined results: a null text is empty. A null role is read back as the empty role. Rows of one conversation come in
-order of turn, then role, then text; null turns come first; repeated rows are turns of their own. Rows of null
-conversation id are one conversation. Empty table: empty result. Other columns are ignored.
+order of turn, then role, then text; null turns come first; repeated rows are turns of their own. A row of null
+conversation id is a conversation of its own, so that no task gets all of them. Ids may be integers or strings; others are refused.
+Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 from urllib.parse import quote, unquote
 
 import numpy as np
@@ -152,13 +153,18 @@ def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -
 def format_chats(conversations: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, input_ids, loss_mask (0/1 per token), loss_spans."""
     rows = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), text_of(text_col).alias("text"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    if kind not in KINDS:
+        raise TypeError(f"conversation ids are of type {kind}, not one of {', '.join(KINDS)}")
+    # rows without an id are dealt by what they say; their order inside a task is no matter
+    lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    ordered = rows.withColumn("lone", lone).repartition("conv_id", "lone").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
         each = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True))
         rows, chars = [], 0
-        for conv, own in groupby(each, key=lambda r: r[0]):
+        for (conv, _), own in groupby(each, key=lambda r, n=count(): (r[0], next(n) if r[0] is None else 0)):
             turns = [(role, text) for _, role, text in own]
             text, spans = render(turns)
             ids, starts, ends = encode(text)
@@ -166,16 +172,16 @@ def format_chats(conversations: DataFrame, tokenizer: str, conv_col: str = "conv
             rows.append((conv, len(turns), text, ids, mask, learnt))
             chars += len(text)
             if chars > BATCH_CHARS:
-                yield batch_of(rows, kind)
+                yield batch_of(rows, KINDS[kind])
                 rows, chars = [], 0
         if rows:
-            yield batch_of(rows, kind)
+            yield batch_of(rows, KINDS[kind])
 
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[rows.schema["conv_id"].dataType.simpleString()]
-    sql = rows.schema["conv_id"].dataType.simpleString()
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {sql}, n_turns bigint, formatted string, input_ids array<int>, loss_mask array<tinyint>, loss_spans array<struct<start: bigint, end: bigint>>")
+    return ordered.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, n_turns bigint, formatted string, input_ids array<int>, loss_mask array<tinyint>, loss_spans array<struct<start: bigint, end: bigint>>")
 
 
+#: Types that ids may have.
+KINDS = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
 BATCH_CHARS = 1 << 20
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
