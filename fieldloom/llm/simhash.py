@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import ASCII_LOWER, join_groups, stored
+from fieldloom.llm.common import ASCII_LOWER, Steps, join_groups, sha256, text_of, without
 from fieldloom.llm.components import components
 
 BITS = 64
@@ -47,16 +47,17 @@ def simhash(text: str | None, k: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
-    """docs with a last column __fp: the signed 64-bit fingerprint."""
-    at = docs.columns.index(text_col)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42, *more: Column) -> DataFrame:
+    """(id, fp, more...): the signed 64-bit fingerprint per row of docs."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *more)
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t.as_py(), k, seed) for t in batch.column(at)), dtype=np.uint64, count=len(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "__fp"])
+            fps = np.fromiter((simhash(t.as_py(), k, seed) for t in batch.column(0)), dtype=np.uint64, count=len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], names=schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    return rows.mapInArrow(run, schema)
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -69,36 +70,50 @@ def covering_masks(radius: int) -> list[int]:
 def links(classes: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints at 2 or fewer differing bits that join whatever is linked."""
     masks = covering_masks(2)
+    # inputs of joins are forced to be shuffled, so that nothing that grows with the data is broadcast at any size
     tables = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("x")).select("fp", "x.*")
     shared = tables.groupBy("t", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi").select("t", "key")
     open_bits = F.element_at(F.array(*[F.lit(~m) for m in masks]), F.col("t") + 1)
-    near = tables.join(shared, ["t", "key"], "left_semi").groupBy("fp").agg(F.bit_or(open_bits).alias("open"))
+    near = tables.join(shared.hint("merge"), ["t", "key"], "left_semi").groupBy("fp").agg(F.bit_or(open_bits).alias("open"))
     flips = F.expr("transform(filter(sequence(0, 63), b -> (shiftright(open, b) & 1L) = 1L), b -> fp ^ shiftleft(1L, b))")
     words = near.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("word"))
     hubs = words.groupBy("word").agg(F.min("fp").alias("hub"), F.max("fp").alias("hi")).filter("hub != hi").select("word", "hub")
-    return words.join(hubs, "word").filter("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    return words.join(hubs.hint("merge"), "word").filter("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """(id, fp, component_id) per row of a table (id, fp)."""
-    classes = stored(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    roots = components(links(classes))
-    joined = stored(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root")), "roots")
-    ids = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(joined.join(ids, "root").select("fp", "component_id", "copies"), "named")
+def grouped(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rows' columns, component_id): classes are (fp, rep, copies), roots (node, root) of the linked ones.
+
+    Classes and roots may be deleted afterwards.
+    """
+    steps = Steps(rows.sparkSession)
+    joined = steps.stored(classes.join(roots.hint("merge"), classes["fp"] == roots["node"], "left").select("fp", "rep", "copies", F.coalesce("root", "fp").alias("root")), "roots")
+    ids = joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
+    named = steps.stored(join_groups(joined, ids, ["root"], "size").select("fp", "component_id", "copies"), "named")
+    steps.drop(joined)
     return join_groups(rows, named, ["fp"], "copies")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of docs: id, fp, component_id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = _grouped(stored(fingerprints(rows, "text", k, seed).select("id", F.col("__fp").alias("fp")), "fingerprints"))
-    return found.select(F.col("id").alias(id_col), "fp", "component_id")
+    rows = Steps(docs.sparkSession).stored(fingerprints(docs, id_col, text_col, k, seed), "fingerprints")
+    return _components_of(rows).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _components_of(rows: DataFrame) -> DataFrame:
+    """rows (id, fp, ...) with component_id."""
+    steps = Steps(rows.sparkSession)
+    classes = steps.stored(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    out = grouped(rows, classes, components(links(classes)))
+    steps.drop(classes)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
     """docs with one document of each group: that with the smallest id. All columns are kept."""
-    rows = stored(fingerprints(docs, text_col, k, seed), "fingerprinted")
-    found = _grouped(rows.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")))
-    lost = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("fp").alias("__lost")).distinct()
-    return rows.join(lost, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__lost")), "left_anti").select(*docs.columns)
+    steps = Steps(docs.sparkSession)
+    rows = steps.stored(fingerprints(docs, id_col, text_col, k, seed, sha256(text_of(text_col)).alias("digest")), "fingerprints")
+    lost = _components_of(rows).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "digest")
+    lost = steps.stored(lost, "lost")
+    steps.drop(rows)
+    return without(docs, lost, id_col, text_col)
