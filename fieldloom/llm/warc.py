@@ -16,7 +16,8 @@ records that refer to it. Smaller payloads than `revisit_min_bytes` are all stor
 
 Defined results: null html is the empty payload, and equal to it. A null url leaves out the target header; blanks and
 control characters in a url are percent-encoded. Null ids come first and lose against any id; rows that repeat the
-largest id and payload are all responses. An empty table gives an empty archive. Other columns are ignored.
+largest id and payload are all responses. An empty table gives an empty archive. Other columns are ignored. Ids may be integers or
+strings of printable characters without blanks at their ends; other types are refused. What is read back has the type that was written.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import scratch, text_of
+from fieldloom.llm.common import join_groups, scratch, text_of
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,32 +83,42 @@ def _keys(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 def _revisits(keys: DataFrame, revisit_min_bytes: int) -> DataFrame:
     """(page_id, n, hex, refers_to) of the rows whose payload another page stores. No payload is moved for it."""
     large = keys.filter(F.col("n") >= revisit_min_bytes)
-    best = large.groupBy("hex", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    return large.join(best, ["hex", "n"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "n", "hex", "refers_to").distinct()
+    best = large.groupBy("hex", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1")
+    return join_groups(large, best, ["hex", "n"], "copies").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "n", "hex", "refers_to").distinct()
 
 
-def _boundaries(rows: DataFrame, shards: int, sample: int = 4096) -> list[tuple]:
-    """Quantiles of the keys (page_id, hex) of the `sample` rows with the smallest hashes."""
-    keys = rows.select("page_id", "hex").distinct().orderBy(F.xxhash64("page_id", "hex"), "page_id", "hex").limit(sample)
-    got = sorted(((r.page_id is not None, r.page_id or 0, r.hex) for r in keys.collect()))
+def _boundaries(rows: DataFrame, shards: int, each: int = 8, least: int = 4096) -> list[tuple]:
+    """Quantiles of the keys (page_id, hex) of a sample of rows, those with the smallest hashes: `each` for a shard, `least` at least."""
+    keys = rows.select("page_id", "hex").distinct().orderBy(F.xxhash64("page_id", "hex"), "page_id", "hex").limit(max(least, each * shards))
+    got = sorted(_order(r.page_id, r.hex) for r in keys.collect())
     return sorted({got[k * len(got) // shards] for k in range(1, shards)}) if got else []
 
 
-def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 16 << 20, roll_bytes: int = 256 << 20, revisit_min_bytes: int = 0, max_shards: int = 10_000) -> DataFrame:
-    """Writes the archive and returns its manifest as a table: shard, seq, name, records, bytes, path."""
-    spark = pages.sparkSession
+def _order(page: object, digest: str) -> tuple:
+    """Spark's order of (page_id, hex): nulls first, strings by their bytes."""
+    return (page is not None, page.encode() if isinstance(page, str) else page or 0, digest)
+
+
+def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 16 << 20, roll_bytes: int = 256 << 20, revisit_min_bytes: int = 0, most_shard_bytes: int = 1 << 30) -> DataFrame:
+    """Writes the archive and returns its manifest as a table: shard, seq, name, records, bytes, path.
+
+    Shards hold `shard_bytes` of payload up to 4,096 shards, then grow to `most_shard_bytes`, then their number grows.
+    """
+    spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
+    if kind not in READ_TYPES:
+        raise TypeError(f"page ids are of type {kind}, not one of {', '.join(READ_TYPES)}")
     path = path or scratch(spark, "warc")
     fs, root = _open(path)
     fs.create_dir(f"{root}/_temporary", recursive=True)
     keys = _keys(pages, id_col, html_col)
     total = keys.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // max(shard_bytes, total // max_shards)))
+    shards = max(1, -(-total // max(shard_bytes, min(total // 4096, most_shard_bytes))))
     # a boundary's shard starts at it
     bounds = _boundaries(keys, shards) if shards > 1 else []
 
     @F.arrow_udf("int")
     def shard_of(page: pa.Array, digest: pa.Array) -> pa.Array:
-        return pa.array([bisect_right(bounds, (p is not None, p or 0, d)) for p, d in zip(page.to_pylist(), digest.to_pylist(), strict=True)], type=pa.int32())
+        return pa.array([bisect_right(bounds, _order(p, d)) for p, d in zip(page.to_pylist(), digest.to_pylist(), strict=True)], type=pa.int32())
 
     # A revisit's decision travels as a row of its own, sorted before the page's records: payloads are shuffled once.
     told = _revisits(keys, revisit_min_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "n", "hex", "refers_to", F.lit(0).alias("kind"))
@@ -159,7 +170,7 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
                     raise OSError(f"{r['name']} is neither waiting nor committed")
             yield batch
 
-    committed = manifest.mapInArrow(commit, MANIFEST).drop("temporary").withColumn("path", F.lit(path))
+    committed = manifest.mapInArrow(commit, MANIFEST).drop("temporary").withColumn("path", F.lit(path)).withColumn("id_type", F.lit(None).cast(kind))
     committed.write.parquet(f"{path}/_committed")
     fs.delete_dir(f"{root}/_temporary")  # also drops what failed attempts left
     return spark.read.parquet(f"{path}/_committed")
@@ -196,12 +207,13 @@ def parse(data: bytes) -> dict:
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
     if fields["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}" or kind == "response" and (base32_sha1(payload) != digest or len(payload) != full):
         raise OSError(f"record {fields['WARC-Record-ID']} is damaged")
-    number = lambda k: int(fields[k]) if k in fields else None
-    return {"page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": full, "payload_digest": digest, "record_type": kind, "refers_to": number("X-Refers-To-Page-ID"), "payload": payload if kind == "response" else None, "file": None}
+    return {"page_id": fields.get("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": full, "payload_digest": digest, "record_type": kind, "refers_to": fields.get("X-Refers-To-Page-ID"), "payload": payload if kind == "response" else None, "file": None}
 
 
-READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary, file string"
-READ_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("file", pa.string())])
+#: Types that ids may have.
+READ_TYPES = ("bigint", "int", "smallint", "tinyint", "string")
+READ_ARROW = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("file", pa.string())])
+READ = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary, file string"
 
 
 def read(manifest: DataFrame, with_payload: bool = True, batch_bytes: int = 16 << 20) -> DataFrame:
@@ -221,5 +233,6 @@ def read(manifest: DataFrame, with_payload: bool = True, batch_bytes: int = 16 <
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=READ_ARROW)
 
-    files = manifest.select("name", "path")
-    return files.repartition(max(1, min(files.count(), 10_000))).mapInArrow(run, READ)
+    files, kind = manifest.select("name", "path"), manifest.schema["id_type"].dataType
+    found = files.repartition(max(1, min(files.count(), 100_000))).mapInArrow(run, READ)
+    return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
