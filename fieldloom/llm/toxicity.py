@@ -1,13 +1,19 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms are a text's distinct lower-cased words and the words' four- to six-letter beginnings, hashed. The score is the
-logistic function of  bias + sum of w_i + (1 / n) * sum over pairs of <v_i, v_j>,  n being the number of known terms,
-so that pairs such as an insult next to a mention of a group carry weight that the single words do not have, and a
-long text does not gain by its length.
+logistic function of  bias + sum of w_i x_i + (1 / sqrt(m)) * sum over pairs of <v_i, v_j>.  The first sum runs over the linear
+terms, the second over the pairs of the m paired terms in the text, so that two words together, such as an insult
+next to a mention of a group, carry weight that neither has alone.
 
-The model is fitted on the driver by mini-batch AdaGrad on a sample of labelled rows bounded by `max_rows` (of
-the labelled ids, those with the smallest hashes; default 20,000). Terms in fewer than `min_rows` of these rows, and terms whose share of
-positive rows may be due to chance, are left out.
+Which terms are linear and which are paired is decided apart:
+
+* a linear term's share of positive rows must be unlikely by chance; x is how far it is from chance;
+* paired terms are the ends of pairs that explain what the linear model leaves over: a score test of each pair's product against the
+  linear model's residuals, over the `pair_terms` most frequent terms. A word need not tell anything by itself.
+
+The model is fitted on a sample of labelled rows bounded by `max_rows` (of the labelled ids, those with the smallest
+hashes; default 20,000). Term counts are added up by Spark (one row per hashed term reaches the driver); then the sample's rows come
+with the numbers of the `max_terms` selected terms at most, 2 bytes each, and are fitted by mini-batch AdaGrad on the driver.
 Scoring runs over all rows and whole texts.
 
 Defined results: a null or empty text scores by the bias alone. Labels that are null or have no text are passed over; of
@@ -17,6 +23,7 @@ share of positive labels. Empty table: empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,99 +33,170 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import text_of
+from fieldloom.llm.common import Steps, text_of
 
 WORD = re.compile(r"\w+")
 DIMS = 1 << 18
 PREFIXES = (4, 5, 6)
+Row = np.ndarray  # sorted distinct term numbers
+
+
+def terms_of_word(w: str, dims: int = DIMS) -> list[int]:
+    parts = [w, *(f"{w[:n]}*{n}" for n in PREFIXES if len(w) > n)]
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % dims for p in parts]
 
 
 class Terms:
-    """Sorted distinct term numbers of a text; those of words are kept in a bounded cache."""
+    """Sorted distinct term numbers of a text, or those of them that `known` keeps.
+
+    Words do not reach over white space, so the numbers of each distinct piece between blanks are found once and kept
+    in a bounded cache.
+    """
 
-    def __init__(self, dims: int = DIMS, limit: int = 200_000):
-        self.dims, self.limit, self.cache = dims, limit, {}
+    def __init__(self, known: np.ndarray | None = None, dims: int = DIMS, limit: int = 300_000):
+        self.known, self.dims, self.limit, self.cache = known, dims, limit, {}
 
-    def word(self, w: str) -> tuple[int, ...]:
-        parts = [w, *(f"{w[:n]}*{n}" for n in PREFIXES if len(w) > n)]
-        return tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % self.dims for p in parts)
+    def piece(self, piece: str) -> tuple[int, ...]:
+        found = {t for w in WORD.findall(piece.lower()) for t in terms_of_word(w, self.dims)}
+        return tuple(found if self.known is None else (t for t in found if self.known[t]))
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = set(WORD.findall((text or "").lower()))
+    def __call__(self, text: str | None) -> Row:
+        pieces = set((text or "").split())
         if len(self.cache) > self.limit:
             self.cache.clear()
-        for w in words.difference(self.cache):
-            self.cache[w] = self.word(w)
+        for p in pieces.difference(self.cache):
+            self.cache[p] = self.piece(p)
         out: set[int] = set()
-        for w in words:
-            out.update(self.cache[w])
+        for own in map(self.cache.__getitem__, pieces):
+            if own:
+                out.update(own)
         return np.array(sorted(out), dtype=np.int64)
 
 
-class FactorizationMachine:
-    """Logistic FM; rows are arrays of term numbers.
+def flat(rows: list[Row]) -> tuple[np.ndarray, np.ndarray]:
+    """All terms of some rows, and the row each is of."""
+    sizes = [len(r) for r in rows]
+    return (np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)), np.repeat(np.arange(len(rows)), sizes)
 
-    A term's value is how far its share of positive rows is from chance: the excess of its absolute z-score over
-    `least_z`, so that terms which could owe their share to chance are left out and small samples suffice.
-    """
 
-    def __init__(self, dims: int = DIMS, factors: int = 8, rate: float = 0.2, l2: float = 1e-4, epochs: int = 12, min_rows: int = 3, least_z: float = 3.0, seed: int = 7):
-        self.dims, self.k, self.rate, self.l2, self.epochs, self.min_rows, self.least_z = dims, factors, rate, l2, epochs, min_rows, least_z
-        self.rng = np.random.default_rng(seed)
-        self.bias, self.at = 0.0, np.full(dims, -1, dtype=np.int32)
+class FactorizationMachine:
+    """Logistic FM; rows are arrays of term numbers."""
+
+    def __init__(
+        self, dims: int = DIMS, factors: int = 8, rate: float = 0.2, l2: float = 1e-4, pair_l2: float = 1e-3, epochs: int = 12, min_rows: int = 3,
+        least_z: float = 3.0, pair_rows: int = 8, pair_z: float = 5.0, pair_terms: int = 2048, max_terms: int = 16_384, seed: int = 7,
+    ):
+        self.dims, self.k, self.rate, self.l2, self.pair_l2, self.epochs, self.min_rows = dims, factors, rate, l2, pair_l2, epochs, min_rows
+        self.least_z, self.pair_rows, self.pair_z, self.pair_terms, self.max_terms = least_z, pair_rows, pair_z, pair_terms, max_terms
+        self.rng, self.bias, self.share = np.random.default_rng(seed), 0.0, 0.5
+        #: number of a linear and of a paired term, -1 for others
+        self.linear, self.paired = np.full(dims, -1, dtype=np.int32), np.full(dims, -1, dtype=np.int32)
         self.x, self.w, self.v = np.zeros(0), np.zeros(0), np.zeros((0, factors))
+        self.frequent = np.zeros(0, dtype=np.int64)
+
+    def screen(self, n: np.ndarray, positive: np.ndarray, total: int, positives: float) -> None:
+        """Linear terms and the terms whose pairs are to be tested, from each term's rows and positive rows."""
+        self.share = (positives + 0.5) / (total + 1)
+        self.bias = float(np.log(self.share / (1 - self.share)))
+        if not 0 < positives < total:
+            return
+        z = np.abs(positive - n * self.share) / np.sqrt(n * self.share * (1 - self.share) + 1)
+        kept = np.flatnonzero((n >= self.min_rows) & (z > self.least_z))
+        kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[: self.max_terms]])
+        self.linear[kept] = np.arange(len(kept))
+        self.x, self.w = np.minimum(z[kept] - self.least_z, 5.0) / 5.0, np.zeros(len(kept))
+        often = np.flatnonzero((n >= self.pair_rows) & (total - n >= self.pair_rows))
+        self.frequent = np.sort(often[np.argsort(-n[often], kind="stable")[: self.pair_terms]])
 
-    def known(self, row: np.ndarray) -> np.ndarray:
-        at = self.at[row]
-        return at[at >= 0]
+    def known(self) -> np.ndarray:
+        """Terms that matter, by number: while fitting also those whose pairs are to be tested."""
+        out = (self.linear >= 0) | (self.paired >= 0)
+        out[self.frequent] = True
+        return out
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        self.bias = float(np.log(share / (1 - share)))
-        if not len(y) or y.min() == y.max():
+    def fit(self, rows: list[Row], y: np.ndarray, pairs: bool = True) -> FactorizationMachine:
+        """rows need hold the known() terms only; screen() has been called."""
+        if not len(self.x) and not len(self.frequent):
             return self
-        everything = np.concatenate(rows)
-        n = np.bincount(everything, minlength=self.dims)
-        good = np.bincount(everything, weights=np.repeat(y, [len(r) for r in rows]), minlength=self.dims)
-        z = np.abs(good - n * share) / np.sqrt(n * share * (1 - share) + 1)
-        kept = np.flatnonzero((n >= self.min_rows) & (z > self.least_z))
-        self.at[kept] = np.arange(len(kept))
-        self.x = np.minimum(z[kept] - self.least_z, 5.0) / 5.0
-        self.w, self.v = np.zeros(len(kept)), self.rng.normal(0, 0.01, (len(kept), self.k))
-        rows = [self.known(r) for r in rows]
+        self._train(rows, y)
+        if pairs:
+            self._pair(rows, y)
+            if len(self.v):
+                self._train(rows, y)
+        self.frequent = self.frequent[:0]
+        return self
+
+    def _pair(self, rows: list[Row], y: np.ndarray, block: int = 1024) -> None:
+        """Makes the ends of the pairs that pass the score test paired terms."""
+        f = len(self.frequent)
+        at = np.full(self.dims, -1, dtype=np.int64)
+        at[self.frequent] = np.arange(f)
+        left, spread, p = np.zeros((f, f), dtype=np.float32), np.zeros((f, f), dtype=np.float32), self.scores(rows)
+        for start in range(0, len(rows), block):
+            part = slice(start, start + block)
+            term, of = flat(rows[part])
+            inside = at[term] >= 0
+            here = np.zeros((len(rows[part]), f), dtype=np.float32)
+            here[of[inside], at[term[inside]]] = 1
+            q = p[part].astype(np.float32)
+            left += here.T @ (here * (y[part] - q).astype(np.float32)[:, None])
+            spread += here.T @ (here * (q * (1 - q))[:, None])
+        z = np.abs(left) / np.sqrt(spread + 0.25)
+        np.fill_diagonal(z, 0)
+        ends = self.frequent[np.flatnonzero(z.max(axis=1) > self.pair_z)] if f else self.frequent
+        self.paired[ends] = np.arange(len(ends))
+        self.v = self.rng.normal(0, 0.2, (len(ends), self.k))
+
+    def _train(self, rows: list[Row], y: np.ndarray) -> None:
+        lin, par = ([at[r][at[r] >= 0] for r in rows] for at in (self.linear, self.paired))
         gw, gv, gb = np.full(self.w.shape, 1e-3), np.full(self.v.shape, 1e-3), 1.0
         for _ in range(self.epochs):
             order = self.rng.permutation(len(rows))
             for start in range(0, len(order), 128):
                 part = order[start : start + 128]
-                sizes = [len(rows[i]) for i in part]
-                idx, of = np.concatenate([rows[i] for i in part]), np.repeat(np.arange(len(part)), sizes)
-                x, size = self.x[idx], np.maximum(1, sizes)
-                p, sums = self._forward(idx, of, size)
+                (i, of), (j, pof) = flat([lin[r] for r in part]), flat([par[r] for r in part])
+                p, sums, scale = self._forward(i, of, j, pof, len(part))
                 g = (p - y[part]) / len(part)
-                used, where = np.unique(idx, return_inverse=True)
-                dw = np.bincount(where, weights=g[of] * x, minlength=len(used)) + self.l2 * self.w[used]
-                dv_rows = ((g / size)[of] * x)[:, None] * (sums[of] - self.v[idx] * x[:, None])
-                dv = np.stack([np.bincount(where, weights=dv_rows[:, f], minlength=len(used)) for f in range(self.k)], axis=1) + self.l2 * self.v[used]
-                gw[used] += dw**2
-                gv[used] += dv**2
                 gb += g.sum() ** 2
-                self.w[used] -= self.rate * dw / np.sqrt(gw[used])
-                self.v[used] -= self.rate * dv / np.sqrt(gv[used])
                 self.bias -= self.rate * g.sum() / np.sqrt(gb)
-        return self
+                if len(i):
+                    used, where = np.unique(i, return_inverse=True)
+                    dw = np.bincount(where, weights=g[of] * self.x[i], minlength=len(used)) + self.l2 * self.w[used]
+                    gw[used] += dw**2
+                    self.w[used] -= self.rate * dw / np.sqrt(gw[used])
+                if len(j):
+                    used, where = np.unique(j, return_inverse=True)
+                    each = (g * scale)[pof][:, None] * (sums[pof] - self.v[j])
+                    dv = np.stack([np.bincount(where, weights=each[:, c], minlength=len(used)) for c in range(self.k)], axis=1) + self.pair_l2 * self.v[used]
+                    gv[used] += dv**2
+                    self.v[used] -= self.rate * dv / np.sqrt(gv[used])
+
+    def _forward(self, i: np.ndarray, of: np.ndarray, j: np.ndarray, pof: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of n rows, the paired terms' vector sums, and the factor of the pair sum."""
+        v = self.v[j]
+        sums = np.stack([np.bincount(pof, weights=v[:, c], minlength=n) for c in range(self.k)], axis=1)
+        squares = np.bincount(pof, weights=(v**2).sum(1), minlength=n)
+        scale = 1 / np.sqrt(np.maximum(1, np.bincount(pof, minlength=n)))
+        z = self.bias + np.bincount(of, weights=self.w[i] * self.x[i], minlength=n) + scale * ((sums**2).sum(1) - squares) / 2
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), sums, scale
 
-    def _forward(self, idx: np.ndarray, of: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, x = len(size), self.x[idx]
-        v = self.v[idx] * x[:, None]
-        sums = np.stack([np.bincount(of, weights=v[:, f], minlength=n) for f in range(self.k)], axis=1)
-        squares = np.bincount(of, weights=(v**2).sum(1), minlength=n)
-        z = self.bias + np.bincount(of, weights=self.w[idx] * x, minlength=n) + ((sums**2).sum(1) - squares) / (2 * size)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), sums
+    def scores(self, rows: list[Row], at_once: int = 1 << 18) -> np.ndarray:
+        """Rows are taken together up to about `at_once` terms."""
+        out, start = [], 0
+        ends = np.cumsum([len(r) for r in rows])
+        while start < len(rows):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + at_once, side="right")))
+            term, of = flat(rows[start:stop])
+            lin, par = self.linear[term], self.paired[term]
+            out.append(self._forward(lin[lin >= 0], of[lin >= 0], par[par >= 0], of[par >= 0], stop - start)[0])
+            start = stop
+        return np.concatenate(out) if out else np.zeros(0)
 
-    def score(self, row: np.ndarray) -> float:
-        idx = self.known(row)
-        return float(self._forward(idx, np.zeros(len(idx), dtype=np.int64), np.array([max(1, len(idx))]))[0][0])
+    def without_pairs(self) -> FactorizationMachine:
+        """The same model with all factors at zero."""
+        other = copy.copy(self)
+        other.v = np.zeros_like(self.v)
+        return other
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -126,21 +204,52 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, **how) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, pairs: bool = True, **how) -> FactorizationMachine:
     """The model of a bounded sample of the labelled rows that are not held out."""
+    steps, model = Steps(docs.sparkSession), FactorizationMachine(**how)
+    dims = model.dims
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("y"))
     sample_ids = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows))
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(sample_ids, F.col("id") == F.col("__id")).select("text", "y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Terms()
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Terms(dims=dims)
         for batch in batches:
             terms = [of(t.as_py()).astype("<u4").tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(terms, type=pa.binary()), batch.column(1)], names=["terms", "y"])
 
-    got = rows.mapInArrow(run, "terms binary, y double").toArrow()
-    features = [np.frombuffer(b, dtype="<u4").astype(np.int64) for b in got.column("terms").to_pylist()]
-    return FactorizationMachine(**how).fit(features, got.column("y").to_numpy())
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, positive = np.zeros(dims, dtype=np.int64), np.zeros(dims)
+        for batch in batches:
+            for terms, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(terms, dtype="<u4")
+                n[at] += 1
+                positive[at] += y
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(positive[at])], names=["term", "n", "positive"])
+
+    found = steps.stored(rows.mapInArrow(find, "terms binary, y double"), "toxic-terms")
+    counts = found.mapInArrow(count, "term bigint, n bigint, positive double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).toPandas()
+    total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("positives")).first()
+    n, positive = np.zeros(dims, dtype=np.int64), np.zeros(dims)
+    n[counts["term"]], positive[counts["term"]] = counts["n"], counts["positive"]
+    model.screen(n, positive, total["n"], total["positives"])
+    # numbers of the terms that matter, two bytes each
+    numbers = np.flatnonzero(model.known())
+    short = np.full(dims, 65535, dtype="<u2")
+    short[numbers] = np.arange(len(numbers))
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [short[np.frombuffer(b, dtype="<u4")] for b in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([k[k != 65535].tobytes() for k in kept], type=pa.binary()), batch.column(1)], names=["terms", "y"])
+
+    got = found.mapInArrow(shorten, "terms binary, y double").toArrow()
+    # in an order of their own, so that the same rows give the same model
+    rows = sorted(zip(got.column("terms").to_pylist(), got.column("y").to_pylist(), strict=True))
+    model.fit([numbers[np.frombuffer(b, dtype="<u2")] for b, _ in rows], np.array([y for _, y in rows]), pairs)
+    steps.drop(found)
+    return model
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -148,9 +257,10 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, fm = Terms(), sent.value
+        fm = sent.value
+        of = Terms(fm.known(), fm.dims)
         for batch in batches:
-            scores = [fm.score(of(t.as_py())) for t in batch.column(2)]
+            scores = fm.scores([of(t.as_py()) for t in batch.column(2)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, type=pa.float64())], names=[id_col, "held_out", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
