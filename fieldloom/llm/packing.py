@@ -6,8 +6,8 @@ adds the base to the offsets, which numbers all tokens of the corpus, and cuts t
 sequence length; a document that crosses a boundary gives a record on each side. No text or token is shuffled.
 The order of the corpus is that of the written pass-one table, which does not change when a task is run again.
 
-Encoding is exact, but each distinct pre-token is encoded once per worker while it stays in a bounded cache: a text's
-ids are those of its pre-tokens, one after the other.
+Encoding is exact, but each distinct piece between blanks is encoded once per worker while it stays in a bounded cache: neither the
+tokenizer's normal form nor its pre-tokens reach over white space, so a text's ids are those of its pieces, one after the other.
 
 Defined results: a null or empty text is a document of the end token only. Repeated rows and null ids are packed
 as documents of their own. An empty table gives no pieces. Other columns are ignored.
@@ -15,12 +15,13 @@ as documents of their own. An empty table gives no pieces. Other columns are ign
 
 from __future__ import annotations
 
+import gc
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ from fieldloom.llm.common import stored
 MOST_TASKS = 1_000_000
 #: Texts of these characters only are cut, lower-cased and composed alike by Python and the tokenizer's library.
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*")
-#: The tokenizer's pre-tokens in lower-case plain text: clitics, letters, single digits, runs of anything else.
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Blank to Python, but not to the tokenizer; a text that has one is encoded whole.
+ODD_BLANKS = "[\x1c-\x1f]"
+#: The tokenizer's pre-tokens in lower-case plain text: clitics, letters, single digits, runs of anything else; and the blank.
+PRE_TOKEN = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 WORD_END = "</w>"
 
 
@@ -46,117 +49,156 @@ def byte_letters() -> str:
 LETTERS = byte_letters()
 
 
+class TwoGenerations:
+    """A bounded cache that forgets what has not been asked for lately: entries move to the young half when they are used."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Makes room for the keys, and says which of them are new; the others are in `young` then."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for k in [k for k in keys if k not in young]:
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(k)
+        return new
+
+
 class WordEncoder:
-    """ids of texts as little-endian unsigned 16 or 32-bit bytes, by a byte-level tokenizer with word ends.
+    """ids of texts as little-endian unsigned 32-bit bytes, by a byte-level tokenizer with word ends.
 
-    Plain texts are lower-cased and cut into pre-tokens here, which are looked up in a bounded cache; new ones go
-    through the tokenizer's merges together, one call for many, and the ids are told apart by the word ends. Any
-    other text goes through the whole tokenizer. The ids are those of encoding each text whole.
+    Texts are cut at blanks and the pieces are looked up in a bounded cache. New plain pieces are lower-cased and cut into
+    pre-tokens here, which have a cache of their own; new pre-tokens go through the tokenizer's merges together, one call for many, and
+    the ids are told apart by the word ends. Any other new piece goes through the whole tokenizer. The ids are those of encoding
+    each text whole.
     """
 
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_pieces: int = 300_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = self.merges.encode_special_tokens = True
         self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
-        self.width = np.dtype("<u2") if len(vocabulary) <= 65536 else np.dtype("<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.parts: dict[str, bytes] = {}
-        self.limit = cache_words
+        self.pieces, self.parts = TwoGenerations(cache_pieces), TwoGenerations(cache_pieces)
 
     def encode_whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _merge(self, parts: list[str]) -> None:
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """ids of pre-tokens."""
         line = " ".join([p if p.isascii() else "".join([LETTERS[b] for b in p.encode()]) for p in parts])
-        ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.width)
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width.itemsize
+        ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(cuts) != len(parts):
             raise ValueError("the tokenizer's words have no ends")
-        data, start = ids.tobytes(), 0
-        for p, end in zip(parts, cuts.tolist(), strict=True):
-            self.parts[p] = data[start:end]
-            start = end
+        data, cuts = ids.tobytes(), cuts.tolist()
+        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            self._merge(new[at : at + 4096])
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Texts are taken in groups, so that new pre-tokens are learnt together; a group holds one text at least."""
-        out: list[bytes] = []
-        parts, at = self.parts, 0
-        while at < len(texts):
-            cut, size, seen = [], 0, set()
-            while at < len(texts) and (not cut or size < 1 << 18):
-                text = texts[at]
-                cut.append(PRE_TOKEN.findall(text.lower()) if PLAIN.fullmatch(text) else text)
-                if isinstance(cut[-1], list):
-                    seen.update(cut[-1])
-                size += len(text)
-                at += 1
-            new = seen.difference(parts)
-            if len(parts) + len(new) > self.limit:
-                parts.clear()
-                new = seen
-            self.learn(list(new))
-            find = parts.__getitem__
-            out += [b"".join(map(find, x)) if isinstance(x, list) else self.encode_whole(x) for x in cut]
-        return out
+        """Adds the ids of pieces to the cache."""
+        known = self.pieces.young
+        plain = [p for p in new if (p.isascii() and p.isprintable() if p.isascii() else PLAIN.fullmatch(p))]
+        if len(plain) < len(new):
+            known.update((p, self.encode_whole(p)) for p in set(new).difference(plain))
+        if not plain:
+            return
+        # all pieces are cut in one call; a blank, which no piece has, ends each
+        parts = PRE_TOKEN.findall(" ".join(plain).lower() + " ")
+        unknown = self.parts.missing(set(parts).difference(" "))
+        for at in range(0, len(unknown), 4096):
+            self.parts.young.update(zip(unknown[at : at + 4096], self._merged(unknown[at : at + 4096]), strict=True))
+        find = self.parts.young
+        find[" "] = b""
+        ids = list(map(find.__getitem__, parts))
+        at = np.cumsum(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+        ends = at[np.fromiter(map(" ".__eq__, parts), dtype=bool, count=len(parts))].tolist()
+        data = b"".join(ids)
+        known.update(zip(plain, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _plain(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, the end token after each, and where each text ends; texts have no odd blanks."""
+        words = pc.utf8_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(self.pieces.missing(pieces))
+        found = pa.array(map(self.pieces.young.__getitem__, pieces), type=pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1)
+        ids = np.frombuffer(found.buffers()[2] or b"", dtype="<u4")[at[0] // 4 : at[-1] // 4]
+        ends = (at[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()] - at[0]) // 4
+        return np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
+
+    def encode_column(self, texts: pa.StringArray, end: int, at_once: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, the end token after each, and where each text ends; texts are taken together up to about `at_once` bytes."""
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles are made here, and the caches are dear to walk
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        ids, ends, start, total = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)], 0, 0
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + at_once, side="right")))
+            for odd, group in self._runs(texts.slice(start, stop - start)):
+                got = self._whole(group, end) if odd else self._plain(group, end)
+                ids.append(got[0]), ends.append(got[1] + total)
+                total += len(got[0])
+            start = stop
+        if collecting:
+            gc.enable()
+        return np.concatenate(ids), np.concatenate(ends)
+
+    @staticmethod
+    def _runs(texts: pa.StringArray) -> Iterator[tuple[bool, pa.StringArray]]:
+        """Stretches of texts with and without odd blanks."""
+        odd = pc.match_substring_regex(texts, ODD_BLANKS).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(odd[1:] != odd[:-1]) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield bool(odd[a]), texts.slice(a, b - a)
+
+    def _whole(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.frombuffer(self.encode_whole(t), dtype="<u4") for t in texts.to_pylist()]
+        return np.concatenate([x for ids in each for x in (ids, np.array([end], dtype="<u4"))]), np.cumsum([len(ids) + 1 for ids in each])
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_column(pa.array([text]), 0)[0][:-1].astype("<u4").tobytes()
 
 
 def tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pass one: (part, local_start, doc_id, n, ids, width) per document, written to the shared folder."""
+    """Pass one: (doc_id, part, local_start, n, ids) per document, written to the shared folder."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype=enc.width).tobytes()
         for batch in batches:
-            ids = [x + end for x in enc.encode_many([t or "" for t in batch.column(1).to_pylist()])]
-            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // enc.width.itemsize
-            starts = at + np.cumsum(n) - n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(starts), batch.column(0), pa.array(n), pa.array(ids, type=pa.binary()), pa.array(np.full(len(n), enc.width.itemsize, dtype=np.int32))], names=["part", "local_start", "doc_id", "n", "ids", "width"])
+            ids, ends = enc.encode_column(batch.column(0).fill_null(""), end_id)
+            n = np.diff(ends, prepend=0)
+            packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int64)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.full(len(n), part)), pa.array(at + ends - n), pa.array(n), packed.cast(pa.binary())], names=["doc_id", "part", "local_start", "n", "ids"])
+            at += int(ends[-1]) if len(ends) else 0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, f"part bigint, local_start bigint, doc_id {kind}, n bigint, ids binary, width int"), "tokens")
+    return stored(rows.mapInArrow(run, f"doc_id {kind}, part bigint, local_start bigint, n bigint, ids binary"), "tokens")
+
 
+def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (bytes, little-endian unsigned 32-bit), ids_crc32.
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (bytes, unsigned 32-bit; null unless with_ids), doc_tokens, sequence_id, offset, ids_crc32."""
+    Pass two is arithmetic on columns.
+    """
     coded = tokens(docs, tokenizer, end_id, id_col, text_col)
     totals = coded.groupBy("part").agg(F.sum("n").alias("total"))
     # one row per task of pass one
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     small = totals.count() <= MOST_TASKS
-    placed = coded.join(F.broadcast(bases) if small else bases, "part").select("doc_id", "n", "ids", "width", (F.col("base") + F.col("local_start")).alias("at"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            rows = batch.to_pydict()
-            for doc, n, ids, width, at in zip(*(rows[c] for c in ("doc_id", "n", "ids", "width", "at")), strict=True):
-                wide = ids if width == 4 else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
-                start = 0
-                while start < n:
-                    seq, off = divmod(at + start, length)
-                    size = min(length - off, n - start)
-                    piece = wide[4 * start : 4 * (start + size)]
-                    for k, v in enumerate((doc, start, size, piece if with_ids else None, n, seq, off, zlib.crc32(piece))):
-                        out[k].append(v)
-                    start += size
-            kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(v, type=k) for v, k in zip(out, kinds, strict=True)], names=NAMES)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return placed.mapInArrow(cut, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint")
-
-
-NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
+    placed = coded.join(F.broadcast(bases) if small else bases, "part").select("doc_id", "n", "ids", (F.col("base") + F.col("local_start")).alias("at"))
+    whole = lambda c: F.floor(c / length)
+    cut = placed.select("*", F.explode(F.sequence(whole(F.col("at")), whole(F.col("at") + F.col("n") - 1))).alias("sequence_id"))
+    cut = cut.withColumn("start", F.greatest(F.col("sequence_id") * length - F.col("at"), F.lit(0)))
+    cut = cut.withColumn("length", F.least((F.col("sequence_id") + 1) * length - F.col("at"), F.col("n")) - F.col("start"))
+    own = F.expr("substring(ids, int(start * 4 + 1), int(length * 4))")
+    cut = cut.select("doc_id", "start", "length", F.col("n").alias("doc_tokens"), "sequence_id", (F.col("at") + F.col("start") - F.col("sequence_id") * length).alias("offset"), own.alias("ids"))
+    return cut.withColumn("ids_crc32", F.crc32("ids"))

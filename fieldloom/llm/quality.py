@@ -1,19 +1,21 @@
 """Quality classifier by importance resampling: keep what a model of good text explains, by Gumbel top-k.
 
-Two generative bag-of-n-grams models over hashed word unigrams and bigrams are counted: the target model from the
-texts labelled as good, the raw model from all texts. A document's log weight is the log ratio of its
-probabilities under the two. Gumbel noise drawn from a hash of the row is added and the k largest keys are
-taken, which samples k documents without replacement in proportion to their weights.
-
-k is the share of documents that are to stay times their number. Unless given, the share is read off the labelled
-rows: the largest share that still keeps `keep_good` of the good ones, carried over to all documents by a count
-of those at or above that log weight less a margin, as noise of less than -`margin` is rare (2 in 10^9). The k-th key is found by counting keys by their leading bits in a fixed
-number of passes; nothing is sorted whole and no key is collected.
+Two generative bag-of-n-grams models over hashed word unigrams and bigrams are counted: the target model from
+texts labelled as good, the raw model from all texts. A document's log weight is the log ratio of its probabilities under the two
+per n-gram, times the n-grams it is taken to be evidence of: its own number, at most `evidence`. (N-grams of one text
+are far from independent; with the sum over a long text weights differ by thousands of nats and nothing is left to draw.)
+Gumbel noise drawn from a hash of the row is added and the k largest keys are taken, which samples k documents without
+replacement in proportion to their weights.
+
+k is the share of documents that are to stay times their number. Unless given, it is read off labelled good rows that the
+target model has not seen (one in four): the cut at which a key of theirs is expected to be taken with probability `keep_good`
+gives k as the number of keys that all documents together are expected to have above it. The k-th key is found by counting
+keys by their leading bits in a fixed number of passes; nothing is sorted whole and no key is collected.
 
 Defined results: a null or empty text has no n-grams and log weight 0. Labels without a document, null labels and
 null ids are passed over; of repeated labels for one id the largest counts. Without labelled good texts all weights
-are 0. Rows that repeat share a key and so a decision. Empty table: empty result. Other columns are ignored
-by `weights` and kept by `select`.
+are 0 and, unless a share is given, all rows stay. Rows that repeat share a key and so a decision; if keys are equal at the k-th, all of them
+are taken. Empty table: empty result. Other columns, of whatever name, are kept by `select`.
 """
 
 from __future__ import annotations
@@ -24,34 +26,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import stored, text_of
+from fieldloom.llm.common import Steps, sha256, text_of, without
 
 BUCKETS = 1 << 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
+ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Buckets:
-    """Hashed buckets of a text's unigrams and bigrams; hashes of words are kept in a bounded cache."""
+    """Hashed buckets of a text's unigrams and bigrams.
+
+    Tokens do not reach over white space, so the hashes of each distinct piece between blanks are found once and kept in
+    a bounded cache.
+    """
 
     def __init__(self, n: int = BUCKETS, limit: int = 300_000):
         self.n, self.limit, self.cache = n, limit, {}
 
-    def hashed(self, words: list[str]) -> np.ndarray:
-        cache = self.cache
+    def hashed(self, text: str) -> np.ndarray:
+        pieces, cache = text.split(), self.cache
         if len(cache) > self.limit:
             cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+        for p in set(pieces).difference(cache):
+            cache[p] = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in TOKEN.findall(p)], dtype=np.uint32).tobytes()
+        return np.frombuffer(b"".join(map(cache.__getitem__, pieces)), dtype=np.uint32).astype(np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        h = self.hashed(TOKEN.findall(text or ""))
-        mixed = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-        return (np.concatenate([h * np.uint64(0x9E3779B97F4A7C15), mixed]) >> np.uint64(32)).astype(np.int64) % self.n
+        h = self.hashed(text or "")
+        mixed = h[:-1] * ONE + h[1:] * TWO
+        return (np.concatenate([h * ONE, mixed]) >> np.uint64(32)).astype(np.int64) % self.n
 
 
 def _counts(texts: DataFrame, buckets: int, at_once: int = 1 << 20) -> DataFrame:
@@ -98,27 +105,32 @@ def log_ratios(counted: DataFrame, buckets: int = BUCKETS, prior: float = 4.0) -
     return np.log((target + prior) / (raw * target.sum() / raw.sum() + prior))
 
 
-def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, max_labels: int = 50_000) -> DataFrame:
-    """docs with __good (null where not in the labelled sample), __log_weight and __draw, written to the shared folder.
+def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, max_labels: int = 50_000, evidence: float = 16.0) -> DataFrame:
+    """(id, digest, good, seen, log_weight, draw) per row of docs, written to the shared folder.
 
-    The sample of labelled ids is bounded by `max_labels` (those with the smallest hashes); the raw model and the
-    weights cover all rows.
+    good: the label, null where the row is not in the labelled sample; seen: the target model may know the row. The sample of labelled ids
+    is bounded by `max_labels` (those with the smallest hashes); the raw model and the weights cover all rows.
     """
     spark = docs.sparkSession
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__good"))
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("good"))
     sample_ids = known.orderBy(F.xxhash64("__id"), "__id").limit(max_labels)
-    rows = docs.join(F.broadcast(sample_ids), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    ratios = spark.sparkContext.broadcast(log_ratios(_counts(rows.select(text_of(text_col), "__good"), buckets), buckets))
-    rows = rows.withColumn("__draw", F.xxhash64(F.lit("gumbel"), id_col, text_col))
-    at = rows.columns.index(text_col)
+    rows = docs.select(text_of(text_col).alias("text"), F.col(id_col).alias("id"), F.xxhash64(F.lit("gumbel"), id_col, text_col).alias("draw"))
+    rows = rows.join(F.broadcast(sample_ids), F.col("id") == F.col("__id"), "left").drop("__id")
+    rows = rows.withColumn("seen", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(4)) != 3)
+    ratios = spark.sparkContext.broadcast(log_ratios(_counts(rows.select("text", F.when(F.col("seen"), F.col("good")).alias("good")), buckets), buckets))
+    rows = rows.select("text", "id", sha256(F.col("text")).alias("digest"), "good", "seen", "draw")
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("log_weight", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, ratio = Buckets(buckets), ratios.value
         for batch in batches:
-            w = [float(ratio[of(t.as_py())].sum()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w, type=pa.float64())], names=[*batch.schema.names, "__log_weight"])
+            w = []
+            for t in batch.column(0):
+                found = ratio[of(t.as_py())]
+                w.append(float(found.sum()) * min(1.0, evidence / max(1, len(found))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(w, type=pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__log_weight", T.DoubleType())]))
+    return Steps(spark).stored(rows.mapInArrow(run, schema), "weights")
 
 
 def _kth_largest(keys: DataFrame, k: int) -> int:
@@ -134,23 +146,39 @@ def _kth_largest(keys: DataFrame, k: int) -> int:
     return low
 
 
-def sample(weighted: DataFrame, share: float | None = None, keep_good: float = 0.998, margin: float = 3.0) -> DataFrame:
-    """The rows of a stored `weights` table that are taken, with __gumbel_key, by Gumbel top-k."""
-    u = (F.shiftrightunsigned("__draw", 11).cast("double") + 0.5) / float(1 << 53)
-    rows = weighted.withColumn("__gumbel_key", F.col("__log_weight") - F.log(-F.log(u)))
+def gumbel_key(log_weight: Column, draw: Column) -> Column:
+    u = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(1 << 53)
+    return log_weight - F.log(-F.log(u))
+
+
+def _expected(cut: float) -> Column:
+    """Probability that a row's key is above the cut."""
+    return 1 - F.exp(-F.exp(F.col("log_weight") - F.lit(cut)))
+
+
+def size_of_sample(weighted: DataFrame, keep_good: float) -> int:
+    """k by the labelled good rows that the model has not seen; the cut is found to 1/16 nat in two passes over them."""
+    rows, cut = weighted.filter("good = 1 and not seen").select("log_weight"), -50.0
+    for step, n in ((1.0, 61), (1 / 16, 16)):
+        means = rows.agg(*[F.avg(_expected(cut + i * step)).alias(str(i)) for i in range(n)]).first()
+        if means[0] is None:
+            return weighted.count()
+        cut += step * max((i for i, m in enumerate(means) if m >= keep_good), default=0)
+    return round(weighted.agg(F.sum(_expected(cut))).first()[0] or 0.0)
+
+
+def sample(weighted: DataFrame, share: float | None = None, keep_good: float = 0.998) -> DataFrame:
+    """`weights` with gumbel_key and whether the row is taken, by Gumbel top-k."""
+    rows = weighted.withColumn("gumbel_key", gumbel_key(F.col("log_weight"), F.col("draw")))
     # keys as longs in the same order, to 2^-20
-    rows = rows.withColumn("key", F.floor(F.col("__gumbel_key") * float(1 << 20)))
-    n = rows.count()
-    if share is None:
-        least = rows.filter("__good = 1").agg(F.percentile("__log_weight", 1 - keep_good)).first()[0]
-        k = n if least is None else rows.filter(F.col("__log_weight") >= F.lit(min(least, 0.0) - margin)).count()
-    else:
-        k = round(share * n)
+    key = F.floor(F.col("gumbel_key") * float(1 << 20))
+    k = size_of_sample(weighted, keep_good) if share is None else round(share * weighted.count())
     if k <= 0:
-        return rows.limit(0).drop("key")
-    return rows.filter(F.col("key") >= F.lit(_kth_largest(rows.select("key"), k))).drop("key")
+        return rows.withColumn("taken", F.lit(False))
+    return rows.withColumn("taken", key >= F.lit(_kth_largest(rows.select(key.alias("key")), k)))
 
 
-def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows that are not sampled; the columns are kept as they are."""
-    return sample(stored(weights(docs, labels, id_col, text_col), "weights"), **how).select(*docs.columns)
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float | None = None, keep_good: float = 0.998, **how) -> DataFrame:
+    """docs without the rows that are not sampled; the columns are kept as they are. Only texts of rows that may go are shuffled."""
+    taken = sample(weights(docs, labels, id_col, text_col, label_col, **how), share, keep_good)
+    return without(docs, Steps(docs.sparkSession).stored(taken.filter("not taken").select("id", "digest"), "rejected"), id_col, text_col)

@@ -29,10 +29,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weighted = quality.weights(docs, table(spark, sf_dir, "labels")).drop("text")
-    taken = quality.sample(quality.stored(weighted, "weights"))
-    return taken.select("doc_id", F.col("__log_weight").alias("log_weight"), F.col("__gumbel_key").alias("gumbel_key"))
+    taken = quality.sample(quality.weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))).filter("taken")
+    return taken.select(F.col("id").alias("doc_id"), "log_weight", "gumbel_key")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +50,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False)
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
