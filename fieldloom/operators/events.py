@@ -103,7 +103,7 @@ def _shared(c=F.col) -> dict[str, Column]:
     return {
         "passes": _n(c("type") == "Pass"), "passes_completed": _n(c("completed")), "progressive_passes": _n(c("open_pass") & c("ahead")),
         "passes_into_final_third": _n(c("open_pass") & (c("x") < 80) & (c("ex") >= 80)), "passes_into_penalty_area": _n(c("open_pass") & ~fn.in_box(c("x"), c("y")) & fn.in_box(c("ex"), c("ey"))),
-        "xt": F.round(F.sum("gain"), 5), "shots": _n(shot), "xg": F.round(F.sum(F.when(shot, c("xg")).otherwise(0.0)), 5), "goals": _n(c("goal")), "np_shots": _n(free), "npxg": F.round(F.sum(F.when(free, c("xg")).otherwise(0.0)), 5),
+        "xt": F.round(F.sum(c("gain").cast("decimal(18,6)")), 5).cast("double"), "shots": _n(shot), "xg": F.round(F.sum(F.when(shot, c("xg")).otherwise(0.0)), 5), "goals": _n(c("goal")), "np_shots": _n(free), "npxg": F.round(F.sum(F.when(free, c("xg")).otherwise(0.0)), 5),
         "shots_on_target": _n(free & c("shot_outcome").isin(cat.ON_TARGET)), "pressures": _n(c("type") == "Pressure"), "counterpressures": _n(c("counterpress")),
     }
 
