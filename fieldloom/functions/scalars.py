@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,14 +76,14 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return num / F.when(den != 0, den)
 
 
-#: Letters that NFKD takes apart, and what is left without their marks.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-BARE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+@F.pandas_udf("string")
+def _bare(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower().strip(), na_action="ignore")
 
 
 def normalize_name(c: Column) -> Column:
-    """Marks off, other non-ASCII letters dropped, lower case, trimmed (the accents of Latin-1)."""
-    return F.trim(F.lower(F.regexp_replace(F.translate(c, MARKED, BARE), "[^\\x00-\\x7F]", "")))
+    """Compatibility decomposition, other than ASCII dropped, lower case, trimmed. Spark has no decomposition, so names go through Arrow."""
+    return _bare(c)
 
 
 def version_order(c: Column) -> Column:

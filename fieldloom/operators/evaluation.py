@@ -21,12 +21,12 @@ def recall_mrr(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
 
 
 def rbo(a: Column, b: Column, p: float = 0.9) -> Column:
-    """Extrapolated rank-biased overlap of two array columns."""
-    k = F.least(F.size(a), F.size(b))
+    """Extrapolated rank-biased overlap of two array columns, to the depth of the longer one; 1 for two empty lists, 0 for one."""
+    k = F.greatest(F.size(a), F.size(b))
     agree = lambda d: F.size(F.array_intersect(F.slice(a, F.lit(1), d), F.slice(b, F.lit(1), d))).cast("double")
     total = F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda s, d: s + agree(d) / d * F.pow(F.lit(p), d - 1))
     value = (1 - p) * total + agree(k) / k * F.pow(F.lit(p), k)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(k == 0, 0.0).otherwise(value)
+    return F.when(k == 0, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(value)
 
 
 def kendall_tau(df: DataFrame, group: str, item: str, x: str, y: str) -> DataFrame:

@@ -17,11 +17,17 @@ from pyspark.sql import functions as F
 KINDS = ("euclidean", "sqeuclidean", "manhattan", "cosine", "mahalanobis")
 
 
-def dist(a: Column, b: Column, kind: str) -> Column:
-    """Distance of two array columns."""
+def dist(a: Column, b: Column, kind: str, root: np.ndarray | None = None) -> Column:
+    """Distance of two array columns; mahalanobis needs the root that `fit_whitening` gives."""
+    if kind == "mahalanobis":
+        if root is None:
+            raise ValueError("mahalanobis needs the root of a fitted whitening")
+        apart = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
+        parts = [F.aggregate(F.zip_with(apart, F.array(*[F.lit(float(w)) for w in row]), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v) for row in root]
+        return F.sqrt(sum((p * p for p in parts), F.lit(0.0)))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
     d = lambda f: total(F.zip_with(a, b, lambda x, y: f(x.cast("double"), y.cast("double"))))
-    if kind in ("euclidean", "mahalanobis"):
+    if kind == "euclidean":
         return F.sqrt(d(lambda x, y: (x - y) * (x - y)))
     if kind == "sqeuclidean":
         return d(lambda x, y: (x - y) * (x - y))
@@ -47,11 +53,15 @@ def blocks(df: DataFrame, key: str, x: str, n: int) -> DataFrame:
     return df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(x).cast("array<double>").alias("x"))).alias("rows"))
 
 
-def knn(base: DataFrame, query: DataFrame, k: int, kind: str = "euclidean", key: str = "id", x: str = "x", block_rows: int = 2048) -> DataFrame:
+def knn(base: DataFrame, query: DataFrame, k: int, kind: str = "euclidean", key: str = "id", x: str = "x", block_rows: int = 2048, root: np.ndarray | None = None) -> DataFrame:
     """(key, neighbour, distance, rank): the k nearest other rows of base per row of query, ties by id.
 
     Query blocks meet base blocks (a stated query set against all rows, in blocks); each pair keeps its best k.
     """
+    if kind == "mahalanobis":
+        if root is None:
+            raise ValueError("mahalanobis needs the root of a fitted whitening")
+        base, query, kind, x = whiten(base, x, root, key), whiten(query, x, root, key), "euclidean", "x"
     rows = max(base.count(), 1)
     n_base, n_query = -(-rows // block_rows), max(1, -(-query.count() // block_rows))
     left = blocks(query, key, x, n_query).select(F.col("block").alias("q"), F.col("rows").alias("qs"))
@@ -121,7 +131,7 @@ def whiten(df: DataFrame, x: str, root: np.ndarray, *keep: str) -> DataFrame:
     return mapped(df, x, lambda a: a @ root, *keep)
 
 
-def kernel_width(df: DataFrame, key: str, x: str, kind: str = "euclidean", seed: int = 7, sample: int = 512) -> float:
+def kernel_width(df: DataFrame, key: str, x: str, kind: str = "euclidean", seed: int = 7, sample: int = 2000) -> float:
     """Median heuristic over the pairs of a bounded sample (the rows of smallest hash); 1 if there is no positive distance."""
     rows = df.select(key, F.col(x).cast("array<double>").alias("x")).orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample)
     a = rows.select(F.col(key).alias("i"), F.col("x").alias("a"))
@@ -196,7 +206,7 @@ def pair_divergence(a: DataFrame, b: DataFrame, key: str, score, block_rows: int
 def pair_scores(left: DataFrame, right: DataFrame, key: str, score, k: int, block_rows: int = 2048) -> DataFrame:
     """(a, b, score): the k best other rows per row of left, by a function of two blocks of rows; zero scores are left out."""
     n = max(1, -(-max(right.count(), 1) // block_rows))
-    m = max(1, -(-max(left.count(), 1) // block_rows))
+    m = n if left is right else max(1, -(-max(left.count(), 1) // block_rows))
     a, b = blocks(left, key, "x", m).select(F.col("rows").alias("qs")), blocks(right, key, "x", n).select("block", F.col("rows").alias("bs"))
     pairs = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(b, "block").select("qs", "bs")
     kind = left.schema[key].dataType.simpleString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,19 +31,32 @@ def _quality(name: Column, text: Column) -> Column:
 def search(names: DataFrame, queries: DataFrame, limit: int, key: str = "id", name: str = "name", text: str = "text") -> DataFrame:
     """(text, id, name, quality, rank): exact, then prefix, then substring matches, then by name. Queries are a stated, small set."""
     n, q = names.select(key, name, normalize_name(F.col(name)).alias("__n")), queries.select(text, normalize_name(F.col(text)).alias("__t")).distinct()
+    if (asked := q.limit(MOST_TEXTS + 1).count()) > MOST_TEXTS:
+        raise ValueError(f"{asked} texts at once; at most {MOST_TEXTS} are compared with every name")
     met = n.join(F.broadcast(q), F.col("__n").contains(F.col("__t"))).withColumn("quality", _quality(F.col("__n"), F.col("__t")))
     rank = F.row_number().over(Window.partitionBy(text).orderBy("quality", "__n", key))
     return met.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= limit).drop("__n", "__t")
 
 
-def resolve(names: DataFrame, queries: DataFrame, key: str = "id", name: str = "name", text: str = "text") -> DataFrame:
-    """(text, status, id): exact match, else the only substring match, else ambiguous or absent."""
+#: Texts that are compared with every name at once at most; more are taken in several rounds.
+MOST_TEXTS = 10_000
+
+
+def resolve(names: DataFrame, queries: DataFrame, key: str = "id", name: str = "name", text: str = "text", most: int = MOST_TEXTS) -> DataFrame:
+    """(text, status, id): exact match, else the only substring match, else ambiguous or absent.
+
+    Exact names are found by an equi join. Only the other texts are looked for inside the names, `most` of them in a round, so that
+    what is broadcast is bounded.
+    """
     n, q = names.select(key, normalize_name(F.col(name)).alias("__n")), queries.select(text, normalize_name(F.col(text)).alias("__t")).distinct()
-    met = n.join(F.broadcast(q), F.col("__n").contains(F.col("__t")))
-    exact = F.min(F.when(F.col("__n") == F.col("__t"), F.col(key)))
-    got = met.groupBy(text).agg(exact.alias("exact"), F.count("*").alias("n"), F.min(key).alias("any"))
-    status = F.when(F.col("n").isNull(), "absent").when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "unique").otherwise("ambiguous")
-    return q.join(got, text, "left").select(text, status.alias("status"), F.when(F.col("exact").isNotNull() | (F.col("n") == 1), F.coalesce("exact", "any")).alias("id"))
+    exact = q.join(n, F.col("__t") == F.col("__n")).groupBy(text).agg(F.min(key).alias("id")).withColumn("status", F.lit("exact"))
+    rest = q.join(exact.select(text), text, "left_anti")
+    rounds = max(1, -(-rest.count() // most))
+    some = lambda k: rest if rounds == 1 else rest.filter(F.pmod(F.xxhash64(text), F.lit(rounds)) == k)
+    met = reduce(DataFrame.unionByName, [n.join(F.broadcast(some(k)), F.col("__n").contains(F.col("__t"))).select(text, key) for k in range(rounds)])
+    found = rest.join(met.groupBy(text).agg(F.count("*").alias("n"), F.min(key).alias("any")), text, "left")
+    status = F.when(F.col("n").isNull(), "absent").when(F.col("n") == 1, "unique").otherwise("ambiguous")
+    return exact.select(text, "status", "id").unionByName(found.select(text, status.alias("status"), F.when(F.col("n") == 1, F.col("any")).alias("id")))
 
 
 def search_absent(data: DataFrame, model: DataFrame, queries: DataFrame, limit: int, key: str = "id", name: str = "name", text: str = "text") -> DataFrame:

@@ -52,12 +52,12 @@ def project_features(spark: SparkSession, folder: str) -> DataFrame:
     return foldin.project_features(obs.filter("match >= 199601"), frozen, "league", ["qty"]).select("entity", "match", r6(c("qty"), "qty"))
 
 
-@query(f"""with {TOPS}, {_top_sql("", "2")}, d as (select max(abs(coalesce(p.score, 0) - coalesce(q.score, 0))) m, max(abs(coalesce(q.score, 0))) t from (select * from t1 where r <= 50) p full join (select * from t2 where r <= 50) q on p.a = q.a and p.b = q.b),
+@query(f"""with {TOPS}, {_top_sql("", "2")}, d as (select max(abs(coalesce(p.score, 0) - coalesce(q.score, 0))) m, max(abs(coalesce(q.score, 0))) t from t1 p full join t2 q on p.a = q.a and p.b = q.b),
   h as (select a, count(*) filter (n = 2) both_in, count(*) filter (n = 2) + count(*) filter (n = 1) / 2 size from (select a, b, count(*) n from (select a, b from t1 where r <= 10 union all select a, b from t2 where r <= 10) group by all) group by a)
   select round(m, 6) max_abs, round(m / t, 6) relative, (select round(avg(both_in / size), 6) from h) overlap from d""")
 def score_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Differences over all pairs of suppliers, overlap over the ten best of each."""
-    x, y = (geo.normalized(_supplier_vectors(spark, folder, g)).persist() for g in ("league", None))
+    x, y = (geo.normalized(_supplier_vectors(spark, folder, g)) for g in ("league", None))
     cosine = lambda a, b: (a @ b.T).round(9)
     far = geo.pair_divergence(x, y, "entity", cosine)
     tops = rk.divergence(geo.pair_scores(x, x, "entity", cosine, 10), geo.pair_scores(y, y, "entity", cosine, 10), 10).select("overlap")
