@@ -20,14 +20,17 @@ POSITIONS = [
     "Left Center Forward", "Secondary Striker",
 ]
 
-# Threat of the rows y = 0..3; the lower half mirrors the upper one.
-THREAT_HALF = [
+# Threat by rows of y (8) and columns of x (12).
+THREAT = [
     [0.006383, 0.007796, 0.008449, 0.009777, 0.011263, 0.012483, 0.014736, 0.017451, 0.021221, 0.027563, 0.034851, 0.043179],
     [0.007501, 0.008786, 0.009424, 0.010595, 0.012147, 0.013845, 0.016118, 0.018703, 0.024015, 0.029533, 0.040670, 0.043951],
     [0.008880, 0.009777, 0.010013, 0.011105, 0.012692, 0.014291, 0.016856, 0.019351, 0.024122, 0.028552, 0.054911, 0.064426],
     [0.009411, 0.010827, 0.010165, 0.011324, 0.012626, 0.014846, 0.016895, 0.019971, 0.023851, 0.035113, 0.108051, 0.257454],
+    [0.009411, 0.010827, 0.010165, 0.011324, 0.012626, 0.014846, 0.016895, 0.019971, 0.023851, 0.035113, 0.108051, 0.257454],
+    [0.008880, 0.009777, 0.010013, 0.011105, 0.012692, 0.014291, 0.016856, 0.019351, 0.024122, 0.028552, 0.054911, 0.064426],
+    [0.007501, 0.008786, 0.009424, 0.010595, 0.012147, 0.013845, 0.016118, 0.018703, 0.024015, 0.029533, 0.040670, 0.043951],
+    [0.006383, 0.007796, 0.008449, 0.009777, 0.011263, 0.012483, 0.014736, 0.017451, 0.021221, 0.027563, 0.034851, 0.043179],
 ]
-THREAT = [*THREAT_HALF, *reversed(THREAT_HALF)]
 
 PLAYER_COUNTS = [
     "passes", "passes_completed", "progressive_passes", "progressive_carries", "passes_into_final_third", "xt", "xa",
@@ -65,12 +68,15 @@ TEAM_PHASES = {
     "territory": ["field_tilt", "absolute_width", "sequence_start_distance"],
     "style": ["direct_speed", "direct_attacks", "passes_per_sequence", "open_play_sequences"],
 }
-SCORE_WEIGHTS = {"top1": 1.0, "mrr": 1.0, "role_purity": 1.0, "rbo": 0.75, "knn_accuracy": 0.75, "coverage": 0.25, "diversity": 0.25, "asymmetry": 0.25}
+# Weights of the composite score; a metric that is measured out of sample too counts there under gen_ with the same weight.
+IN_SAMPLE_WEIGHTS = {"top1": 1.0, "mrr": 1.0, "role_purity": 1.0, "rbo": 0.75, "knn_accuracy": 0.75, "coverage": 0.25, "diversity": 0.25, "asymmetry": 0.25}
+SCORE_WEIGHTS = IN_SAMPLE_WEIGHTS | {f"gen_{k}": w for k, w in IN_SAMPLE_WEIGHTS.items() if k != "asymmetry"}
 
 
-def coarse_role(position: str) -> str | None:
-    """GK, DEF, MID or ATT by the last words of a position; none for a secondary striker."""
-    if position == "Goalkeeper":
-        return "GK"
-    last = position.split()[-1]
-    return {"Back": "DEF", "Midfield": "MID", "Wing": "ATT", "Forward": "ATT"}.get(last)
+# The coarse role of each position; a secondary striker has none.
+ROLES = {
+    "GK": ["Goalkeeper"],
+    "DEF": ["Right Back", "Right Center Back", "Center Back", "Left Center Back", "Left Back", "Right Wing Back", "Left Wing Back"],
+    "MID": ["Right Defensive Midfield", "Center Defensive Midfield", "Left Defensive Midfield", "Right Midfield", "Right Center Midfield", "Center Midfield", "Left Center Midfield", "Left Midfield", "Right Attacking Midfield", "Center Attacking Midfield", "Left Attacking Midfield"],
+    "ATT": ["Right Wing", "Left Wing", "Right Center Forward", "Center Forward", "Left Center Forward"],
+}

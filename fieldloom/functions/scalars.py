@@ -93,8 +93,10 @@ def version_order(c: Column) -> Column:
 
 
 def role_of(position: Column) -> Column:
-    pairs = [v for p in cat.POSITIONS if cat.coarse_role(p) for v in (F.lit(p), F.lit(cat.coarse_role(p)))]
-    return F.coalesce(F.create_map(*pairs)[position], F.lit("???"))
+    out = F.when(F.lit(False), "")
+    for role, names in cat.ROLES.items():
+        out = out.when(position.isin(names), role)
+    return out.otherwise("???")
 
 
 def oriented(feature: Column, z: Column, lower_better: list[str]) -> Column:

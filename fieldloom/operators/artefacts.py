@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.scalars import row_hash
 from fieldloom.operators.geometry import kernel_from_costs, sinkhorn_pairs, slim_weights
 from fieldloom.operators.tables import changed
 
@@ -15,6 +16,16 @@ MODEL, STATE = ("scores", "entities", "display", "norm_stats", "model_meta"), ("
 AXES = ("formulation", "entity_kind", "normalisation", "distance")
 
 
+def state_tables(fm: DataFrame, meta: Mapping[str, str], weights: DataFrame | None = None, costs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The state from which a fit can go on: obs (entity, match, hash of the features), w (r, s, w), ot (a, b, cost), state_meta (name, value).
+
+    meta holds what is learnt from all rows and kept, such as the kernel's width or the whitening's root as JSON, and the set-up.
+    """
+    out = {"obs": fm.select(F.col("entity_id").alias("entity"), F.col("match_id").alias("match"), row_hash(F.col("x").cast("array<double>")).alias("hash"))}
+    out["state_meta"] = fm.sparkSession.createDataFrame(sorted(meta.items()) or [("", "")], "name string, value string").filter("name != ''")
+    return out | {k: t for k, t in (("w", weights), ("ot", costs)) if t is not None}
+
+
 def write_tables(tables: Mapping[str, DataFrame], path: str, axes: Mapping[str, str], names: tuple[str, ...] = MODEL) -> None:
     """Writes the tables of one model under its axes; other models in the folder stay, an earlier one with the same axes gives way."""
     if unknown := set(tables) - set(names):

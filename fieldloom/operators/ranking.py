@@ -132,3 +132,15 @@ def compare_positions(shares: DataFrame, pairs: DataFrame) -> DataFrame:
     one = lambda side: pairs.select("a", "b").distinct().join(shares.select(F.col("entity").alias(side), "position", F.col("share").alias(f"share_{side}")), side)
     both = one("a").join(one("b"), ["a", "b", "position"], "full_outer").na.fill(0, ["share_a", "share_b"])
     return both.filter((F.col("share_a") > 0) | (F.col("share_b") > 0)).select("a", "b", "position", "share_a", "share_b")
+
+
+def query_by_name(texts: DataFrame, names: DataFrame, scores: DataFrame, long: DataFrame, k: int = 10, n: int = 4) -> DataFrame:
+    """(text, status, a, rank, b, candidate, score, traits) for many names in one job; a text that names nobody has one row without a candidate.
+
+    texts: (text); names: (id, name); long: (entity, feature, z).
+    """
+    told = resolve(names, texts)
+    best = top_k(scores.join(told.select(F.col("id").alias("a")).distinct(), "a", "left_semi"), k)
+    traits = shared_traits(best, long, "entity", n).groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda r: r["feature"]).alias("traits"))
+    rows = best.join(names.select(F.col("id").alias("b"), F.col("name").alias("candidate")), "b").join(traits, ["a", "b"], "left")
+    return told.withColumnRenamed("id", "a").join(rows, "a", "left").select("text", "status", "a", "rank", "b", "candidate", "score", "traits")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
-    """All combinations of the axes' values."""
-    parts = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in axes.items()]
+def grid(spark: SparkSession, axes: dict[str, list | DataFrame]) -> DataFrame:
+    """All combinations of the axes' values: lists, or tables whose first column holds them."""
+    of = lambda v, name: v.toDF(name).distinct() if isinstance(v, DataFrame) else spark.createDataFrame([(x,) for x in v], [name])
+    parts = [of(values, name) for name, values in axes.items()]
     return reduce(lambda a, b: a.crossJoin(b), parts)
 
 

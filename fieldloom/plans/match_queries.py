@@ -130,7 +130,7 @@ def clock_functions(spark: SparkSession, folder: str) -> DataFrame:
     return k.select("k", fn.event_seconds(F.when(c("k") % 7 != 0, c("k") % 200), F.when(c("k") % 5 != 0, c("k") % 60)).alias("seconds"), F.round(fn.parse_clock(text), 9).alias("clock"), fn.version_order(name).alias("order"), F.round(fn.padj_factor(share), 9).alias("factor"))
 
 
-ROLES = {p: cat.coarse_role(p) or "???" for p in cat.POSITIONS}
+ROLES = {p: next((r for r, names in cat.ROLES.items() if p in names), "???") for p in cat.POSITIONS}
 
 
 @query(f"""with p as (select p_partkey k, ({md.NAMED})[p_partkey % 25 + 1] p from part) select k, p "position", 'pos_' || replace(lower(p), ' ', '_') slug,

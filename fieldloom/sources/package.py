@@ -80,11 +80,28 @@ def match_counts(competitions: DataFrame, matches: DataFrame) -> DataFrame:
     return competitions.join(n, ["competition_id", "season_id"], "left").select("competition_name", "season_name", F.coalesce("n", F.lit(0)).alias("match_count"))
 
 
+def find_by_name(df: DataFrame, column: str, text: str) -> DataFrame:
+    """Rows whose name is the text, whatever the case and the blanks around."""
+    return df.filter(F.lower(F.trim(column)) == F.lit(text.strip().lower()))
+
+
+def validate_structure(spark: SparkSession, root: str, matches: DataFrame) -> DataFrame:
+    """Problems (level, place, match_id, message) of the matches' files: missing, no JSON, or no list."""
+    out = spark.createDataFrame([], PROBLEM)
+    for place in ("events", "lineups"):
+        files = by_match(whole_files(spark, f"{root}/{place}/*.json"))
+        each = matches.select("match_id").distinct().join(files, "match_id", "left")
+        parsed = F.try_parse_json("value")
+        told = F.when(F.col("value").isNull(), "the file is missing").when(parsed.isNull(), "the file is no JSON").when(~F.startswith(F.schema_of_variant(parsed), F.lit("ARRAY")), "the file is no list")
+        out = out.unionByName(each.select(F.lit("error").alias("level"), F.lit(place).alias("place"), "match_id", told.alias("message")).filter("message is not null"))
+    return out
+
+
 def discover(spark: SparkSession, root: str, ids: list[int] | None = None, competition: str | None = None, season: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(matches to take, problems): declared matches by name and id; undeclared, repeated and missing ones are problems."""
     comps, matches = read_competitions(spark, root), read_matches(spark, root)
-    same = lambda c, text: F.lower(F.trim(c)) == F.lit((text or "").strip().lower())
-    wanted = comps.filter((same("competition_name", competition) if competition else F.lit(True)) & (same("season_name", season) if season else F.lit(True)))
+    wanted = find_by_name(comps, "competition_name", competition) if competition else comps
+    wanted = find_by_name(wanted, "season_name", season) if season else wanted
     keys = ["competition_id", "season_id"]
     taken = matches.join(wanted.select(*keys).distinct(), keys, "left_semi")
     ask = spark.createDataFrame([(i,) for i in ids or []], "match_id BIGINT")
