@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from fieldloom.functions import catalogue as cat
 
@@ -76,7 +77,7 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return num / F.when(den != 0, den)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _bare(names: pd.Series) -> pd.Series:
     return names.map(lambda n: unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower().strip(), na_action="ignore")
 

@@ -110,7 +110,7 @@ def generalization(embedded_halves: DataFrame, inside: DataFrame, pool: int, see
     rows = normalized(embedded_halves).join(chosen, "entity")
     half = lambda h, e, x: rows.filter(F.col("half") == h).select(F.col("entity").alias(e), "inside", F.col("x").alias(x))
     # at most `pool` entities on either side of each of the two scopes
-    scores = half("A", "a", "xa").join(half("B", "b", "xb"), "inside").select("inside", "a", "b", (1 - dist(F.col("xa"), F.col("xb"), "cosine")).alias("score")).persist()
+    scores = half("A", "a", "xa").join(half("B", "b", "xb"), "inside").select("inside", "a", "b", (1 - dist(F.col("xa"), F.col("xb"), "cosine")).alias("score"))
     told = [self_retrieval(scores.filter("inside" if i else "not inside").select("a", "b", "score"), minutes).withColumn("inside", F.lit(i)) for i in (True, False)]
     return told[0].unionByName(told[1])
 

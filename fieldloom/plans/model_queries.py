@@ -120,15 +120,18 @@ def l1_slim_edges(spark: SparkSession, folder: str) -> DataFrame:
 PHASES = [("volume", "qty"), ("volume", "price"), ("terms", "disc"), ("terms", "tax"), ("terms", "returned")]
 
 
-@query(f"""with {TOPS}, {_zsql("partition by league")}, {LONG}, t as (select a, b, score, r from t1 where r <= 5 and a % 4 = 0), p as (select t.a, t.b, x.feature, round(abs(x.z) - abs(x.z - y.z), 9) s from t join l x on x.entity = t.a join l y on y.entity = t.b and y.feature = x.feature),
-  k as (select *, row_number() over (partition by a, b order by s desc, feature) n from p), w2 as (select a, b, string_agg(feature, ',' order by n) traits from k where n <= 3 group by all)
-  select a, r::bigint "rank", b, round(score, 6) score, traits from t join w2 using (a, b)""")
+@query(f"""with {TOPS}, {_zsql("partition by league")}, {LONG}, t as (select a, b, score, r from t1 where r <= 5 and a % 20 = 0), p as (select t.a, t.b, x.feature, round(abs(x.z) - abs(x.z - y.z), 9) s from t join l x on x.entity = t.a join l y on y.entity = t.b and y.feature = x.feature),
+  k as (select *, row_number() over (partition by a, b order by s desc, feature) n from p), w2 as (select a, b, string_agg(feature, ',' order by n) traits from k where n <= 3 group by all),
+  pp as (select entity, case when feature in ('qty', 'price') then 'volume' else 'terms' end phase, avg(case when feature = 'returned' then -z else z end) sc from l group by all), pc as (select entity, phase, (rank() over (partition by phase order by sc) - 1 + (count(*) over (partition by phase, sc) - 1) / 2) / (count(*) over (partition by phase) - 1) pct from pp),
+  pl as (select entity, string_agg(phase || ':' || (round(pct, 6)::double)::varchar, ',' order by phase) told from pc group by entity)
+  select a, r::bigint "rank", b, round(score, 6) score, traits, x.told phases_a, y.told phases_b from t join w2 using (a, b) join pl x on x.entity = a join pl y on y.entity = b""")
 def recommendation_sheet(spark: SparkSession, folder: str) -> DataFrame:
     long = _display(spark, folder)
     profile = fe.phase_profile(long, spark.createDataFrame(PHASES, "phase string, feature string"), "entity", ["returned"]).select("entity", "phase", tb.midrank_pct(["phase"], "score").alias("pct"))
-    ids = long.select(c("entity").alias("a")).filter("a % 4 = 0").distinct()
-    got = rk.recommend(_supplier_top(spark, folder, "league", 5), long, profile, ids, 5, 3)
-    return got.select("a", "rank", "b", r6(c("score"), "score"), F.array_join("traits", ",").alias("traits"))
+    ids = long.select(c("entity").alias("a")).filter("a % 20 = 0").distinct()
+    got = rk.recommend(_supplier_top(spark, folder, "league", 5, asked=True), long, profile, ids, 5, 3)
+    told = lambda side: F.array_join(F.transform(f"phases_{side}", lambda p: F.concat_ws(":", p["phase"], F.round(p["pct"], 6).cast("string"))), ",").alias(f"phases_{side}")
+    return got.select("a", "rank", "b", r6(c("score"), "score"), F.array_join("traits", ",").alias("traits"), told("a"), told("b"))
 
 
 @query(f"""with {EV}, g as (select player_id, type, count(*)::double w from e group by all), x as (select *, round(w / sum(w) over (partition by player_id) * 100, 9) x from g), fl as (select *, floor(x) f from x),
@@ -183,13 +186,18 @@ def phase_self_retrieval(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""with {TOPS}, {ROLES}, t as (select * from t1 where r <= 10), v as (select t.a, y.role g, count(*) n from t join ro y on y.entity = t.b where y.role is not null and r <= 5 group by all), m as (select a, g from (select *, row_number() over (partition by a order by n desc, g) i from v) where i = 1),
-  q as (select m.a, g, role from m join ro on entity = a where role is not null), deg as (select entity, coalesce(n, 0) n from (select distinct entity from o) left join (select b, count(*) n from t group by b) on b = entity)
-  select round((select avg((g = role)::int) from q), 6) knn_accuracy, (select count(*) from q) n_knn, round(avg((n > 0)::int), 6) coverage, round(avg(n), 6) indegree from deg""")
+  q as (select m.a, g, role from m join ro on entity = a where role is not null), xv as (select entity, [{', '.join(f'sum(mass * {f}) / sum(mass)' for f in FEATURES)}] x, round(sum(mass), 6) volume from o group by entity),
+  deg as (select entity, volume, coalesce(n, 0) n from xv left join (select b, count(*) n from t group by b) on b = entity),
+  rk as (select rank() over (order by n) + (count(*) over (partition by n) - 1) / 2 x, rank() over (order by volume) + (count(*) over (partition by volume) - 1) / 2 y from deg),
+  tr as (select role, count(*) n, count(*) filter (g = role) hit from q group by role), sd as (select g, count(*) said from q group by g),
+  ap as (select p.a, avg(list_distance(x.x, y.x)) d from t p join t q on p.a = q.a and p.r < q.r join xv x on x.entity = p.b join xv y on y.entity = q.b group by p.a)
+  select round((select avg((g = role)::int) from q), 6) knn_accuracy, (select count(*) from q) n_knn, round((select avg(2.0::double * hit / (n + coalesce(said, 0))) from tr left join sd on g = role), 6) knn_f1,
+    round(avg((n > 0)::int), 6) coverage, round(avg(n), 6) indegree, round((select corr(x, y) from rk), 6) popularity, round((select avg(d) from ap), 4) diversity from deg""")
 def phase_downstream(spark: SparkSession, folder: str) -> DataFrame:
     obs = observations(spark, folder)
-    ents = fe.weighted_mean(obs, "entity", "mass", FEATURES).select("entity", F.array(*FEATURES).alias("x")).join(obs.groupBy("entity").agg(F.sum("mass").alias("volume")), "entity").join(_roles(spark, folder), "entity")
+    ents = fe.weighted_mean(obs, "entity", "mass", FEATURES).select("entity", F.array(*FEATURES).alias("x")).join(obs.groupBy("entity").agg(r6(F.sum("mass"), "volume")), "entity").join(_roles(spark, folder), "entity")
     got = ph.downstream(_supplier_top(spark, folder, "league", 10), ents)
-    return got.select(r6(c("knn_accuracy"), "knn_accuracy"), "n_knn", r6(c("coverage"), "coverage"), r6(c("indegree"), "indegree"))
+    return got.select("n_knn", *[r6(c(k), k) for k in ("knn_accuracy", "knn_f1", "coverage", "indegree", "popularity")], F.round("diversity", 4).alias("diversity"))
 
 
 @query()
@@ -210,13 +218,13 @@ def phase_stability(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def phase_triangulation(spark: SparkSession, folder: str) -> DataFrame:
     """All scores among the sample of suppliers on which the tests run."""
-    ids = ev.fixed_sample(table(spark, folder, "supplier").select(c("s_suppkey").alias("entity")), "entity", 60, 7)
+    ids = ev.fixed_sample(table(spark, folder, "supplier").select(c("s_suppkey").alias("entity")), "entity", 500, 7)
 
     def scores(group: str | None) -> DataFrame:
-        unit = geo.normalized(_supplier_vectors(spark, folder, group).join(F.broadcast(ids), "entity", "left_semi")).persist()
-        return geo.pair_scores(unit, unit, "entity", lambda a, b: (a @ b.T).round(9), 60).persist()
+        unit = geo.normalized(_supplier_vectors(spark, folder, group).join(F.broadcast(ids), "entity", "left_semi"))
+        return geo.pair_scores(unit, unit, "entity", lambda a, b: (a @ b.T).round(9), 500)
 
-    return ph.triangulation({"league": scores("league"), "global": scores(None)}, [("league", "global")], sample=60, n=99)
+    return ph.triangulation({"league": scores("league"), "global": scores(None)}, [("league", "global")])
 
 
 @query()
@@ -234,7 +242,7 @@ def phase_generalization(spark: SparkSession, folder: str) -> DataFrame:
     stats = fe.norm_stats(obs.filter("league != 'ASIA'"), None, FEATURES)
     z = tb.split_halves(fe.zscore(obs, stats, None, FEATURES), "entity", "match").select("entity", "half", "mass", F.array(*FEATURES).alias("x"))
     e = geo.embed_entities(z.withColumn("key", F.concat_ws("/", "half", "entity")), "key", "mass")
-    halves = e.select(F.split("key", "/")[0].alias("half"), F.split("key", "/")[1].cast("bigint").alias("entity"), "x").persist()
+    halves = e.select(F.split("key", "/")[0].alias("half"), F.split("key", "/")[1].cast("bigint").alias("entity"), "x")
     inside = obs.select("entity", (c("league") != "ASIA").alias("inside")).distinct()
     return ph.generalization(halves, inside, 500, minutes=obs.groupBy("entity").agg(F.sum("mass").alias("minutes")))
 
@@ -242,4 +250,5 @@ def phase_generalization(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def evaluation_table(spark: SparkSession, folder: str) -> DataFrame:
     axes = {"formulation": "5", "entity_kind": "label", "normalisation": "none", "distance": "cosine"}
-    return ph.evaluate({"sanity": phase_sanity(spark, folder), "self_retrieval": phase_self_retrieval(spark, folder), "denoising": phase_denoising(spark, folder)}, axes)
+    phases = {"sanity": phase_sanity, "self_retrieval": phase_self_retrieval, "stability": phase_stability, "denoising": phase_denoising, "downstream": phase_downstream, "generalization": phase_generalization}
+    return ph.evaluate({name: f(spark, folder) for name, f in phases.items()}, axes)

@@ -361,15 +361,15 @@ def _top_sql(over: str, name: str) -> str:
   t{name} as (select *, row_number() over (partition by a order by score desc, b desc) r from s{name} where score <> 0)"""
 
 
-@query(f'with {OBS}, {_top_sql("partition by league", "1")} select a, b, round(score, 6) score, r::bigint "rank" from t1 where r <= 10')
+@query(f'with {OBS}, {_top_sql("partition by league", "1")} select a, b, round(score, 6) score, r::bigint "rank" from t1 where r <= 10 and a % 20 = 0')
 def topk_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return rk.top_k(_supplier_top(spark, folder, "league", 10), 10).withColumn("score", F.round("score", 6))
+    return rk.top_k(_supplier_top(spark, folder, "league", 10, asked=True), 10).withColumn("score", F.round("score", 6))
 
 
-@query(f"""with {OBS}, {_top_sql("partition by league", "1")}, {_top_sql("", "2")}, j as (select coalesce(p.a, q.a) a, p.b x, q.b y from (select * from t1 where r <= 10) p full join (select * from t2 where r <= 10) q on p.a = q.a and p.b = q.b)
+@query(f"""with {OBS}, {_top_sql("partition by league", "1")}, {_top_sql("", "2")}, j as (select coalesce(p.a, q.a) a, p.b x, q.b y from (select * from t1 where r <= 10 and a % 20 = 0) p full join (select * from t2 where r <= 10 and a % 20 = 0) q on p.a = q.a and p.b = q.b)
   select a, round(count(*) filter (x is not null and y is not null) / count(*), 6) jaccard, count(*) filter (x is not null and y is not null) common from j group by a""")
 def compare_rankings(spark: SparkSession, folder: str) -> DataFrame:
-    got = rk.compare_rankings(_supplier_top(spark, folder, "league", 10), _supplier_top(spark, folder, None, 10))
+    got = rk.compare_rankings(_supplier_top(spark, folder, "league", 10, asked=True), _supplier_top(spark, folder, None, 10, asked=True))
     return got.withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -457,14 +457,14 @@ def kendall(spark: SparkSession, folder: str) -> DataFrame:
     return ev.kendall_tau(s, "a", "b", "score", "m").withColumn("tau", F.round("tau", 6))
 
 
-@query(f"""with {OBS}, {_top_sql("partition by league", "1")}, {_top_sql("", "2")}, p as (select a, list(b order by r) x from t1 where r <= 10 group by a), q as (select a, list(b order by r) y from t2 where r <= 1 + a % 12 group by a),
-  k as (select a, x, y, greatest(len(x), len(y)) k from p join q using (a)), d as (select a, k, d, len(list_intersect(x[1:d], y[1:d])) / d agreed from (select *, unnest(range(1, k + 1)) d from k))
+@query(f"""with {OBS}, {_top_sql("partition by league", "1")}, {_top_sql("", "2")}, p as (select a, list(b order by r) x from t1 where r <= 10 group by a), q as (select a, list(b order by r) y from t2 where r <= 1 + a // 20 % 12 group by a),
+  k as (select a, x, y, greatest(len(x), len(y)) k from p join q using (a) where a % 20 = 0), d as (select a, k, d, len(list_intersect(x[1:d], y[1:d])) / d agreed from (select *, unnest(range(1, k + 1)) d from k))
   select a, round(sum(0.1 * agreed * 0.9 ** (d - 1)) + max(case when d = k then agreed * 0.9 ** k end), 6) rbo from d group by a""")
 def rbo_lists(spark: SparkSession, folder: str) -> DataFrame:
     """Ten of the one ranking against 1 to 12 of the other."""
     lists = lambda t, name: t.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x["b"]).alias(name))
-    other = _supplier_top(spark, folder, None, 12).filter("rank <= 1 + a % 12")
-    both = lists(_supplier_top(spark, folder, "league", 10), "x").join(lists(other, "y"), "a")
+    other = _supplier_top(spark, folder, None, 12, asked=True).filter("rank <= 1 + a div 20 % 12")
+    both = lists(_supplier_top(spark, folder, "league", 10, asked=True), "x").join(lists(other, "y"), "a")
     return both.select("a", r6(ev.rbo(c("x"), c("y")), "rbo"))
 
 
