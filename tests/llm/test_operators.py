@@ -404,6 +404,17 @@ def test_mined_rules_against_counts(spark):
     assert {(tuple(sorted(r.tokens)), r.verdict): round(r.confidence, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_mining_is_bounded_where_many_tokens_go_together(spark):
+    """Forty tokens in all urls of a site, and thirty that each miss one url: sets of all sizes would be 2^70."""
+    site = [f"s{k}" for k in range(40)]
+    rows = [(sorted({*site, *(f"t{k}" for k in range(30) if k != i % 40)}), "block") for i in range(80)] + [(["other", f"u{i % 3}"], "allow") for i in range(100)]
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.05, min_confidence=0.9).collect()
+    told = {(tuple(r.tokens), r.verdict): (r.confidence, r.support) for r in got}
+    assert told[("other",), "allow"] == (1.0, 100 / 180)
+    blocked = [k for k, (tokens, v) in enumerate(rows) if v == "block" and any(set(r) <= set(tokens) for r, w in told if w == "block")]
+    assert blocked == list(range(80))
+
+
 def auc(truth, scores):
     """Probability that a positive row scores above a negative one."""
     up, down = ([s for t, s in zip(truth, scores, strict=True) if t == k] for k in (1, 0))
