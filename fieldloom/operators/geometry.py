@@ -134,10 +134,13 @@ def whiten(df: DataFrame, x: str, root: np.ndarray, *keep: str) -> DataFrame:
 def kernel_width(df: DataFrame, key: str, x: str, kind: str = "euclidean", seed: int = 7, sample: int = 2000) -> float:
     """Median heuristic over the pairs of a bounded sample (the rows of smallest hash); 1 if there is no positive distance."""
     rows = df.select(key, F.col(x).cast("array<double>").alias("x")).orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample)
-    a = rows.select(F.col(key).alias("i"), F.col("x").alias("a"))
-    d = dist(F.col("a"), F.col("x"), "manhattan" if kind == "manhattan" else "sqeuclidean")
-    med = a.join(F.broadcast(rows), F.col("i") < F.col(key)).select(d.alias("d")).filter("d > 0").agg(F.median("d")).first()[0]
-    return 1.0 if med is None else float(med if kind == "manhattan" else np.sqrt(med / 2))
+    found = [r.x for r in rows.select("x").collect()]  # at most `sample` rows
+    if len(found) < 2:
+        return 1.0
+    v, kind = np.array(found, dtype=float), "manhattan" if kind == "manhattan" else "sqeuclidean"
+    d = np.concatenate([block_distances(v[i : i + 1], v[i + 1 :], kind)[0] for i in range(len(v) - 1)])
+    d = d[d > 0]
+    return 1.0 if not len(d) else float(np.median(d) if kind == "manhattan" else np.sqrt(np.median(d) / 2))
 
 
 def omega(d: int, dim: int, sigma: float, seed: int, kind: str = "euclidean") -> tuple[np.ndarray, np.ndarray]:
@@ -255,15 +258,28 @@ def ease_rerank(embedded: DataFrame, entity: str, dim: int, lam: float, k: int)
     return pair_scores(u, u, entity, score, k)
 
 
-def sinkhorn(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray, wb: np.ndarray, kind: str = "euclidean", reg: float = 0.5, iters: int = 100) -> float:
-    """Entropic transport cost of two clouds, in the log domain."""
+def sinkhorn(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray, wb: np.ndarray, kind: str = "euclidean", reg: float = 0.5, iters: int = 100, stride: int = 20) -> float:
+    """Entropic transport cost of two clouds: every `stride`-th step in the log domain, those between as scalings, where they stay finite."""
     c = np.maximum(block_distances(xa, xb, "manhattan" if kind == "manhattan" else "sqeuclidean"), 0)
-    la, lb = np.log(np.maximum(wa / wa.sum(), 1e-300)), np.log(np.maximum(wb / wb.sum(), 1e-300))
-    f, g, m = np.zeros(len(la)), np.zeros(len(lb)), -c / reg
+    a, b = np.maximum(wa / wa.sum(), 1e-300), np.maximum(wb / wb.sum(), 1e-300)
+    la, lb, f, g, m = np.log(a), np.log(b), np.zeros(len(wa)), np.zeros(len(wb)), -c / reg
     lse = lambda z, axis: (t := z.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - t).sum(axis=axis))
-    for _ in range(iters):
+    done = 0
+    while done < iters:
+        # a step in the log domain; then the plan is finite, and a few steps are scalings of its rows and columns
         f = la - lse(m + g[None, :], 1)
         g = lb - lse(m + f[:, None], 0)
+        some, plan = min(stride, iters - done) - 1, np.exp(m + f[:, None] + g[None, :])
+        with np.errstate(all="ignore"):
+            v = np.ones(len(b))
+            for _ in range(some):
+                u = a / (plan @ v)
+                v = b / (u @ plan)
+            logs = (np.log(u), np.log(v)) if some else (np.zeros(len(a)), np.zeros(len(b)))
+        if all(np.isfinite(x).all() for x in logs):
+            f, g, done = f + logs[0], g + logs[1], done + some + 1
+        else:
+            stride, done = 1, done + 1
     return float((np.exp(m + f[:, None] + g[None, :]) * c).sum())
 
 
