@@ -15,9 +15,8 @@ as documents of their own. An empty table gives no pieces. Other columns are ign
 
 from __future__ import annotations
 
-import gc
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm.columns import TwoGenerations, groups, numbers
 from fieldloom.llm.common import stored
 
 #: The bases are broadcast up to so many tasks of pass one (16 bytes each), and joined by a shuffle beyond.
@@ -49,25 +49,6 @@ def byte_letters() -> str:
 LETTERS = byte_letters()
 
 
-class TwoGenerations:
-    """A bounded cache that forgets what has not been asked for lately: entries move to the young half when they are used."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """Makes room for the keys, and says which of them are new; the others are in `young` then."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for k in [k for k in keys if k not in young]:
-            if k in old:
-                young[k] = old[k]
-            else:
-                new.append(k)
-        return new
-
-
 class WordEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes, by a byte-level tokenizer with word ends.
 
@@ -77,7 +58,7 @@ class WordEncoder:
     each text whole.
     """
 
-    def __init__(self, path: str, cache_pieces: int = 300_000):
+    def __init__(self, path: str, cache_pieces: int = 200_000, cache_parts: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -86,7 +67,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.pieces, self.parts = TwoGenerations(cache_pieces), TwoGenerations(cache_pieces)
+        self.pieces, self.parts = TwoGenerations(cache_pieces), TwoGenerations(cache_parts)
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -124,32 +105,14 @@ class WordEncoder:
 
     def _plain(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, the end token after each, and where each text ends; texts have no odd blanks."""
-        words = pc.utf8_split_whitespace(texts)
-        coded = words.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.learn(self.pieces.missing(pieces))
-        found = pa.array(map(self.pieces.young.__getitem__, pieces), type=pa.large_binary()).take(coded.indices)
-        at = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1)
-        ids = np.frombuffer(found.buffers()[2] or b"", dtype="<u4")[at[0] // 4 : at[-1] // 4]
-        ends = (at[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()] - at[0]) // 4
+        ids, ends = numbers(texts, self.pieces, self.learn, "<u4")
         return np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
 
-    def encode_column(self, texts: pa.StringArray, end: int, at_once: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts, the end token after each, and where each text ends; texts are taken together up to about `at_once` bytes."""
-        collecting = gc.isenabled()
-        gc.disable()  # no cycles are made here, and the caches are dear to walk
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        ids, ends, start, total = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)], 0, 0
-        while start < len(texts):
-            stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + at_once, side="right")))
-            for odd, group in self._runs(texts.slice(start, stop - start)):
-                got = self._whole(group, end) if odd else self._plain(group, end)
-                ids.append(got[0]), ends.append(got[1] + total)
-                total += len(got[0])
-            start = stop
-        if collecting:
-            gc.enable()
-        return np.concatenate(ids), np.concatenate(ends)
+    def encode_column(self, texts: pa.StringArray, end: int, at_once: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """In groups of about `at_once` bytes: how many texts, their ids, the end token after each, and where each ends."""
+        for group in groups(texts, at_once):
+            for odd, run in self._runs(group):
+                yield len(run), *(self._whole(run, end) if odd else self._plain(run, end))
 
     @staticmethod
     def _runs(texts: pa.StringArray) -> Iterator[tuple[bool, pa.StringArray]]:
@@ -164,7 +127,8 @@ class WordEncoder:
         return np.concatenate([x for ids in each for x in (ids, np.array([end], dtype="<u4"))]), np.cumsum([len(ids) + 1 for ids in each])
 
     def encode(self, text: str) -> bytes:
-        return self.encode_column(pa.array([text]), 0)[0][:-1].astype("<u4").tobytes()
+        ((_, ids, _),) = self.encode_column(pa.array([text]), 0)
+        return ids[:-1].astype("<u4").tobytes()
 
 
 def tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,11 +138,12 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, ends = enc.encode_column(batch.column(0).fill_null(""), end_id)
-            n = np.diff(ends, prepend=0)
-            packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int64)), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.full(len(n), part)), pa.array(at + ends - n), pa.array(n), packed.cast(pa.binary())], names=["doc_id", "part", "local_start", "n", "ids"])
-            at += int(ends[-1]) if len(ends) else 0
+            row = 0
+            for size, ids, ends in enc.encode_column(batch.column(0).fill_null(""), end_id):
+                n = np.diff(ends, prepend=0)
+                packed = pa.Array.from_buffers(pa.large_binary(), size, [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, size), pa.array(np.full(size, part)), pa.array(at + ends - n), pa.array(n), packed.cast(pa.binary())], names=["doc_id", "part", "local_start", "n", "ids"])
+                at, row = at + int(ends[-1]), row + size
 
     kind = docs.schema[id_col].dataType.simpleString()
     return stored(rows.mapInArrow(run, f"doc_id {kind}, part bigint, local_start bigint, n bigint, ids binary"), "tokens")
