@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.llm.columns import TwoGenerations, groups, numbers
 from fieldloom.llm.common import Steps, sha256, text_of, without
 
 BUCKETS = 1 << 18
@@ -38,53 +40,40 @@ ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Buckets:
-    """Hashed buckets of a text's unigrams and bigrams.
+    """Hashed buckets of texts' unigrams and bigrams.
 
     Tokens do not reach over white space, so the hashes of each distinct piece between blanks are found once and kept in
     a bounded cache.
     """
 
-    def __init__(self, n: int = BUCKETS, limit: int = 300_000):
-        self.n, self.limit, self.cache = n, limit, {}
+    def __init__(self, n: int = BUCKETS, limit: int = 150_000):
+        self.n, self.cache = n, TwoGenerations(limit)
 
-    def hashed(self, text: str) -> np.ndarray:
-        pieces, cache = text.split(), self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        for p in set(pieces).difference(cache):
-            cache[p] = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in TOKEN.findall(p)], dtype=np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, pieces)), dtype=np.uint32).astype(np.uint64)
+    def learn(self, pieces: list[str]) -> None:
+        for p in pieces:
+            self.cache.young[p] = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in TOKEN.findall(p)], dtype=np.uint32).tobytes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        h = self.hashed(text or "")
-        mixed = h[:-1] * ONE + h[1:] * TWO
-        return (np.concatenate([h * ONE, mixed]) >> np.uint64(32)).astype(np.int64) % self.n
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of all texts' n-grams, and the number of the text that each is of."""
+        h, ends = numbers(texts, self.cache, self.learn, "<u4")
+        h, of = h.astype(np.uint64), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        inside = of[:-1] == of[1:]
+        mixed = (h[:-1] * ONE + h[1:] * TWO)[inside]
+        return (np.concatenate([h * ONE, mixed]) >> np.uint64(32)).astype(np.int64) % self.n, np.concatenate([of, of[:-1][inside]])
 
 
-def _counts(texts: DataFrame, buckets: int, at_once: int = 1 << 20) -> DataFrame:
+def _counts(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, target, raw): n-gram counts in the good texts of the sample and in all texts. Input: text, good."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sums = Buckets(buckets), np.zeros((2, buckets), dtype=np.int64)
-        held: tuple[list, list] = ([], [])
-
-        def flush(k: int) -> None:
-            if held[k]:
-                sums[k] += np.bincount(np.concatenate(held[k]), minlength=buckets)
-                held[k].clear()
-
-        waiting = 0
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                n = of(text.as_py())
-                held[1].append(n)
-                if good == 1:
-                    held[0].append(n)
-                waiting += len(n)
-                if waiting > at_once:
-                    flush(0), flush(1)
-                    waiting = 0
-        flush(0), flush(1)
+            good, row = pc.equal(batch.column(1), 1).fill_null(False).to_numpy(zero_copy_only=False), 0
+            for group in groups(batch.column(0).fill_null("")):
+                grams, text = of(group)
+                sums[1] += np.bincount(grams, minlength=buckets)
+                sums[0] += np.bincount(grams[good[row + text]], minlength=buckets)
+                row += len(group)
         at = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["bucket", "target", "raw"])
 
@@ -124,11 +113,12 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, ratio = Buckets(buckets), ratios.value
         for batch in batches:
-            w = []
-            for t in batch.column(0):
-                found = ratio[of(t.as_py())]
-                w.append(float(found.sum()) * min(1.0, evidence / max(1, len(found))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(w, type=pa.float64())], names=schema.names)
+            w = [np.zeros(0)]
+            for group in groups(batch.column(0).fill_null("")):
+                grams, text = of(group)
+                sums, n = np.bincount(text, weights=ratio[grams], minlength=len(group)), np.bincount(text, minlength=len(group))
+                w.append(sums * np.minimum(1.0, evidence / np.maximum(1, n)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(w))], names=schema.names)
 
     return Steps(spark).stored(rows.mapInArrow(run, schema), "weights")
 
