@@ -206,10 +206,13 @@ def pair_divergence(a: DataFrame, b: DataFrame, key: str, score, block_rows: int
     return pairs.mapInPandas(run, "max_abs double, top double").agg(F.max("max_abs").alias("max_abs"), F.max("top").alias("top"))
 
 
-def pair_scores(left: DataFrame, right: DataFrame, key: str, score, k: int, block_rows: int = 2048) -> DataFrame:
-    """(a, b, score): the k best other rows per row of left, by a function of two blocks of rows; zero scores are left out."""
-    n = max(1, -(-max(right.count(), 1) // block_rows))
-    m = n if left is right else max(1, -(-max(left.count(), 1) // block_rows))
+def pair_scores(left: DataFrame, right: DataFrame, key: str, score, k: int, block_rows: int = 2048, rows: int | None = None) -> DataFrame:
+    """(a, b, score): the k best other rows per row of left, by a function of two blocks of rows; zero scores are left out.
+
+    rows: how many rows either side has at most, if that is known without running its plan.
+    """
+    n = max(1, -(-max(rows or right.count(), 1) // block_rows))
+    m = n if left is right or rows else max(1, -(-max(left.count(), 1) // block_rows))
     a, b = blocks(left, key, "x", m).select(F.col("rows").alias("qs")), blocks(right, key, "x", n).select("block", F.col("rows").alias("bs"))
     pairs = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(b, "block").select("qs", "bs")
     kind = left.schema[key].dataType.simpleString()

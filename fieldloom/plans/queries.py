@@ -352,7 +352,7 @@ def _supplier_vectors(spark: SparkSession, folder: str, group: str | None) -> Da
 def _supplier_top(spark: SparkSession, folder: str, group: str | None, k: int, asked: bool = False) -> DataFrame:
     """The k best others of every supplier, or of the asked ones: those whose id is divisible by 20."""
     unit = geo.normalized(_supplier_vectors(spark, folder, group))
-    return geo.pair_scores(unit.filter("entity % 20 = 0") if asked else unit, unit, "entity", lambda a, b: (a @ b.T).round(9), k)
+    return geo.pair_scores(unit.filter("entity % 20 = 0") if asked else unit, unit, "entity", lambda a, b: (a @ b.T).round(9), k, rows=table(spark, folder, "supplier").count())
 
 
 def _top_sql(over: str, name: str) -> str:
