@@ -68,6 +68,11 @@ class Steps:
         self.paths[id(out)] = (out, path)
         return out
 
+    @property
+    def tables(self) -> list[DataFrame]:
+        """What is stored and not deleted, in order."""
+        return [t for t, _ in self.paths.values()]
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes stored tables whose last reader has been written."""
         for t in tables:

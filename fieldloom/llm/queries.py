@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldloom.llm import chat, decontam, exact_dedup, packing, quality, secrets, simhash, toxicity, urls, warc
+from fieldloom.llm import chat, decontam, exact_dedup, multi_index, negatives, packing, quality, secrets, simhash, spelling, toxicity, urls, warc
 
 #: A folder of public tokenizers may be named by this variable; else the installed one is used.
 TOKENIZERS = os.environ.get("FIELDLOOM_TOKENIZERS", "")
@@ -84,7 +84,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_chat, op4_toxicity, op5_packing, op6_exact_dedup, op7_secrets, op8_decontamination, op9_urls, op10_simhash)}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.damaged(spelling.runs(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_quality, op3_chat, op4_toxicity, op5_packing, op6_exact_dedup, op7_secrets, op8_decontamination, op9_urls, op10_simhash,
+        op11_neighbours, op12_negatives, op13_spelling,
+    )
+}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
