@@ -145,7 +145,7 @@ class MultiIndex:
         if centroids is None:
             # some fifty entries a cell
             n = held.count()
-            centroids = max(4, min(1024, 1 << round(np.log2(max(n, 1) / 48) / 2))) if n else 4
+            centroids = max(4, min(1024, 1 << round(np.log2(max(n, 768) / 48) / 2)))
         cut = some.shape[1] // 2
         self.cells = Cells(kmeans(some[:, :cut], centroids), kmeans(some[:, cut:], centroids), cut)
         sent = spark.sparkContext.broadcast(self.cells)
