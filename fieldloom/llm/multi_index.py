@@ -116,6 +116,8 @@ def reranked(q: np.ndarray, e: np.ndarray, ids: np.ndarray, seen: np.ndarray | N
 
     own: mask of pairs of a query and its own row.
     """
+    if not (len(q) and len(e)):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
     scores = q @ e.T
     if seen is not None:
         scores[~seen] = -np.inf
@@ -124,7 +126,7 @@ def reranked(q: np.ndarray, e: np.ndarray, ids: np.ndarray, seen: np.ndarray | N
     n = min(k, len(e))
     least = np.partition(scores, len(e) - n, axis=1)[:, len(e) - n]
     # all that may be among the best once sums are made alike
-    near = 1e-12 * (1 + np.linalg.norm(q, axis=1) * (np.linalg.norm(e, axis=1).max() if len(e) else 0))
+    near = 1e-12 * (1 + np.linalg.norm(q, axis=1) * np.linalg.norm(e, axis=1).max())
     at, found = np.nonzero((scores >= (least - near)[:, None]) & (scores > -np.inf))
     exact = np.concatenate([(q[at[i : i + 65536]] * e[found[i : i + 65536]]).sum(axis=1) for i in range(0, len(at), 65536)] or [np.zeros(0)])
     order = np.lexsort((ids[found], -exact, at))

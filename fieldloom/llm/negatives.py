@@ -81,7 +81,8 @@ class Combiner:
         # scores fit 64 bits here; their complement sorts descending
         order = np.lexsort((row, ids, ~score, slot, anchor))
         anchor, slot = anchor[order], slot[order]
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (slot[1:] != slot[:-1])])
+        new = np.ones(len(anchor), dtype=bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (slot[1:] != slot[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         kept = np.arange(len(new)) - first < self.k
         return anchor[kept], slot[kept], *(c[order][kept] for c in (score, ids, row))

@@ -143,6 +143,38 @@ ORACLE = {
         named as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id::varchar item_id from hits) group by doc_id)
         select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
         from words left join marked using (doc_id) left join named using (doc_id)""",
+    "op12_negatives": """
+        with v as (select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+            list_transform(embedding, lambda x: floor(256 * x::double)::bigint) x
+          from embeddings where label is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.id a, b.id b, a.label = b.label same,
+            list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i]))::bigint score
+          from v a join v b on a.id <> b.id where a.id % 100 = 0),
+        p as (select * from s where same qualify row_number() over (partition by a order by score desc, b) <= 5)
+        select p.a anchor_id, p.b positive_id, row_number() over w::int "rank", n.b negative_id, p.score positive_score, n.score negative_score
+        from p join s n on n.a = p.a and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+        window w as (partition by p.a, p.b order by n.score desc, n.b) qualify row_number() over w <= 10""",
+    "op13_spelling": f"""
+        with recursive t as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)::bigint[]),
+            lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+        o as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z{chr(0xC0)}-{chr(0xFF)}]+')) r from documents),
+        l as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r, count(*) n from o group by all having length(r) >= 6),
+        x as (select r, n, hex(encode(doc_id::varchar || ':' || r)) x from l),
+        h as (select r, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+            lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) h from x, t),
+        d as (select case when h % 199 = 0 then substr(r, 1, (h % length(r))::int) || substr(r, (h % length(r))::int + 2) else r end w, n from h),
+        c as (select w, sum(n)::bigint n from d where length(w) >= 6 group by w having sum(n) >= 5),
+        cut as (select w, n, i, substr(w, 1, i - 1) l, substr(w, i + 1) r from (select w, n, unnest(range(1, length(w) + 1))::int i from c)),
+        pairs as (
+          select a.w a, b.w b, b.n from cut a join cut b on a.l = b.l and a.r = b.r and a.w <> b.w
+          union select k.w, c.w, c.n from cut k join c on c.w = k.l || k.r
+          union select c.w, k.w, k.n from cut k join c on c.w = k.l || k.r),
+        near as (select a w, count(*) n_near, arg_max(b, (n, -rank_b)) best, max(n) best_n from (select *, rank() over (order by encode(b)) rank_b from pairs) group by a),
+        told as (select c.w, c.n, coalesce(n_near, 0) n_near, case when best_n >= 5 * c.n then best end form, case when best_n >= 5 * c.n then best_n end form_n from c left join near using (w)),
+        up as (select w, form as goal from told where form is not null union all select u.w, told.form from up u join told on told.w = u.goal where told.form is not null),
+        roots as (select u.w, arg_max(u.goal, told.n) root from up u join told on told.w = u.goal group by u.w)
+        select told.w word, form, coalesce(root, told.w) root, n, n_near, form_n from told left join roots using (w)""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
