@@ -5,8 +5,8 @@ of them, and all windows go into one automaton. A document's words are turned in
 that no item has become one reserved code point) and the automaton scans it once, so a match's end is the
 number of a word; for documents that are hit, word numbers are mapped to offsets in the original text.
 
-The automaton is built once in each Python worker. Its size is bounded: windows are taken in blocks of at most
-`max_window_words` words in total, so that a larger benchmark means more scans, each over all rows, whose hits
+The automaton is built once in each task. Its size is bounded: windows are taken in blocks of at most
+`max_window_words` words in total and at most MOST_WORDS distinct ones (each needs a code point), so that a larger benchmark means more scans, each over all rows, whose hits
 are joined row by row in the same pass, with no shuffle. What is sent to the executors is bounded too: a benchmark of more
 than `max_benchmark_mb` is dealt by hash into parts of about that size, each part has a pass of its own, and the passes hand
 on the hits so far in a written table.
@@ -23,7 +23,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -37,6 +37,8 @@ from fieldloom.llm.common import LOWER, UPPER, fresh, stored
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b) in LOWER + "0123456789" else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in the original text, before A-Z are lower-cased
 FIRST, SURROGATES = 1, range(0xD800, 0xE000)
+#: distinct words of a block at most; there are 1,112,063 code points for them
+MOST_WORDS = 1_000_000
 OUT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
     T.StructField("item_ids", T.ArrayType(T.StringType())),
@@ -58,8 +60,8 @@ class Matcher:
 
     def __init__(self, windows: dict[tuple[bytes, ...], set[str]]):
         vocabulary = sorted({w for window in windows for w in window})
-        points = (p for p in range(FIRST, 0x110000) if p not in SURROGATES)
-        self.code = {w: chr(p) for w, p in zip(vocabulary, points, strict=False)}
+        points = islice((p for p in range(FIRST, 0x110000) if p not in SURROGATES), len(vocabulary))
+        self.code = {w: chr(p) for w, p in zip(vocabulary, points, strict=True)}
         self.automaton = ahocorasick.Automaton()
         for window, items in windows.items():
             self.automaton.add_word("".join([self.code[w] for w in window]), (len(window), sorted(items)))
@@ -89,17 +91,18 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(items: list[tuple[str | None, str | None]], size: int, max_window_words: int) -> list[dict]:
-    """{window: item ids} in blocks within the bound; a window is in one block only."""
+def blocks_of(items: list[tuple[str | None, str | None]], size: int, max_window_words: int, most_words: int = MOST_WORDS) -> list[dict]:
+    """{window: item ids} in blocks within the bounds; a window is in one block only."""
     windows: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item, text in items:
         for window in windows_of(words_of(text), size):
             windows[window].update([] if item is None else [item])
-    blocks, room = [], 0
+    blocks, room, words = [], 0, set()
     for window, ids in windows.items():
-        if room < len(window):
+        words.update(window)
+        if room < len(window) or len(words) > most_words:
             blocks.append({})
-            room = max_window_words
+            room, words = max_window_words, set(window)
         blocks[-1][window] = ids
         room -= len(window)
     return blocks

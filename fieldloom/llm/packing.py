@@ -7,7 +7,8 @@ sequence length; a document that crosses a boundary gives a record on each side.
 The order of the corpus is that of the written pass-one table, which does not change when a task is run again.
 
 Encoding is exact, but each distinct piece between blanks is encoded once per worker while it stays in a bounded cache: neither the
-tokenizer's normal form nor its pre-tokens reach over white space, so a text's ids are those of its pieces, one after the other.
+tokenizer's normal form nor its pre-tokens nor its special tokens reach over white space, so a text's ids are those of its pieces, one
+after the other. Strings of special tokens in a text become those tokens, as the tokenizer does without any flag.
 
 Defined results: a null or empty text is a document of the end token only. Repeated rows and null ids are packed
 as documents of their own. An empty table gives no pieces. Other columns are ignored.
@@ -62,7 +63,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = self.merges.encode_special_tokens = True
+        # a special token's string in a text is that token, as in the plain call; pieces that hold one are encoded whole
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)")
         self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -85,7 +88,7 @@ class WordEncoder:
     def learn(self, new: list[str]) -> None:
         """Adds the ids of pieces to the cache."""
         known = self.pieces.young
-        plain = [p for p in new if (p.isascii() and p.isprintable() if p.isascii() else PLAIN.fullmatch(p))]
+        plain = [p for p in new if (p.isprintable() if p.isascii() else PLAIN.fullmatch(p)) and not self.special.search(p)]
         if len(plain) < len(new):
             known.update((p, self.encode_whole(p)) for p in set(new).difference(plain))
         if not plain:

@@ -9,14 +9,14 @@ scope, a distance of `scope` characters in one document:
 * an endpoint with both an identifier and a secret.
 
 Only documents that hold a weak candidate leave their row. Their parts are joined as intervals: positions are cut
-into blocks as long as the scope, a part meets the parts of its own and the two neighbouring blocks (semi-joins on
+into blocks as long as the scope, a part meets the parts of the blocks that it covers and of their neighbours (semi-joins on
 document and block, then the distance), and blocks hold few parts as parts do not overlap within a kind and each
-takes several characters. No pairs are made.
+takes several characters. Parts of any length are linked alike. No pairs are made.
 
 Positions come from the pieces between matches and the matches themselves, whose lengths add up. All offsets
 count code points; ends are exclusive.
 
-Defined results: a null or empty text has no spans. Repeated rows are documents of their own, also with equal or null
+Defined results: a null or empty text has no spans, and texts of any length are scanned whole. Repeated rows are documents of their own, also with equal or null
 ids. Empty table: empty result. Other columns are ignored.
 """
 
@@ -102,10 +102,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def _near(left: DataFrame, right: DataFrame, scope: int) -> DataFrame:
-    """The rows of left within the scope of a row of right in the same document: an interval join by blocks."""
+    """The rows of left within the scope of a row of right in the same document: an interval join by blocks.
+
+    A row of left is looked up by every block that it covers, so that its length does not matter, and counts once.
+    """
+    covered = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))).alias("at")
     blocks = right.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("b"))
     apart = F.greatest(F.col("s") - F.col("end"), F.col("start") - F.col("e"))
-    return left.join(blocks, (F.col("row") == F.col("r")) & (F.floor(F.col("start") / scope) == F.col("b")) & (apart <= scope), "left_semi")
+    met = left.select("*", covered).join(blocks, (F.col("row") == F.col("r")) & (F.col("at") == F.col("b")) & (apart <= scope), "left_semi")
+    return met.drop("at").distinct()
 
 
 def link(parts: DataFrame, scope: int = 400) -> DataFrame:

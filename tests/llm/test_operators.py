@@ -235,13 +235,23 @@ def test_decontamination(spark, block):
     assert {r.doc_id for r in decontam.clean(docs_of(spark, rows), bench).collect()} == {i for i, t in rows if not brute_hits(t, items)[1]}
 
 
+def test_blocks_of_windows_are_bounded_by_distinct_words():
+    items = [(k, f"w{k}") for k in range(1_150_000)] + [(-1, "w1 w2"), (-2, "w2 w1149999")]
+    blocks = decontam.blocks_of(items, 10, 2_000_000)
+    assert len(blocks) == 2 and sum(map(len, blocks)) == len(items)
+    matchers = [decontam.Matcher(b) for b in blocks]
+    n_words, n_hit, found, _ = decontam.hits("W1 w2 w1149999 w77 none", matchers, [], [], True)
+    assert (n_words, n_hit) == (5, 4) and set(found) == {1, 2, 1149999, 77, -1, -2}
+    small = decontam.blocks_of([(1, "a b c"), (2, "b c a"), (3, "d e f"), (4, "a")], 10, 100, most_words=4)
+    assert [sorted(b) for b in small] == [[(b"a", b"b", b"c"), (b"b", b"c", b"a")], [(b"a",), (b"d", b"e", b"f")]]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    rows = odd_rows() + [(20, "Hello, <|endoftext|> WORLD's 123 é\u0301 \u00a0x\x1cy \u2003z İstanbul ΑΣ ﬁ"), (21, "a" * 5000)]
+    rows = odd_rows() + [(20, "Hello, <|endoftext|> x<|endoftext|>y<|startoftext|> <|ENDOFTEXT|> é<|endoftext|> WORLD's 123 é\u0301 \u00a0x\x1cy \u2003z İstanbul ΑΣ ﬁ"), (21, "a" * 5000)]
     got = packing.pieces(docs_of(spark, rows), path, length=64).collect()
     whole, seqs = defaultdict(list), defaultdict(list)
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
@@ -268,10 +278,13 @@ def test_packing_round_trip(spark):
 
 
 def test_packing_equals_whole_encoding(sf, spark):
+    from tokenizers import Tokenizer
+
     path = public_tokenizers.path("word_bpe_49k.json")
     enc = packing.WordEncoder(path, cache_pieces=50)
+    plain = Tokenizer.from_file(path)
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
-        assert enc.encode(r.text or "") == enc.encode_whole(r.text or "")
+        assert enc.encode(r.text or "") == np.array(plain.encode(r.text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def test_chat_round_trip(spark):
@@ -351,6 +364,9 @@ def test_secrets(spark):
     rng = random.Random(8)
     bits = ["token: ", "Token=", "password'='", "api_key : \"", "APIKEY:", "abcdef", "ab", "=", "AKIA" + "A1" * 8, "AKIAAKIA", "AKIA" + "Z" * 20, "f" * 24, "0123456789abcdef" * 2, "ASIA" + "B2" * 8, "aB3" * 14, "https://s3.example.com/x", " ", "\n", "é👍", "x" * 390, "sts.eu.example.org", "secret", "passwd:"]
     rows = [(k, "".join(rng.choices(bits, k=rng.randrange(1, 30)))) for k in range(400)] + odd_rows() + [(900, "token: token: abcdefgh"), (901, "token:\nabcdefg"), (902, "token = abcdef " * 1500)]
+    for n, size in enumerate((10, 100, 390, 410, 800, 1199, 1200, 1201, 2000)):
+        long_secret, long_id = ("A1b" * size)[:size], "ASIA" + "Q" * size
+        rows += [(1000 + 10 * n + k, t) for k, t in enumerate((f"x {long_secret} ASIAQQQQQQQQQQQQQQQQ", f"{long_id} {'aB3' * 14}", f"{'aB3' * 14}{' ' * 399}{long_id}", f"{long_id}{' ' * 400}{long_secret}", f"{long_id}{' ' * 401}{long_secret}", f"token={long_secret}{' ' * 30}https://{'a' * size}.example.org:80 {long_id}"))]
     df = docs_of(spark, rows)
     got = secrets.find(df).select("doc_id", F.col("assign").alias("a"), F.concat("assign", "access", "hex").alias("base"), secrets.spelled(F.concat("assign", "access", "hex", "linked")).alias("spans")).collect()
     spell = lambda spans: ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans)
