@@ -1,12 +1,12 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the normalised benchmark items.
 
-Normalised text is a sequence of words. Each word of the benchmark gets a code point, a window becomes a string
-of them, and all windows go into one automaton. A document's words are turned into such a string once (words
-that no item has become one reserved code point) and the automaton scans it once, so a match's end is the
+Normalised text is a sequence of words. Each word of the benchmark gets a code of a few letters, all of one length, a window
+becomes a string of them, and all windows go into one automaton. A document's words are turned into such a string once (words
+that no item has become one reserved code) and the automaton scans it once, so a match's end gives the
 number of a word; for documents that are hit, word numbers are mapped to offsets in the original text.
 
 The automaton is built once in each task. Its size is bounded: windows are taken in blocks of at most
-`max_window_words` words in total and at most MOST_WORDS distinct ones (each needs a code point), so that a larger benchmark means more scans, each over all rows, whose hits
+`max_window_words` words in total, so that a larger benchmark means more scans, each over all rows, whose hits
 are joined row by row in the same pass, with no shuffle. What is sent to the executors is bounded too: a benchmark of more
 than `max_benchmark_mb` is dealt by hash into parts of about that size, each part has a pass of its own, and the passes hand
 on the hits so far in a written table.
@@ -23,7 +23,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import product, repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -36,9 +36,8 @@ from fieldloom.llm.common import LOWER, UPPER, fresh, stored
 #: bytes.translate table: A-Z to a-z; ASCII other than letters and digits to a blank; UTF-8 bytes from 0x80 on stay.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b) in LOWER + "0123456789" else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in the original text, before A-Z are lower-cased
-FIRST, SURROGATES = 1, range(0xD800, 0xE000)
-#: distinct words of a block at most; there are 1,112,063 code points for them
-MOST_WORDS = 1_000_000
+#: The base of the words' numbers: successors of a state are searched one by one, so they are to be few.
+DIGITS = 64
 OUT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
     T.StructField("item_ids", T.ArrayType(T.StringType())),
@@ -56,12 +55,20 @@ def windows_of(words: list[bytes], size: int) -> Iterator[tuple[bytes, ...]]:
 
 
 class Matcher:
-    """The automaton of some windows; made from {window: item ids}."""
+    """The automaton of some windows; made from {window: item ids}.
+
+    Each word has a number, written in digits of base DIGITS, as many for every word. The digits of each place are letters of their own,
+    so that an occurrence begins and ends with a word, and no state has more than DIGITS successors however many words there are.
+    """
 
     def __init__(self, windows: dict[tuple[bytes, ...], set[str]]):
         vocabulary = sorted({w for window in windows for w in window})
-        points = islice((p for p in range(FIRST, 0x110000) if p not in SURROGATES), len(vocabulary))
-        self.code = {w: chr(p) for w, p in zip(vocabulary, points, strict=True)}
+        self.width = 1
+        while DIGITS**self.width < len(vocabulary):
+            self.width += 1
+        letters = [[chr(1 + place * DIGITS + digit) for digit in range(DIGITS)] for place in range(self.width)]
+        codes = map("".join, product(*letters))
+        self.code = dict(zip(vocabulary, codes, strict=False))
         self.automaton = ahocorasick.Automaton()
         for window, items in windows.items():
             self.automaton.add_word("".join([self.code[w] for w in window]), (len(window), sorted(items)))
@@ -69,11 +76,12 @@ class Matcher:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges (end exclusive, merged, in order) inside occurrences, and the items that occur."""
-        code = self.code
+        code, width, other = self.code, self.width, "\0" * self.width
         ranges: list[tuple[int, int]] = []
         items: set[str] = set()
-        for end, (size, ids) in self.automaton.iter("".join([code.get(w, "\0") for w in words])):
-            start, stop = end - size + 1, end + 1
+        for end, (size, ids) in self.automaton.iter("".join([code.get(w, other) for w in words])):
+            stop = end // width + 1
+            start = stop - size
             while ranges and ranges[-1][1] >= start:
                 start = min(start, ranges.pop()[0])
             ranges.append((start, stop))
@@ -91,18 +99,17 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(items: list[tuple[str | None, str | None]], size: int, max_window_words: int, most_words: int = MOST_WORDS) -> list[dict]:
-    """{window: item ids} in blocks within the bounds; a window is in one block only."""
+def blocks_of(items: list[tuple[str | None, str | None]], size: int, max_window_words: int) -> list[dict]:
+    """{window: item ids} in blocks within the bound; a window is in one block only."""
     windows: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item, text in items:
         for window in windows_of(words_of(text), size):
             windows[window].update([] if item is None else [item])
-    blocks, room, words = [], 0, set()
+    blocks, room = [], 0
     for window, ids in windows.items():
-        words.update(window)
-        if room < len(window) or len(words) > most_words:
+        if room < len(window):
             blocks.append({})
-            room, words = max_window_words, set(window)
+            room = max_window_words
         blocks[-1][window] = ids
         room -= len(window)
     return blocks

@@ -235,15 +235,12 @@ def test_decontamination(spark, block):
     assert {r.doc_id for r in decontam.clean(docs_of(spark, rows), bench).collect()} == {i for i, t in rows if not brute_hits(t, items)[1]}
 
 
-def test_blocks_of_windows_are_bounded_by_distinct_words():
+def test_more_distinct_words_than_code_points():
     items = [(k, f"w{k}") for k in range(1_150_000)] + [(-1, "w1 w2"), (-2, "w2 w1149999")]
-    blocks = decontam.blocks_of(items, 10, 2_000_000)
-    assert len(blocks) == 2 and sum(map(len, blocks)) == len(items)
-    matchers = [decontam.Matcher(b) for b in blocks]
+    matchers = [decontam.Matcher(b) for b in decontam.blocks_of(items, 10, 2_000_000)]
+    assert len(matchers) == 1 and matchers[0].width == 4
     n_words, n_hit, found, _ = decontam.hits("W1 w2 w1149999 w77 none", matchers, [], [], True)
     assert (n_words, n_hit) == (5, 4) and set(found) == {1, 2, 1149999, 77, -1, -2}
-    small = decontam.blocks_of([(1, "a b c"), (2, "b c a"), (3, "d e f"), (4, "a")], 10, 100, most_words=4)
-    assert [sorted(b) for b in small] == [[(b"a", b"b", b"c"), (b"b", b"c", b"a")], [(b"a",), (b"d", b"e", b"f")]]
 
 
 def test_packing_round_trip(spark):
