@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +36,59 @@ def is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+#: Paths handed out while operators marked `tidy` run, by depth.
+_MADE: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_root(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
+    for made in _MADE[-1:]:
+        made.append(path)
+    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder on whatever file system it is on."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for made in _MADE:
+        if path in made:
+            made.remove(path)
+
+
+def read_by(*tables: DataFrame) -> set[str]:
+    """Names of the scratch folders that the tables' plans read."""
+    return {name for t in tables for file in t.inputFiles() for name in file.split("/fieldloom/")[1:] for name in [name.split("/")[0]]}
+
+
+def tidy(operator: Callable) -> Callable:
+    """An operator that deletes the steps it has written, but for those that its result still reads; if it fails, all of them."""
+
+    @wraps(operator)
+    def run(*args, **how):
+        _MADE.append([])
+        out, done = None, False
+        try:
+            out = operator(*args, **how)
+            done = True
+        finally:
+            made = _MADE.pop()
+            left = read_by(out) if done and isinstance(out, DataFrame) else set()
+            for path in made:
+                if path.rsplit("/", 1)[1] not in left:
+                    delete(SparkSession.active(), path)
+                elif _MADE:
+                    _MADE[-1].append(path)
+        return out
+
+    return run
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the steps that the tables read, once all that depends on them has been written."""
+    for name in read_by(*tables):
+        delete(spark, f"{shared_root(spark)}/fieldloom/{name}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Steps, join_groups
+from fieldloom.llm.common import Steps, join_groups, tidy
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -28,6 +28,7 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+@tidy
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node in a link, root being the smallest node that it reaches; a written table."""
     steps = Steps(edges.sparkSession)

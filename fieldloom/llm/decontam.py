@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import LOWER, UPPER, fresh, stored
+from fieldloom.llm.common import LOWER, UPPER, fresh, stored, tidy
 
 #: bytes.translate table: A-Z to a-z; ASCII other than letters and digits to a blank; UTF-8 bytes from 0x80 on stay.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b) in LOWER + "0123456789" else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
@@ -115,6 +115,7 @@ def blocks_of(items: list[tuple[str | None, str | None]], size: int, max_window_
     return blocks
 
 
+@tidy
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, max_window_words: int = 2_000_000, max_benchmark_mb: int = 256) -> DataFrame:
     """docs with n_words, n_hit, item_ids (those with windows that occur) and hit_spans (offsets in the text).
 
@@ -176,6 +177,7 @@ def hits(text: str | None, matchers: list[Matcher], ranges: list, items: list[st
     return len(words), sum(b - a for a, b in joined), sorted(named), [{"start": at[a][0], "end": at[b - 1][1]} for a, b in joined]
 
 
+@tidy
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those in which a window of an item occurs; their columns as they were."""
     # columns that have the name of a result column wait under another

@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import KeyFilter, Steps, delete, join_groups, scratch, sha256, text_of, without
+from fieldloom.llm.common import KeyFilter, Steps, delete, join_groups, scratch, sha256, text_of, tidy, without
 
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "compression": "zstd"}
 
@@ -112,12 +112,14 @@ def _resolved(docs: DataFrame, id_col: str, text_col: str, keep: str, digest) ->
     return alone.unionByName(clear.select(cols)).unionByName(apart.select(cols))
 
 
+@tidy
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest=sha256) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, digest."""
     found = _resolved(docs, id_col, text_col, keep, digest)
     return found.select(F.col("id").alias(id_col), "keep_id", F.col("copies").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
+@tidy
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest=sha256) -> DataFrame:
     """docs without the rows that do not stay; all columns are kept as they are.
 

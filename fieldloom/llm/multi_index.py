@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Steps
+from fieldloom.llm.common import Steps, tidy
 from fieldloom.llm.vectors import best, matrix, usable
 
 #: Scores of queries and entries that a task holds at once.
@@ -271,6 +271,7 @@ def _meet(asked: pa.Table, placed: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array(mine[a]), asked.column("id").take(pa.array(a)), pa.array(score.astype(np.float64)), pa.array(ids[b], type=kind), pa.array(row[b])], names=names)
 
 
+@tidy
 def search(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
     """(query_id, rank, <id>, score): each query row's k nearest found, by largest inner product; a written table."""
     index = MultiIndex(rows, id_col, vector_col, queries)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Steps, scratch
+from fieldloom.llm.common import Steps, scratch, tidy
 from fieldloom.llm.vectors import best, matrix, usable
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -162,6 +162,7 @@ def _scan(rows: DataFrame, anchors: dict, k: int, scale: int) -> DataFrame:
     return rows.mapInArrow(run, FOUND.format(id=rows.schema["id"].dataType.simpleString()))
 
 
+@tidy
 def mine(
     rows: DataFrame, anchors: Column, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding",
     positives: int = 5, k: int = 10, low: int = 30, high: int = 90, scale: int = 256, block: int = 16_384,

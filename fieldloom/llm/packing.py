@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.columns import TwoGenerations, groups, numbers
-from fieldloom.llm.common import stored
+from fieldloom.llm.common import stored, tidy
 
 #: The bases are broadcast up to so many tasks of pass one (16 bytes each), and joined by a shuffle beyond.
 MOST_TASKS = 1_000_000
@@ -152,6 +152,7 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     return stored(rows.mapInArrow(run, f"doc_id {kind}, part bigint, local_start bigint, n bigint, ids binary"), "tokens")
 
 
+@tidy
 def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (bytes, little-endian unsigned 32-bit), ids_crc32.
 

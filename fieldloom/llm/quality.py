@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.llm.columns import TwoGenerations, groups, numbers
-from fieldloom.llm.common import Steps, sha256, text_of, without
+from fieldloom.llm.common import Steps, sha256, text_of, tidy, without
 
 BUCKETS = 1 << 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -168,6 +168,7 @@ def sample(weighted: DataFrame, share: float | None = None, keep_good: float = 0
     return rows.withColumn("taken", key >= F.lit(_kth_largest(rows.select(key.alias("key")), k)))
 
 
+@tidy
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float | None = None, keep_good: float = 0.998, **how) -> DataFrame:
     """docs without the rows that are not sampled; the columns are kept as they are. Only texts of rows that may go are shuffled."""
     taken = sample(weights(docs, labels, id_col, text_col, label_col, **how), share, keep_good)

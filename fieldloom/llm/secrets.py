@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import stored, text_of
+from fieldloom.llm.common import stored, text_of, tidy
 
 # The patterns of the base kinds, in their order, with the group whose length counts and its least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -122,6 +122,7 @@ def link(parts: DataFrame, scope: int = 400) -> DataFrame:
     return found.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
 
 
+@tidy
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 400) -> DataFrame:
     """One row per document: id, assign, access, hex (spans of the base kinds), linked (spans of weak kinds)."""
     parts = scan(docs, id_col, text_col)

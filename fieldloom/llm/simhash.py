@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import ASCII_LOWER, Steps, join_groups, sha256, text_of, without
+from fieldloom.llm.common import ASCII_LOWER, Steps, join_groups, sha256, text_of, tidy, without
 from fieldloom.llm.components import components
 
 BITS = 64
@@ -94,6 +94,7 @@ def grouped(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     return join_groups(rows, named, ["fp"], "copies")
 
 
+@tidy
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of docs: id, fp, component_id."""
     rows = Steps(docs.sparkSession).stored(fingerprints(docs, id_col, text_col, k, seed), "fingerprints")
@@ -109,6 +110,7 @@ def _components_of(rows: DataFrame) -> DataFrame:
     return out
 
 
+@tidy
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
     """docs with one document of each group: that with the smallest id. All columns are kept."""
     steps = Steps(docs.sparkSession)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Steps, ascii_lower, text_of
+from fieldloom.llm.common import Steps, ascii_lower, text_of, tidy
 
 # Fixed value: what a run is.
 RUN = r"[A-Za-zÀ-ÿ]+"
@@ -128,6 +128,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     return met.select(*sides).distinct()
 
 
+@tidy
 def variants(found: DataFrame, least: int = 6, occurrences: int = 5, times: int = 5) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of the words found (a row per occurrence) of at least `least` code points and `occurrences`; a written table."""
     steps = Steps(found.sparkSession)
