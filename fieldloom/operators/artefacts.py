@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.scalars import row_hash
-from fieldloom.operators.geometry import kernel_from_costs, sinkhorn_pairs, slim_weights
+from fieldloom.operators.geometry import slim_weights
+from fieldloom.operators.transport import kernel_from_costs, sinkhorn_pairs
 from fieldloom.operators.tables import changed
 
 #: The tables of a model, and those of the state from which it can be fitted again.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.quantiles import quantiles
+from fieldloom.operators.ranks import with_avg_rank
 from fieldloom.operators.tables import avg_rank
 
 
@@ -43,7 +45,11 @@ def pearson(x: str, y: str) -> Column:
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.withColumn("__x", avg_rank(group, x)).withColumn("__y", avg_rank(group, y))
+    """rho per group; without groups ranks are made over the whole table, by ranges."""
+    if group:
+        ranked = df.withColumn("__x", avg_rank(group, x)).withColumn("__y", avg_rank(group, y))
+    else:
+        ranked = with_avg_rank(with_avg_rank(df, [], x, "__x"), [], y, "__y")
     return ranked.groupBy(*group).agg(pearson("__x", "__y").alias("rho"))
 
 
@@ -64,7 +70,9 @@ def macro_f1(df: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def bootstrap_ci(df: DataFrame, c: str, alpha: float = 0.05) -> DataFrame:
-    return df.filter(F.col(c).isNotNull() & ~F.isnan(c)).agg(F.percentile(c, alpha / 2).alias("low"), F.percentile(c, 1 - alpha / 2).alias("high"))
+    """(low, high): exact, and no task holds all values."""
+    low, high = quantiles(df.filter(F.col(c).isNotNull() & ~F.isnan(c)), c, [alpha / 2, 1 - alpha / 2]).get(None, (None, None))
+    return df.sparkSession.createDataFrame([(low, high)], "low double, high double")
 
 
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -85,8 +93,7 @@ def paired_permutation(df: DataFrame, key: str, diff: str, n: int = 999, seed: i
 
 def mantel(a: DataFrame, b: DataFrame, n: int = 199, seed: int = 7) -> DataFrame:
     """Spearman correlation of two pair tables (a < b, score) over one bounded set of entities, and p by relabelling the second."""
-    ranked = lambda t, out: t.select("a", "b", avg_rank([], "score").alias(out))
-    x, y = ranked(a, "x"), ranked(b, "y")
+    x, y = (with_avg_rank(t, [], "score", out).select("a", "b", out) for t, out in ((a, "x"), (b, "y")))
     ids = x.select(F.col("a").alias("e")).union(x.select("b")).distinct()
     perms = ids.select("e", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("perm"))
     plain = Window.partitionBy("perm").orderBy("e")

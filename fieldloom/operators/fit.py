@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import geometry as geo
+from fieldloom.operators import transport as tr
+from fieldloom.operators.matrices import ease_kernel
 
 # What is served per entity kind, with which parameters, and in which distance.
 SERVED = {"player": ("5", "by_league"), "team": ("5", "global")}
@@ -20,8 +21,6 @@ SERVED_PARAMETERS = {
     "player": {"method": "mmd", "dim": 1536, "ease": 0.0},
     "team": {"method": "mmd", "dim": 1216, "ease": 0.03},
 }
-#: Entities whose kernel is inverted whole at most; mean embeddings have no such bound.
-MOST_DENSE = 4096
 
 
 def preset(kind: str, formulation: str, normalisation: str, distance: str = SERVED_DISTANCE) -> dict:
@@ -42,8 +41,11 @@ def fit_f2(fm: DataFrame, neighbours: int = 50, beta: float = 1.0, l1: float = 0
     return {"scores": geo.aggregate_weights(w, rows, "o", "entity_id", "mass"), "weights": w, "display": display(fm)}
 
 
-def fit_f5(fm: DataFrame, d: int, k: int, method: str = "mmd", dim: int = 1024, ease: float = 0.03, distance: str = "euclidean", sigma: float | None = None, seed: int = 7) -> Mapping[str, DataFrame]:
-    """scores (a, b, score), the k best of each entity, and display: similarity of the entities' clouds, re-ranked in closed form."""
+def fit_f5(fm: DataFrame, d: int, k: int, method: str = "mmd", dim: int = 1024, ease: float = 0.03, distance: str = "euclidean", sigma: float | None = None, seed: int = 7, block: int | None = None) -> Mapping[str, DataFrame]:
+    """scores (a, b, score), the k best of each entity, and display: similarity of the entities' clouds, re-ranked in closed form.
+
+    Mean embeddings are re-ranked in low-rank form, a transport kernel by the inverse of a block matrix (blocks of `block` entities).
+    """
     if method == "mmd":
         rows = fm.withColumn("o", F.concat_ws("/", F.col("entity_id").cast("string"), F.col("match_id").cast("string")))
         sigma = sigma or geo.kernel_width(rows, "o", "x", distance, seed)
@@ -51,28 +53,8 @@ def fit_f5(fm: DataFrame, d: int, k: int, method: str = "mmd", dim: int = 1024,
         return {"scores": geo.ease_rerank(e, "entity_id", dim, ease, k), "display": display(fm)}
     if method != "sinkhorn":
         raise ValueError(f"unknown method {method}")
-    kernel = geo.kernel_from_costs(geo.sinkhorn_pairs(fm.select(F.col("entity_id"), "mass", "x"), "entity_id", distance))
-    return {"scores": ease_dense(kernel, ease, k), "display": display(fm)}
-
-
-def ease_dense(scores: DataFrame, lam: float, k: int, most: int = MOST_DENSE) -> DataFrame:
-    """(a, b, score): re-ranking of a score table by the inverse of its Gram matrix; ValueError beyond `most` entities."""
-    ids = [r.a for r in scores.select("a").distinct().orderBy("a").limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"more than {most} entities: use mean embeddings, which need no matrix of entities")
-    at, s = {i: n for n, i in enumerate(ids)}, np.zeros((len(ids), len(ids)))
-    rows = scores.filter("a != b").toPandas()
-    s[rows["a"].map(at), rows["b"].map(at)] = rows["score"]
-    p = np.linalg.inv(s.T @ s + lam * np.eye(len(ids)))
-    b = -p / np.diag(p)[None, :]
-    np.fill_diagonal(b, 0.0)
-    out = s @ b
-    out = (out + out.T) / 2
-    np.fill_diagonal(out, 0.0)
-    order = np.argsort(-out, axis=1, kind="stable")[:, : min(k, len(ids) - 1) + 1]
-    best = [(ids[i], ids[j], float(out[i, j])) for i in range(len(ids)) for j in order[i] if i != j]
-    kind = scores.schema["a"].dataType.simpleString()
-    return scores.sparkSession.createDataFrame(best, f"a {kind}, b {kind}, score double")
+    kernel = tr.kernel_from_costs(tr.sinkhorn_pairs(fm.select(F.col("entity_id"), "mass", "x"), "entity_id", distance))
+    return {"scores": ease_kernel(kernel, ease, k, block), "display": display(fm)}
 
 
 def rebuild(fm: DataFrame, formulation: str, grouping: DataFrame | None = None, masses: DataFrame | None = None, **how) -> DataFrame:

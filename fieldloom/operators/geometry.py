@@ -261,60 +261,6 @@ def ease_rerank(embedded: DataFrame, entity: str, dim: int, lam: float, k: int)
     return pair_scores(u, u, entity, score, k)
 
 
-def sinkhorn(xa: np.ndarray, wa: np.ndarray, xb: np.ndarray, wb: np.ndarray, kind: str = "euclidean", reg: float = 0.5, iters: int = 100, stride: int = 20) -> float:
-    """Entropic transport cost of two clouds: every `stride`-th step in the log domain, those between as scalings, where they stay finite."""
-    c = np.maximum(block_distances(xa, xb, "manhattan" if kind == "manhattan" else "sqeuclidean"), 0)
-    a, b = np.maximum(wa / wa.sum(), 1e-300), np.maximum(wb / wb.sum(), 1e-300)
-    la, lb, f, g, m = np.log(a), np.log(b), np.zeros(len(wa)), np.zeros(len(wb)), -c / reg
-    lse = lambda z, axis: (t := z.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - t).sum(axis=axis))
-    done = 0
-    while done < iters:
-        # a step in the log domain; then the plan is finite, and a few steps are scalings of its rows and columns
-        f = la - lse(m + g[None, :], 1)
-        g = lb - lse(m + f[:, None], 0)
-        some, plan = min(stride, iters - done) - 1, np.exp(m + f[:, None] + g[None, :])
-        with np.errstate(all="ignore"):
-            v = np.ones(len(b))
-            for _ in range(some):
-                u = a / (plan @ v)
-                v = b / (u @ plan)
-            logs = (np.log(u), np.log(v)) if some else (np.zeros(len(a)), np.zeros(len(b)))
-        if all(np.isfinite(x).all() for x in logs):
-            f, g, done = f + logs[0], g + logs[1], done + some + 1
-        else:
-            stride, done = 1, done + 1
-    return float((np.exp(m + f[:, None] + g[None, :]) * c).sum())
-
-
-def sinkhorn_pairs(clouds: DataFrame, entity: str, kind: str = "euclidean", known: DataFrame | None = None, groups: int = 16) -> DataFrame:
-    """(a, b, cost) for entity pairs a < b; pairs in `known` are taken from there. clouds: entity, mass, x, one row per observation.
-
-    Clouds are packed per entity and go into groups by hash; pairs of groups are joined, so that every cloud is sent `groups` times.
-    """
-    packed = clouds.groupBy(F.col(entity).alias("e")).agg(F.collect_list(F.struct(F.col("mass").cast("double").alias("m"), F.col("x").cast("array<double>").alias("x"))).alias("rows")).withColumn("g", F.pmod(F.xxhash64("e"), F.lit(groups)))
-    a = packed.select(F.col("e").alias("a"), F.col("rows").alias("ra"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    # a fixed number of partitions: the few rows are light to send and heavy to work on, so they are not to be put together
-    pairs = a.repartition(4 * groups, "g").join(packed.select(F.col("e").alias("b"), F.col("rows").alias("rb"), "g").repartition(4 * groups, "g"), "g").filter("a < b")
-    if known is not None:
-        pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    kind_sql = clouds.schema[entity].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mat = lambda rows: (np.stack([r["x"] for r in rows]), np.array([r["m"] for r in rows]))
-        for frame in frames:
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "cost": [sinkhorn(*mat(x), *mat(y), kind) for x, y in zip(frame["ra"], frame["rb"], strict=True)]})
-
-    made = pairs.select("a", "b", "ra", "rb").mapInPandas(run, f"a {kind_sql}, b {kind_sql}, cost double")
-    return made if known is None else made.unionByName(known.select("a", "b", "cost"))
-
-
-def kernel_from_costs(costs: DataFrame) -> DataFrame:
-    """exp(-cost / median cost), both directions; scale 1 if the median is 0."""
-    med = costs.agg(F.coalesce(F.nullif(F.median("cost"), F.lit(0.0)), F.lit(1.0)).alias("m"))
-    k = costs.crossJoin(F.broadcast(med)).select("a", "b", F.exp(-F.col("cost") / F.col("m")).alias("score"))
-    return k.unionByName(k.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-
-
 def nn_elastic_net(a: np.ndarray, y: np.ndarray, beta: float, l1: float, max_iter: int = 200, tol: float = 1e-4, start: np.ndarray | None = None) -> np.ndarray:
     """Non-negative weights of the columns of a for y: coordinate descent on half the squared error + beta/2 L2 + l1 L1."""
     gram, rhs = a.T @ a, a.T @ y

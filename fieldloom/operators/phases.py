@@ -89,7 +89,7 @@ def downstream(scores: DataFrame, entities: DataFrame, k: int = 10, voters: int
     vote = votes.agg(F.avg(F.when(F.col("guess") == F.col("role"), 1.0).otherwise(0.0)).alias("knn_accuracy"), F.count("*").alias("n_knn")).crossJoin(ev.macro_f1(votes, "role", "guess").withColumnRenamed("f1", "knn_f1"))
     degree = entities.select("entity", F.col("volume").cast("double").alias("volume")).join(top.groupBy(F.col("b").alias("entity")).agg(F.count("*").alias("n")), "entity", "left").select("volume", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
     reach = degree.agg(F.avg(F.when(F.col("n") > 0, 1.0).otherwise(0.0)).alias("coverage"), F.avg("n").alias("indegree"))
-    popular = ev.spearman(degree.withColumn("g", F.lit(0)), ["g"], "n", "volume").select(F.col("rho").alias("popularity"))
+    popular = ev.spearman(degree, [], "n", "volume").select(F.col("rho").alias("popularity"))
     x = top.select("a", "b", "rank").join(entities.select(F.col("entity").alias("b"), "x"), "b")
     # lists hold at most k members, so that pairs within a list are bounded
     apart = x.alias("p").join(x.alias("q"), (F.col("p.a") == F.col("q.a")) & (F.col("p.rank") < F.col("q.rank"))).groupBy("p.a").agg(F.avg(dist(F.col("p.x"), F.col("q.x"), "euclidean")).alias("d")).agg(F.avg("d").alias("diversity"))

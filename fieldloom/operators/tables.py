@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.quantiles import quantiles
+
 
 def last_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -86,8 +88,8 @@ def apportion(df: DataFrame, part: list[str], frac: str, order: str, total: int
 
 def terciles(df: DataFrame, c: str) -> DataFrame:
     """low, mid or high; strictly above a third's border moves up."""
-    cut = df.agg(F.percentile(c, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("tercile", F.when(F.col(c) > F.col("q")[1], "high").when(F.col(c) > F.col("q")[0], "mid").otherwise("low")).drop("q")
+    low, high = quantiles(df, c, [1 / 3, 2 / 3]).get(None, (None, None))
+    return df.withColumn("tercile", F.when(F.col(c) > F.lit(high), "high").when(F.col(c) > F.lit(low), "mid").otherwise("low"))
 
 
 def argmax_label(df: DataFrame, keys: list[str], label: str, weight: str) -> DataFrame:

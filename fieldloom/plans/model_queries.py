@@ -13,7 +13,9 @@ from fieldloom.operators import foldin
 from fieldloom.operators import geometry as geo
 from fieldloom.operators import phases as ph
 from fieldloom.operators import ranking as rk
+from fieldloom.operators import ranks as rn
 from fieldloom.operators import tables as tb
+from fieldloom.operators import transport as tr
 from fieldloom.plans.adapters import EV, FEATURES, OBS, clouds, event_log, observations
 from fieldloom.plans.queries import LABELS, LONG, _display, _label_scores, _supplier_top, _supplier_vectors, _top_sql, _zsql, c, r6
 from fieldloom.plans.registry import query, table
@@ -73,7 +75,7 @@ def refit_transport(spark: SparkSession, folder: str) -> DataFrame:
     state = lambda t: t.select(c("league").alias("entity"), "match", fn.row_hash(c("x")).alias("hash"))
     before = z.filter("league != 'ASIA' or match < 199801")
     intact = art.intact_entities(state(before), state(z)).withColumnRenamed("entity", "league")
-    costs, _ = art.refit_transport(z, geo.sinkhorn_pairs(before, "league"), intact.select("intact", c("league").alias("entity")), "league")
+    costs, _ = art.refit_transport(z, tr.sinkhorn_pairs(before, "league"), intact.select("intact", c("league").alias("entity")), "league")
     return costs.select("a", "b", r6(c("cost"), "cost"))
 
 
@@ -127,7 +129,8 @@ PHASES = [("volume", "qty"), ("volume", "price"), ("terms", "disc"), ("terms", "
   select a, r::bigint "rank", b, round(score, 6) score, traits, x.told phases_a, y.told phases_b from t join w2 using (a, b) join pl x on x.entity = a join pl y on y.entity = b""")
 def recommendation_sheet(spark: SparkSession, folder: str) -> DataFrame:
     long = _display(spark, folder)
-    profile = fe.phase_profile(long, spark.createDataFrame(PHASES, "phase string, feature string"), "entity", ["returned"]).select("entity", "phase", tb.midrank_pct(["phase"], "score").alias("pct"))
+    scored = fe.phase_profile(long, spark.createDataFrame(PHASES, "phase string, feature string"), "entity", ["returned"])
+    profile = rn.with_midrank_pct(scored, ["phase"], "score", "pct").select("entity", "phase", "pct")
     ids = long.select(c("entity").alias("a")).filter("a % 20 = 0").distinct()
     got = rk.recommend(_supplier_top(spark, folder, "league", 5, asked=True), long, profile, ids, 5, 3)
     told = lambda side: F.array_join(F.transform(f"phases_{side}", lambda p: F.concat_ws(":", p["phase"], F.round(p["pct"], 6).cast("string"))), ",").alias(f"phases_{side}")

@@ -14,6 +14,7 @@ from fieldloom.operators import geometry as geo
 from fieldloom.operators import ranking as rk
 from fieldloom.operators import sweep as sw
 from fieldloom.operators import tables as tb
+from fieldloom.operators import transport as tr
 from fieldloom.plans.adapters import EV, FEATURES, OBS, clouds, event_log, observations, with_runs
 from fieldloom.plans.registry import query, table
 
@@ -562,7 +563,7 @@ def sinkhorn_nations(spark: SparkSession, folder: str) -> DataFrame:
     w = c("mass")
     months = observations(spark, folder).join(nation, "entity").groupBy("nation", "match").agg(*[(F.sum(w * c(f)) / F.sum(w)).alias(f) for f in FEATURES], F.sum(w).alias("mass"))
     z = fe.zscore(months, fe.norm_stats(months, None, FEATURES), None, FEATURES)
-    return geo.kernel_from_costs(geo.sinkhorn_pairs(z.select("nation", "mass", F.array(*FEATURES).alias("x")), "nation"))
+    return tr.kernel_from_costs(tr.sinkhorn_pairs(z.select("nation", "mass", F.array(*FEATURES).alias("x")), "nation"))
 
 
 @query()

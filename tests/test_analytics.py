@@ -18,6 +18,7 @@ from fieldloom.operators import quality as dq
 from fieldloom.operators import ranking as rk
 from fieldloom.operators import sweep as sw
 from fieldloom.operators import tables as tb
+from fieldloom.operators import transport as tr
 from fieldloom.sources import package
 from fieldloom.streaming import ingest
 
@@ -190,13 +191,13 @@ def test_ease_equals_dense_inverse(spark, lam):
 
 def test_transport_and_slim(spark):
     x, df = vectors(spark, 27, 3)
-    costs = {(r.a, r.b): r.cost for r in geo.sinkhorn_pairs(df.withColumnRenamed("m", "mass"), "e", groups=4).collect()}
+    costs = {(r.a, r.b): r.cost for r in tr.sinkhorn_pairs(df.withColumnRenamed("m", "mass"), "e", groups=4).collect()}
     assert len(costs) == 36
     m = np.array([1 + i % 3 for i in range(27)], float)
     own = [np.arange(27) % 9 == k for k in range(9)]
-    assert costs[0, 1] == pytest.approx(geo.sinkhorn(x[own[0]], m[own[0]], x[own[1]], m[own[1]]))
+    assert costs[0, 1] == pytest.approx(tr.sinkhorn(x[own[0]], m[own[0]], x[own[1]], m[own[1]]))
     known = spark.createDataFrame([(0, 1, 99.0)], "a bigint, b bigint, cost double")
-    again = {(r.a, r.b): r.cost for r in geo.sinkhorn_pairs(df.withColumnRenamed("m", "mass"), "e", known=known, groups=4).collect()}
+    again = {(r.a, r.b): r.cost for r in tr.sinkhorn_pairs(df.withColumnRenamed("m", "mass"), "e", known=known, groups=4).collect()}
     assert again == pytest.approx(costs | {(0, 1): 99.0})
     w = {(r.r, r.s): r.w for r in geo.slim_weights(df, "id", "x", 5, 0.5, 0.01).collect()}
     d = geo.block_distances(x, x, "euclidean")

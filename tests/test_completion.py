@@ -14,6 +14,7 @@ from fieldloom.operators import artefacts as art
 from fieldloom.operators import evaluation as ev
 from fieldloom.operators import fit
 from fieldloom.operators import geometry as geo
+from fieldloom.operators.matrices import ease_kernel
 from fieldloom.operators import observations as ob
 from fieldloom.operators import ranking as rk
 from fieldloom.sources import metrics as mt
@@ -89,11 +90,9 @@ def test_fits_against_closed_forms(spark):
     told = {(r.a, r.b): r.score for r in got["scores"].collect()}
     assert told == pytest.approx({(i, j): want[i, j] for i in range(7) for j in range(7) if i != j})
     pairs = spark.createDataFrame([(i, j, float(s[i, j])) for i in range(7) for j in range(7) if i != j], "a bigint, b bigint, score double")
-    dense = {(r.a, r.b): r.score for r in fit.ease_dense(pairs, 0.05, 6).collect()}
-    assert dense == pytest.approx(told)
-    with pytest.raises(ValueError):
-        fit.ease_dense(pairs, 0.05, 6, most=6)
-    moved = fit.fit_f5(fm, 4, 6, method="sinkhorn", ease=0.1)["scores"]
+    blocked = {(r.a, r.b): r.score for r in ease_kernel(pairs, 0.05, 6, size=2).collect()}
+    assert blocked == pytest.approx(told)
+    moved = fit.fit_f5(fm, 4, 6, method="sinkhorn", ease=0.1, block=3)["scores"]
     assert moved.count() == 42 and {r.entity_id: len(r.x) for r in got["display"].collect()} == {e: 4 for e in range(7)}
     assert fit.preset("team", "5", "global") == fit.SERVED_PARAMETERS["team"] and fit.preset("team", "5", "by_league") == {} == fit.preset("player", "5", "by_league", "cosine")
 

@@ -12,6 +12,7 @@ from fieldloom.operators import foldin
 from fieldloom.operators import geometry as geo
 from fieldloom.operators import phases as ph
 from fieldloom.operators import ranking as rk
+from fieldloom.operators import transport as tr
 
 
 def obs(spark, n, d, seed=3, first=0):
@@ -90,7 +91,7 @@ def test_state_reuse_and_tables(spark, tmp_path):
         art.write_tables({"nothing": prev}, str(tmp_path), axes)
     _, df = obs(spark, 20, 3)
     df = df.withColumn("mass", F.col("m"))
-    costs = geo.sinkhorn_pairs(df, "e", groups=2)
+    costs = tr.sinkhorn_pairs(df, "e", groups=2)
     intact = spark.createDataFrame([(e, e < 3) for e in range(5)], "entity bigint, intact boolean")
     marked = costs.withColumn("cost", F.lit(-1.0))
     again = {(r.a, r.b): r.cost for r in art.refit_transport(df, marked, intact, "e")[0].collect()}
