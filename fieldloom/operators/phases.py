@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from fieldloom.operators import evaluation as ev
 from fieldloom.operators.geometry import dist, normalized
 from fieldloom.operators.ranking import top_k
+from fieldloom.operators.steps import stored
 from fieldloom.operators.tables import majority_vote, terciles
+from fieldloom.operators.transport import kernel_from_costs, sinkhorn_draws
 
 
 def lists(top: DataFrame, name: str, *more: str) -> DataFrame:
@@ -64,6 +66,21 @@ def stability(base: DataFrame, resampled: DataFrame, p: float = 0.9) -> DataFram
     return by.agg(F.avg("rbo").alias("rbo"), F.max("n").alias("n_asked"), F.count("*").alias("draws")).crossJoin(ci)
 
 
+def transport_stability(obs: DataFrame, entity: str, match: str, n: int = 20, k: int = 10, kind: str = "euclidean", p: float = 0.9, seed: int = 7) -> DataFrame:
+    """Phase 2 of a transport model: as `stability`, the scores refitted under each of n bootstrap draws.
+
+    obs: (entity, match, mass, x). A draw multiplies masses by how often an observation was drawn, so clouds and ground costs are made
+    once, for the model itself (draw 0) and all draws.
+    """
+    times = ev.resample(obs, entity, match, n, seed).groupBy(entity, match).agg(F.map_from_entries(F.collect_list(F.struct("b", "times"))).alias("times"))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda b: F.coalesce(F.element_at("times", b), F.lit(0)) * F.col("mass"))
+    clouds = obs.join(times, [entity, match], "left").select(entity, F.concat(F.array(F.col("mass").cast("double")), F.coalesce(drawn, F.array_repeat(F.lit(0.0), n))).alias("masses"), "x")
+    kernel = stored(kernel_from_costs(sinkhorn_draws(clouds, entity, kind), "draw"), "draw-scores")
+    rank = F.row_number().over(Window.partitionBy("draw", "a").orderBy(F.desc("score"), F.desc("b")))
+    top = kernel.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return stability(top.filter("draw = 0").select("a", "b", "rank"), top.filter("draw > 0").select("draw", "a", "b", "rank"), p)
+
+
 def triangulation(models: Mapping[str, DataFrame], pairs: list[tuple[str, str]], sample: int = 500, seed: int = 7, n: int = 199) -> DataFrame:
     """Phase 3: (left, right, rho, p, tau) over pairs of score tables; a sample of at most `sample` common entities by hash."""
     out = []

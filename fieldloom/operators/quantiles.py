@@ -90,7 +90,7 @@ def quantiles(df: DataFrame, c: str, shares: Sequence[float], by: str | None = N
     out = {}
     for g, at in places.items():
         lo, hi = ([got[g, int(f(p))] for p in at] for f in (np.floor, np.ceil))
-        out[g if by is not None else None] = [a if a == b else a + (b - a) * (p - np.floor(p)) for a, b, p in zip(lo, hi, at, strict=True)]
+        out[g if by is not None else None] = [float(a if a == b else a + (b - a) * (p - np.floor(p))) for a, b, p in zip(lo, hi, at, strict=True)]
     return out
 
 

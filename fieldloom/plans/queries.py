@@ -11,8 +11,12 @@ from fieldloom.operators import evaluation as ev
 from fieldloom.operators import events as eo
 from fieldloom.operators import features as fe
 from fieldloom.operators import geometry as geo
+from fieldloom.operators import matrices as mx
 from fieldloom.operators import ranking as rk
 from fieldloom.operators import sweep as sw
+from fieldloom.operators import phases as ph
+from fieldloom.operators import quantiles as qt
+from fieldloom.operators import ranks as rn
 from fieldloom.operators import tables as tb
 from fieldloom.operators import transport as tr
 from fieldloom.plans.adapters import EV, FEATURES, OBS, clouds, event_log, observations, with_runs
@@ -556,14 +560,48 @@ def ease_topk(spark: SparkSession, folder: str) -> DataFrame:
     return geo.ease_rerank(e, "entity", len(FEATURES), 0.03, 10)
 
 
-@query()
-def sinkhorn_nations(spark: SparkSession, folder: str) -> DataFrame:
-    """Transport kernel between nations; a nation's cloud has one observation per month, made from all its suppliers."""
+def _nation_clouds(spark: SparkSession, folder: str) -> DataFrame:
+    """(nation, match, mass, x): a nation's cloud has one observation per month, made from all its suppliers."""
     nation = table(spark, folder, "supplier").select(c("s_suppkey").alias("entity"), c("s_nationkey").alias("nation"))
     w = c("mass")
     months = observations(spark, folder).join(nation, "entity").groupBy("nation", "match").agg(*[(F.sum(w * c(f)) / F.sum(w)).alias(f) for f in FEATURES], F.sum(w).alias("mass"))
     z = fe.zscore(months, fe.norm_stats(months, None, FEATURES), None, FEATURES)
-    return tr.kernel_from_costs(tr.sinkhorn_pairs(z.select("nation", "mass", F.array(*FEATURES).alias("x")), "nation"))
+    return z.select("nation", "match", "mass", F.array(*FEATURES).alias("x"))
+
+
+@query()
+def sinkhorn_nations(spark: SparkSession, folder: str) -> DataFrame:
+    """Transport kernel between nations."""
+    return tr.kernel_from_costs(tr.sinkhorn_pairs(_nation_clouds(spark, folder), "nation"))
+
+
+@query()
+def ease_transport(spark: SparkSession, folder: str) -> DataFrame:
+    """The nations' transport kernel re-ranked by the inverse of its block Gram matrix, blocks of seven nations."""
+    return mx.ease_kernel(sinkhorn_nations(spark, folder), 0.03, 10, size=7)
+
+
+@query()
+def phase_stability_transport(spark: SparkSession, folder: str) -> DataFrame:
+    """Top lists of the nations' transport kernel against those of twenty bootstrap draws of their months."""
+    return ph.transport_stability(_nation_clouds(spark, folder), "nation", "match")
+
+
+@query("""select l_orderkey, l_linenumber, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2 "rank",
+  round((rank() over (partition by l_returnflag order by l_discount) - 1 + (count(*) over (partition by l_returnflag, l_discount) - 1) / 2) / (count(*) over (partition by l_returnflag) - 1), 9) pct from lineitem""")
+def global_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranks of all lines by price, and percentiles by discount in three groups with eleven values."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", c("l_extendedprice").cast("double").alias("price"), c("l_discount").cast("double").alias("discount"))
+    ranked = rn.with_midrank_pct(rn.with_avg_rank(lines, [], "price", "rank"), ["l_returnflag"], "discount", "pct")
+    return ranked.select("l_orderkey", "l_linenumber", "rank", F.round("pct", 9).alias("pct"))
+
+
+@query("""select l_returnflag g, round(quantile_cont(l_extendedprice::double, 0.025), 6) low, round(median(l_extendedprice::double), 6) middle, round(quantile_cont(l_extendedprice::double, 0.975), 6) high,
+  round(median(l_discount::double), 6) discount from lineitem group by l_returnflag""")
+def exact_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    price, discount = qt.quantiles(lines, "l_extendedprice", [0.025, 0.5, 0.975], "l_returnflag"), qt.quantiles(lines, "l_discount", [0.5], "l_returnflag")
+    return spark.createDataFrame([(g, *(round(v, 6) for v in (*vs, *discount[g]))) for g, vs in price.items()], "g string, low double, middle double, high double, discount double")
 
 
 @query()

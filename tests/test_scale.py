@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import evaluation as ev
 from fieldloom.operators import matrices as mx
+from fieldloom.operators import phases as ph
 from fieldloom.operators import quantiles as qt
 from fieldloom.operators import ranks as rn
 from fieldloom.operators import transport as tr
@@ -147,3 +148,26 @@ def test_transport_solver_against_plain_scalings():
     # costs beyond what scalings can hold go step by step in the log domain
     far = tr.sinkhorn(x * 40, a, y * 40, b)
     assert np.isfinite(far) and far > 100
+
+
+def test_transport_stability_against_plain_loops(spark):
+    rng = np.random.default_rng(11)
+    rows = [(e, m, float(1 + m % 3), rng.normal(e % 3, 1, 2).tolist()) for e in range(6) for m in range(5)]
+    obs = spark.createDataFrame(rows, "e bigint, match bigint, mass double, x array<double>")
+    times = {(r.b, r.e, r.match): r.times for r in ev.resample(obs, "e", "match", 3).collect()}
+
+    def tops(draw):
+        weight = lambda e, m, w: w * (times.get((draw, e, m), 0) if draw else 1)
+        cloud = {e: (np.array([x for i, _, _, x in rows if i == e]), np.array([weight(i, m, w) for i, m, w, _ in rows if i == e])) for e in range(6)}
+        cost = {(a, b): tr.sinkhorn(*cloud[a], *cloud[b]) for a in range(6) for b in range(a + 1, 6)}
+        return {a: sorted((b for b in range(6) if b != a), key=lambda b: (cost[min(a, b), max(a, b)], -b))[:3] for a in range(6)}
+
+    def rbo(x, y, p=0.9):
+        agree = [len({*x[:d]} & {*y[:d]}) for d in range(1, 4)]
+        return (1 - p) * sum(n / d * p ** (d - 1) for d, n in enumerate(agree, 1)) + agree[-1] / 3 * p**3
+
+    base = tops(0)
+    means = [np.mean([rbo(base[a], drawn[a]) for a in range(6)]) for drawn in (tops(d) for d in (1, 2, 3))]
+    got = ph.transport_stability(obs, "e", "match", 3, 3).first()
+    assert (got.rbo, got.low, got.high) == pytest.approx((np.mean(means), *np.quantile(means, [0.025, 0.975])))
+    assert (got.n_asked, got.draws) == (6, 3)
