@@ -139,6 +139,8 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # workers serve several stages: what earlier tasks have freed goes back first
+        pa.default_memory_pool().release_unused()
         enc, part, at = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             row = 0

@@ -8,15 +8,19 @@ next to a mention of a group, carry weight that neither has alone.
 Which terms are linear and which are paired is decided apart:
 
 * a linear term's share of positive rows must be unlikely by chance; x is how far it is from chance;
-* paired terms are the ends of pairs that explain what the linear model leaves over: a score test of each pair's product against the
-  linear model's residuals, over the `pair_terms` most frequent terms. A word need not tell anything by itself.
+* paired terms are the ends of pairs of words that explain what the linear model leaves over: a score test of each pair's product against
+  the linear model's residuals. A word need not tell anything by itself, nor be frequent: every pair of words with at
+  least `pair_rows` rows each is tested, but for those that cannot pass whatever they go with. The least z grows with the number of
+  tested pairs, so that rare words that meet by chance do not pass.
 
 The model is fitted on a sample of labelled rows bounded by `max_rows` (of the labelled ids, those with the smallest
 hashes; default 20,000). Term counts are added up by Spark (one row per hashed term reaches the driver); then the sample's rows come
-with the numbers of the `max_terms` selected terms at most, 2 bytes each, and are fitted by mini-batch AdaGrad on the driver.
+with the numbers of the `max_terms` selected terms at most, 4 bytes each, and are fitted by mini-batch AdaGrad on the driver. Pairs are
+counted on Spark: the sample's words are broadcast (4 bytes for each distinct word of a row), a task counts the pairs of a block of words with
+all others, and only the numbers of the words that pass come back.
 Scoring runs over all rows and whole texts.
 
-Defined results: a null or empty text scores by the bias alone. Labels that are null or have no text are passed over; of
+Defined results: a null or empty text scores by the bias alone, and a text of any length is read whole. Labels that are null or have no text are passed over; of
 repeated labels for one id the largest counts. Without both classes among the labels every score is the smoothed
 share of positive labels. Empty table: empty result. Other columns are ignored.
 """
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import Steps, text_of
@@ -47,17 +51,18 @@ def terms_of_word(w: str, dims: int = DIMS) -> list[int]:
 
 
 class Terms:
-    """Sorted distinct term numbers of a text, or those of them that `known` keeps.
+    """Sorted distinct term numbers of a text, or those of them that `known` keeps; whole: of words only, not of beginnings.
 
     Words do not reach over white space, so the numbers of each distinct piece between blanks are found once and kept
     in a bounded cache.
     """
 
-    def __init__(self, known: np.ndarray | None = None, dims: int = DIMS, limit: int = 300_000):
-        self.known, self.dims, self.limit, self.cache = known, dims, limit, {}
+    def __init__(self, known: np.ndarray | None = None, dims: int = DIMS, limit: int = 300_000, whole: bool = False):
+        self.known, self.dims, self.limit, self.cache, self.whole = known, dims, limit, {}, whole
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        found = {t for w in WORD.findall(piece.lower()) for t in terms_of_word(w, self.dims)}
+        words = WORD.findall(piece.lower())
+        found = {terms_of_word(w, self.dims)[0] for w in words} if self.whole else {t for w in words for t in terms_of_word(w, self.dims)}
         return tuple(found if self.known is None else (t for t in found if self.known[t]))
 
     def __call__(self, text: str | None) -> Row:
@@ -84,18 +89,17 @@ class FactorizationMachine:
 
     def __init__(
         self, dims: int = DIMS, factors: int = 8, rate: float = 0.2, l2: float = 1e-4, pair_l2: float = 1e-3, epochs: int = 12, min_rows: int = 3,
-        least_z: float = 3.0, pair_rows: int = 8, pair_z: float = 5.0, pair_terms: int = 2048, max_terms: int = 16_384, seed: int = 7,
+        least_z: float = 3.0, pair_rows: int = 8, pair_z: float = 5.0, max_terms: int = 16_384, seed: int = 7,
     ):
         self.dims, self.k, self.rate, self.l2, self.pair_l2, self.epochs, self.min_rows = dims, factors, rate, l2, pair_l2, epochs, min_rows
-        self.least_z, self.pair_rows, self.pair_z, self.pair_terms, self.max_terms = least_z, pair_rows, pair_z, pair_terms, max_terms
+        self.least_z, self.pair_rows, self.pair_z, self.max_terms = least_z, pair_rows, pair_z, max_terms
         self.rng, self.bias, self.share = np.random.default_rng(seed), 0.0, 0.5
         #: number of a linear and of a paired term, -1 for others
         self.linear, self.paired = np.full(dims, -1, dtype=np.int32), np.full(dims, -1, dtype=np.int32)
         self.x, self.w, self.v = np.zeros(0), np.zeros(0), np.zeros((0, factors))
-        self.frequent = np.zeros(0, dtype=np.int64)
 
     def screen(self, n: np.ndarray, positive: np.ndarray, total: int, positives: float) -> None:
-        """Linear terms and the terms whose pairs are to be tested, from each term's rows and positive rows."""
+        """Linear terms, from each term's rows and positive rows."""
         self.share = (positives + 0.5) / (total + 1)
         self.bias = float(np.log(self.share / (1 - self.share)))
         if not 0 < positives < total:
@@ -105,48 +109,24 @@ class FactorizationMachine:
         kept = np.sort(kept[np.argsort(-z[kept], kind="stable")[: self.max_terms]])
         self.linear[kept] = np.arange(len(kept))
         self.x, self.w = np.minimum(z[kept] - self.least_z, 5.0) / 5.0, np.zeros(len(kept))
-        often = np.flatnonzero((n >= self.pair_rows) & (total - n >= self.pair_rows))
-        self.frequent = np.sort(often[np.argsort(-n[often], kind="stable")[: self.pair_terms]])
 
     def known(self) -> np.ndarray:
-        """Terms that matter, by number: while fitting also those whose pairs are to be tested."""
-        out = (self.linear >= 0) | (self.paired >= 0)
-        out[self.frequent] = True
-        return out
-
-    def fit(self, rows: list[Row], y: np.ndarray, pairs: bool = True) -> FactorizationMachine:
-        """rows need hold the known() terms only; screen() has been called."""
-        if not len(self.x) and not len(self.frequent):
-            return self
-        self._train(rows, y)
-        if pairs:
-            self._pair(rows, y)
-            if len(self.v):
-                self._train(rows, y)
-        self.frequent = self.frequent[:0]
-        return self
-
-    def _pair(self, rows: list[Row], y: np.ndarray, block: int = 1024) -> None:
-        """Makes the ends of the pairs that pass the score test paired terms."""
-        f = len(self.frequent)
-        at = np.full(self.dims, -1, dtype=np.int64)
-        at[self.frequent] = np.arange(f)
-        left, spread, p = np.zeros((f, f), dtype=np.float32), np.zeros((f, f), dtype=np.float32), self.scores(rows)
-        for start in range(0, len(rows), block):
-            part = slice(start, start + block)
-            term, of = flat(rows[part])
-            inside = at[term] >= 0
-            here = np.zeros((len(rows[part]), f), dtype=np.float32)
-            here[of[inside], at[term[inside]]] = 1
-            q = p[part].astype(np.float32)
-            left += here.T @ (here * (y[part] - q).astype(np.float32)[:, None])
-            spread += here.T @ (here * (q * (1 - q))[:, None])
-        z = np.abs(left) / np.sqrt(spread + 0.25)
-        np.fill_diagonal(z, 0)
-        ends = self.frequent[np.flatnonzero(z.max(axis=1) > self.pair_z)] if f else self.frequent
+        """Terms that matter, by number."""
+        return (self.linear >= 0) | (self.paired >= 0)
+
+    def pair(self, ends: np.ndarray) -> None:
+        """Makes terms paired ones; they get a linear weight too, so that a word's own share is not left to its pairs."""
         self.paired[ends] = np.arange(len(ends))
+        new = ends[self.linear[ends] < 0]
+        self.linear[new] = len(self.w) + np.arange(len(new))
+        self.x, self.w = np.append(self.x, np.ones(len(new))), np.append(self.w, np.zeros(len(new)))
         self.v = self.rng.normal(0, 0.2, (len(ends), self.k))
 
+    def train(self, rows: list[Row], y: np.ndarray) -> None:
+        """rows need hold the known() terms only; begins from the present weights."""
+        if len(self.x) or len(self.v):
+            self._train(rows, y)
+
     def _train(self, rows: list[Row], y: np.ndarray) -> None:
         lin, par = ([at[r][at[r] >= 0] for r in rows] for at in (self.linear, self.paired))
         gw, gv, gb = np.full(self.w.shape, 1e-3), np.full(self.v.shape, 1e-3), 1.0
@@ -204,21 +184,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, pairs: bool = True, **how) -> FactorizationMachine:
-    """The model of a bounded sample of the labelled rows that are not held out."""
-    steps, model = Steps(docs.sparkSession), FactorizationMachine(**how)
-    dims = model.dims
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("y"))
-    sample_ids = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows))
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(sample_ids, F.col("id") == F.col("__id")).select("text", "y")
+def _counted(found: DataFrame, column: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and positive rows of each number in a column of numbers (4 bytes each)."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Terms(dims=dims)
-        for batch in batches:
-            terms = [of(t.as_py()).astype("<u4").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, type=pa.binary()), batch.column(1)], names=["terms", "y"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, positive = np.zeros(dims, dtype=np.int64), np.zeros(dims)
         for batch in batches:
             for terms, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -228,26 +197,101 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(positive[at])], names=["term", "n", "positive"])
 
-    found = steps.stored(rows.mapInArrow(find, "terms binary, y double"), "toxic-terms")
-    counts = found.mapInArrow(count, "term bigint, n bigint, positive double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).toPandas()
-    total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("positives")).first()
+    counts = found.select(column, "y").mapInArrow(run, "term bigint, n bigint, positive double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).toPandas()
     n, positive = np.zeros(dims, dtype=np.int64), np.zeros(dims)
     n[counts["term"]], positive[counts["term"]] = counts["n"], counts["positive"]
-    model.screen(n, positive, total["n"], total["positives"])
-    # numbers of the terms that matter, two bytes each
-    numbers = np.flatnonzero(model.known())
-    short = np.full(dims, 65535, dtype="<u2")
-    short[numbers] = np.arange(len(numbers))
+    return n, positive
+
+
+def _collected(found: DataFrame, terms: np.ndarray, words: np.ndarray) -> tuple[list[Row], list[Row], np.ndarray]:
+    """The sample's terms, words (each as far as its mask has them) and labels, in an order of their own, so that the same rows give the same model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [[(at := np.frombuffer(b, dtype="<u4"))[mask[at]].tobytes() for b in batch.column(c).to_pylist()] for c, mask in enumerate((terms, words))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, type=pa.binary()) for k in kept), batch.column(2)], names=["terms", "words", "y"])
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = found.mapInArrow(run, "terms binary, words binary, y double").toArrow()
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("terms", "words", "y")), strict=True))
+    unpacked = ([np.frombuffer(r[c], dtype="<u4") for r in rows] for c in (0, 1))
+    return *unpacked, np.array([r[2] for r in rows])
+
+
+def pair_ends(spark: SparkSession, rows: list[Row], left: np.ndarray, spread: np.ndarray, dims: int, least_z: float) -> np.ndarray:
+    """Numbers of the words that are in a pair which passes the score test.
+
+    rows: the words of each row; left and spread: what the linear model leaves of each row, and its variance. A pair's z is |sum of left| /
+    sqrt(1 + sum of spread) over the rows that hold both; the least is `least_z`, or sqrt(2 ln(pairs tested)) if that is more.
+    """
+    flat_words, of = flat(rows)
+    # no pair's sum is larger than the larger one of what its words' rows leave above and below zero: a word below the least z passes with none
+    above, below = (np.bincount(flat_words, weights=np.maximum(sign * left, 0)[of], minlength=dims) for sign in (1, -1))
+    able = np.flatnonzero(np.maximum(above, below) > least_z)
+    if len(able) < 2:
+        return able[:0]
+    least = max(least_z, float(np.sqrt(2 * np.log(len(able) * (len(able) - 1) / 2 + 1))))
+    at = np.full(dims, -1, dtype=np.int32)
+    at[able] = np.arange(len(able))
+    inside = at[flat_words] >= 0
+    words, of = at[flat_words][inside], of[inside].astype(np.int32)
+    sent = spark.sparkContext.broadcast((words, of, np.cumsum(np.bincount(of, minlength=len(rows))), left, spread, len(able), least))
+    block = 256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, of, ends, left, spread, n, least = sent.value
         for batch in batches:
-            kept = [short[np.frombuffer(b, dtype="<u4")] for b in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([k[k != 65535].tobytes() for k in kept], type=pa.binary()), batch.column(1)], names=["terms", "y"])
+            for lo in batch.column(0).to_pylist():
+                here = np.flatnonzero((words >= lo) & (words < lo + block))
+                here = here[np.argsort(words[here], kind="stable")]
+                cuts = np.searchsorted(words[here], np.arange(lo, min(n, lo + block) + 1))
+                passed = []
+                for k in range(len(cuts) - 1):
+                    holders = of[here[cuts[k] : cuts[k + 1]]]
+                    starts = np.where(holders > 0, ends[holders - 1], 0)
+                    sizes = ends[holders] - starts
+                    others = words[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+                    s = np.bincount(others, weights=np.repeat(left[holders], sizes), minlength=n)
+                    v = np.bincount(others, weights=np.repeat(spread[holders], sizes), minlength=n)
+                    s[lo + k] = 0
+                    if (s * s > least * least * (1 + v)).any():
+                        passed.append(lo + k)
+                yield pa.RecordBatch.from_arrays([pa.array(passed, type=pa.int64())], names=["word"])
+
+    starts = spark.range(0, len(able), block, numPartitions=max(1, -(-len(able) // (4 * block))))
+    return able[np.sort(starts.mapInArrow(run, "word bigint").toArrow().column("word").to_numpy())]
+
 
-    got = found.mapInArrow(shorten, "terms binary, y double").toArrow()
-    # in an order of their own, so that the same rows give the same model
-    rows = sorted(zip(got.column("terms").to_pylist(), got.column("y").to_pylist(), strict=True))
-    model.fit([numbers[np.frombuffer(b, dtype="<u2")] for b, _ in rows], np.array([y for _, y in rows]), pairs)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, pairs: bool = True, **how) -> FactorizationMachine:
+    """The model of a bounded sample of the labelled rows that are not held out."""
+    spark, model = docs.sparkSession, FactorizationMachine(**how)
+    steps, dims = Steps(spark), model.dims
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("y"))
+    sample_ids = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(sample_ids, F.col("id") == F.col("__id")).select("text", "y")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [Terms(dims=dims), Terms(dims=dims, whole=True)]
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            terms = [pa.array([of(t).astype("<u4").tobytes() for t in texts], type=pa.binary()) for of in kinds]
+            yield pa.RecordBatch.from_arrays([*terms, batch.column(1)], names=["terms", "words", "y"])
+
+    found = steps.stored(rows.mapInArrow(find, "terms binary, words binary, y double"), "toxic-terms")
+    total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("positives")).first()
+    model.screen(*_counted(found, "terms", dims), total["n"], total["positives"])
+    often = np.zeros(dims, dtype=bool)
+    if pairs and 0 < total["positives"] < total["n"]:
+        holders, _ = _counted(found, "words", dims)
+        often = (holders >= model.pair_rows) & (total["n"] - holders >= model.pair_rows)
+    rows, words, y = _collected(found, model.known(), often)
+    model.train(rows, y)
+    if often.any():
+        p = model.scores(rows)
+        ends = pair_ends(spark, words, y - p, p * (1 - p), dims, model.pair_z)
+        if len(ends):
+            model.pair(ends)
+            rows, _, y = _collected(found, model.known(), np.zeros(dims, dtype=bool))
+            model.train(rows, y)
     steps.drop(found)
     return model
 

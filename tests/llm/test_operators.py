@@ -450,6 +450,45 @@ def test_toxicity_learns_pairs_of_words_that_tell_nothing_alone(spark):
         assert value > 0.9 if right else value < 0.6
 
 
+def test_toxicity_pairs_rare_words_among_thousands_of_frequent_ones(spark):
+    """The words that decide together are in 6 per cent of the rows; 5,000 other words are more frequent."""
+    rng, rows, labels = np.random.default_rng(3), [], []
+    for k in range(2400):
+        words = [f"w{j}" for j in rng.choice(5000, 600, replace=False)] + {0: ["silly", "group"], 1: ["silly"], 2: ["group"]}.get(k % 33, [])
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 33 == 0 or k % 33 not in (1, 2) and k % 29 == 0)))
+    docs, lab = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, lab)
+    ends = np.flatnonzero(model.paired >= 0)
+    assert {zlib.crc32(w.encode()) % toxicity.DIMS for w in ("silly", "group")} <= set(ends.tolist()) and len(ends) < 50
+    asked = [k for k in range(2400) if k % 33 < 3]
+    for fm, right in ((model, True), (model.without_pairs(), False)):
+        got = {r.doc_id: r.score for r in toxicity.score(docs.filter("doc_id % 33 < 3"), fm).collect()}
+        value = auc([labels[k][1] for k in asked], [got[k] for k in asked])
+        assert value > 0.9 if right else value < 0.9
+
+
+def test_pair_ends_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [np.flatnonzero(rng.uniform(size=700) < 0.05) for _ in range(500)]
+    y = np.array([0.95 if {3, 9} <= set(r.tolist()) or {650, 12} <= set(r.tolist()) else rng.normal(0, 0.1) for r in rows])
+    for r in rows[:60]:
+        r[:2] = (3, 9)
+    rows = [np.unique(r) for r in rows]
+    y[:60] = 0.95
+    spread = rng.uniform(0, 0.2, 500)
+    x = np.zeros((500, 700))
+    for k, r in enumerate(rows):
+        x[k, r] = 1
+    z = np.abs(x.T @ (x * y[:, None])) / np.sqrt(1 + x.T @ (x * spread[:, None]))
+    np.fill_diagonal(z, 0)
+    able = np.maximum(np.maximum(x * y[:, None], 0).sum(0), np.maximum(-x * y[:, None], 0).sum(0)) > 3
+    least = max(3.0, np.sqrt(2 * np.log(able.sum() * (able.sum() - 1) / 2 + 1)))
+    want = np.flatnonzero((z > least).any(axis=1))
+    assert 2 <= len(want) < 100
+    assert toxicity.pair_ends(spark, rows, y, spread, 700, 3.0).tolist() == want.tolist()
+
+
 def brute_score(fm, text):
     """The model's formula, pair by pair."""
     words = set(re.findall(r"\w+", (text or "").lower()))
