@@ -89,7 +89,7 @@ class FactorizationMachine:
 
     def __init__(
         self, dims: int = DIMS, factors: int = 8, rate: float = 0.2, l2: float = 1e-4, pair_l2: float = 1e-3, epochs: int = 12, min_rows: int = 3,
-        least_z: float = 3.0, pair_rows: int = 8, pair_z: float = 5.0, max_terms: int = 16_384, seed: int = 7,
+        least_z: float = 3.0, pair_rows: int = 8, pair_z: float = 4.5, max_terms: int = 16_384, seed: int = 7,
     ):
         self.dims, self.k, self.rate, self.l2, self.pair_l2, self.epochs, self.min_rows = dims, factors, rate, l2, pair_l2, epochs, min_rows
         self.least_z, self.pair_rows, self.pair_z, self.max_terms = least_z, pair_rows, pair_z, max_terms
@@ -217,11 +217,12 @@ def _collected(found: DataFrame, terms: np.ndarray, words: np.ndarray) -> tuple[
     return *unpacked, np.array([r[2] for r in rows])
 
 
-def pair_ends(spark: SparkSession, rows: list[Row], left: np.ndarray, spread: np.ndarray, dims: int, least_z: float) -> np.ndarray:
+def pair_ends(spark: SparkSession, rows: list[Row], left: np.ndarray, spread: np.ndarray, dims: int, least_z: float, ridge: float = 1.0) -> np.ndarray:
     """Numbers of the words that are in a pair which passes the score test.
 
     rows: the words of each row; left and spread: what the linear model leaves of each row, and its variance. A pair's z is |sum of left| /
-    sqrt(1 + sum of spread) over the rows that hold both; the least is `least_z`, or sqrt(2 ln(pairs tested)) if that is more.
+    sqrt(ridge + sum of spread) over the rows that hold both; the least is `least_z`, or sqrt(2 ln(pairs tested)) - 1 if that is more, which
+    lets in some hundred pairs by chance at most.
     """
     flat_words, of = flat(rows)
     # no pair's sum is larger than the larger one of what its words' rows leave above and below zero: a word below the least z passes with none
@@ -229,16 +230,16 @@ def pair_ends(spark: SparkSession, rows: list[Row], left: np.ndarray, spread: np
     able = np.flatnonzero(np.maximum(above, below) > least_z)
     if len(able) < 2:
         return able[:0]
-    least = max(least_z, float(np.sqrt(2 * np.log(len(able) * (len(able) - 1) / 2 + 1))))
+    least = max(least_z, float(np.sqrt(2 * np.log(len(able) * (len(able) - 1) / 2 + 1))) - 1)
     at = np.full(dims, -1, dtype=np.int32)
     at[able] = np.arange(len(able))
     inside = at[flat_words] >= 0
     words, of = at[flat_words][inside], of[inside].astype(np.int32)
-    sent = spark.sparkContext.broadcast((words, of, np.cumsum(np.bincount(of, minlength=len(rows))), left, spread, len(able), least))
+    sent = spark.sparkContext.broadcast((words, of, np.cumsum(np.bincount(of, minlength=len(rows))), left, spread, len(able), least, ridge))
     block = 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, of, ends, left, spread, n, least = sent.value
+        words, of, ends, left, spread, n, least, ridge = sent.value
         for batch in batches:
             for lo in batch.column(0).to_pylist():
                 here = np.flatnonzero((words >= lo) & (words < lo + block))
@@ -253,7 +254,7 @@ def pair_ends(spark: SparkSession, rows: list[Row], left: np.ndarray, spread: np
                     s = np.bincount(others, weights=np.repeat(left[holders], sizes), minlength=n)
                     v = np.bincount(others, weights=np.repeat(spread[holders], sizes), minlength=n)
                     s[lo + k] = 0
-                    if (s * s > least * least * (1 + v)).any():
+                    if (s * s > least * least * (ridge + v)).any():
                         passed.append(lo + k)
                 yield pa.RecordBatch.from_arrays([pa.array(passed, type=pa.int64())], names=["word"])
 
