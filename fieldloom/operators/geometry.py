@@ -56,17 +56,20 @@ def blocks(df: DataFrame, key: str, x: str, n: int) -> DataFrame:
 def knn(base: DataFrame, query: DataFrame, k: int, kind: str = "euclidean", key: str = "id", x: str = "x", block_rows: int = 2048, root: np.ndarray | None = None) -> DataFrame:
     """(key, neighbour, distance, rank): the k nearest other rows of base per row of query, ties by id.
 
-    Query blocks meet base blocks (a stated query set against all rows, in blocks); each pair keeps its best k.
+    A base of one block meets each block of queries at once; a larger one is searched by pivot cells (`neighbours`), which gives the same rows.
     """
     if kind == "mahalanobis":
         if root is None:
             raise ValueError("mahalanobis needs the root of a fitted whitening")
         base, query, kind, x = whiten(base, x, root, key), whiten(query, x, root, key), "euclidean", "x"
-    rows = max(base.count(), 1)
-    n_base, n_query = -(-rows // block_rows), max(1, -(-query.count() // block_rows))
-    left = blocks(query, key, x, n_query).select(F.col("block").alias("q"), F.col("rows").alias("qs"))
-    right = blocks(base, key, x, n_base).select(F.col("block").alias("b"), F.col("rows").alias("bs"))
-    pairs = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1)))).join(right, "b").select("qs", "bs")
+    if base.count() > block_rows:
+        from fieldloom.operators.neighbours import knn_pruned  # built on this module
+
+        return knn_pruned(base, query, k, kind, key, x, block_rows)
+    n_query = max(1, -(-query.count() // block_rows))
+    left = blocks(query, key, x, n_query).select(F.lit(0).alias("b"), F.col("rows").alias("qs"))
+    right = blocks(base, key, x, 1).select(F.lit(0).alias("b"), F.col("rows").alias("bs"))
+    pairs = left.join(F.broadcast(right), "b").select("qs", "bs")
     kind_sql = base.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

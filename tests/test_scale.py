@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import evaluation as ev
+from fieldloom.operators import geometry as geo
 from fieldloom.operators import matrices as mx
+from fieldloom.operators import neighbours as nb
 from fieldloom.operators import phases as ph
 from fieldloom.operators import quantiles as qt
 from fieldloom.operators import ranks as rn
@@ -171,3 +173,33 @@ def test_transport_stability_against_plain_loops(spark):
     got = ph.transport_stability(obs, "e", "match", 3, 3).first()
     assert (got.rbo, got.low, got.high) == pytest.approx((np.mean(means), *np.quantile(means, [0.025, 0.975])))
     assert (got.n_asked, got.draws) == (6, 3)
+
+
+@pytest.mark.parametrize("kind", ["euclidean", "sqeuclidean", "manhattan", "cosine"])
+def test_pruned_neighbours_equal_brute_force(spark, kind):
+    """Clusters, one of which holds a third of the rows, copies and a zero vector; chunks smaller than that cluster."""
+    rng = np.random.default_rng(12)
+    centres = 8 * rng.normal(size=(12, 5))
+    x = centres[np.minimum(rng.integers(0, 18, 900), 11)] + 0.2 * rng.normal(size=(900, 5))
+    x[100:110] = x[100]
+    x[500] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    report = {}
+    got = nb.knn_pruned(df, df.filter("id % 5 = 0"), 4, kind, "id", "x", chunk=100, report=report)
+    assert got.columns == ["id", "neighbour", "distance", "rank"]
+    told = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in got.collect()}
+    for q in range(0, 900, 5):
+        d = geo.block_distances(x[q : q + 1], x, kind)[0]
+        d[q] = np.inf
+        order = np.lexsort((np.arange(900), d.round(9)))[:4]
+        assert [told[q, r][0] for r in range(1, 5)] == order.tolist()
+        assert [told[q, r][1] for r in range(1, 5)] == pytest.approx(d[order].tolist(), abs=1e-9)
+    assert len(told) == 720 and report["share"] < 0.5
+
+
+def test_pruned_neighbours_of_few_rows(spark):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id bigint, x array<double>")
+    got = sorted((r.id, r["rank"], r.neighbour) for r in nb.knn_pruned(df, df.filter("id < 1"), 9, "euclidean", "id", "x", chunk=2, pivots=2).collect())
+    assert got == [(0, r, r) for r in range(1, 5)]
+    direct = sorted((r.id, r["rank"], r.neighbour) for r in geo.knn(df, df.filter("id < 1"), 9).collect())
+    assert direct == got == sorted((r.id, r["rank"], r.neighbour) for r in geo.knn(df, df.filter("id < 1"), 9, block_rows=2).collect())
