@@ -24,6 +24,11 @@ def compare_rankings(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["a", "b"], "full_outer").groupBy("a").agg((both / F.count("*")).alias("jaccard"), both.cast("bigint").alias("common"))
 
 
+def ranks_in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, rank, other_rank): each candidate of the first table with its rank in the second, null if it is not there."""
+    return a.select("a", "b", "rank").join(b.select("a", "b", F.col("rank").alias("other_rank")), ["a", "b"], "left")
+
+
 def _quality(name: Column, text: Column) -> Column:
     return F.when(name == text, 0).when(name.startswith(text), 1).when(name.contains(text), 2)
 
@@ -42,21 +47,28 @@ def search(names: DataFrame, queries: DataFrame, limit: int, key: str = "id", na
 MOST_TEXTS = 10_000
 
 
-def resolve(names: DataFrame, queries: DataFrame, key: str = "id", name: str = "name", text: str = "text", most: int = MOST_TEXTS) -> DataFrame:
-    """(text, status, id): exact match, else the only substring match, else ambiguous or absent.
+def resolve(names: DataFrame, queries: DataFrame, key: str = "id", name: str = "name", text: str = "text", most: int = MOST_TEXTS, told: int = 10) -> DataFrame:
+    """(text, status, id, candidates): exact match, else the only substring match, else ambiguous or absent.
+
+    candidates: of an ambiguous text the first `told` names that hold it, in order of ids; else null.
 
     Exact names are found by an equi join. Only the other texts are looked for inside the names, `most` of them in a round, so that
     what is broadcast is bounded.
     """
-    n, q = names.select(key, normalize_name(F.col(name)).alias("__n")), queries.select(text, normalize_name(F.col(text)).alias("__t")).distinct()
+    n = names.select(key, F.col(name).alias("__name"), normalize_name(F.col(name)).alias("__n"))
+    q = queries.select(text, normalize_name(F.col(text)).alias("__t")).distinct()
     exact = q.join(n, F.col("__t") == F.col("__n")).groupBy(text).agg(F.min(key).alias("id")).withColumn("status", F.lit("exact"))
     rest = q.join(exact.select(text), text, "left_anti")
     rounds = max(1, -(-rest.count() // most))
     some = lambda k: rest if rounds == 1 else rest.filter(F.pmod(F.xxhash64(text), F.lit(rounds)) == k)
-    met = reduce(DataFrame.unionByName, [n.join(F.broadcast(some(k)), F.col("__n").contains(F.col("__t"))).select(text, key) for k in range(rounds)])
-    found = rest.join(met.groupBy(text).agg(F.count("*").alias("n"), F.min(key).alias("any")), text, "left")
+    met = reduce(DataFrame.unionByName, [n.join(F.broadcast(some(k)), F.col("__n").contains(F.col("__t"))).select(text, key, "__name") for k in range(rounds)])
+    # the first names only are kept before they are gathered
+    at = F.row_number().over(Window.partitionBy(text).orderBy(key))
+    names_of = met.withColumn("__at", at).filter(F.col("__at") <= told).groupBy(text).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__name"))), lambda x: x["__name"]).alias("__told"))
+    found = rest.join(met.groupBy(text).agg(F.count("*").alias("n"), F.min(key).alias("any")), text, "left").join(names_of, text, "left")
     status = F.when(F.col("n").isNull(), "absent").when(F.col("n") == 1, "unique").otherwise("ambiguous")
-    return exact.select(text, "status", "id").unionByName(found.select(text, status.alias("status"), F.when(F.col("n") == 1, F.col("any")).alias("id")))
+    others = found.select(text, status.alias("status"), F.when(F.col("n") == 1, F.col("any")).alias("id"), F.when(F.col("n") > 1, F.col("__told")).alias("candidates"))
+    return exact.select(text, "status", "id", F.lit(None).cast("array<string>").alias("candidates")).unionByName(others)
 
 
 def search_absent(data: DataFrame, model: DataFrame, queries: DataFrame, limit: int, key: str = "id", name: str = "name", text: str = "text") -> DataFrame:

@@ -31,26 +31,39 @@ def composite(metrics: DataFrame, weights: DataFrame, lower_better: list[str], k
     return got.withColumn("rank", rank.cast("bigint"))
 
 
-def response_grid(metrics: DataFrame, x: str, y: str, how: str = "max") -> DataFrame:
-    """(x, y, z) over all values of both axes; z is the best or the mean, null where nothing was run."""
-    cells = metrics.groupBy(x, y).agg((F.max if how == "max" else F.avg)("value").alias("z"))
+def response_grid(metrics: DataFrame, x: str, y: str, how: str = "best", lower: bool = False) -> DataFrame:
+    """(x, y, z) over all values of both axes; z is the best or the mean, null where nothing was run. lower: less is better."""
+    best = F.min if lower else F.max
+    cells = metrics.groupBy(x, y).agg((best if how == "best" else F.avg)("value").alias("z"))
     return metrics.select(x).distinct().crossJoin(metrics.select(y).distinct()).join(cells, [x, y], "left")
 
 
-def optimum(cells: DataFrame, x: str, y: str) -> DataFrame:
+def optimum(cells: DataFrame, x: str, y: str, lower: bool = False) -> DataFrame:
     """The best cell and whether it lies on the edge of an axis with more than two values; ties to the smaller axes' values."""
-    best = cells.filter("z is not null").orderBy(F.desc("z"), x, y).limit(1)
+    best = cells.filter("z is not null").orderBy(F.asc("z") if lower else F.desc("z"), x, y).limit(1)
     ends = cells.agg(*[f(c).alias(f"{n}_{k}") for k, c in (("x", x), ("y", y)) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count_distinct))])
     edge = lambda k, c: (F.col(f"n_{k}") > 2) & ((F.col(c) == F.col(f"lo_{k}")) | (F.col(c) == F.col(f"hi_{k}")))
     return best.crossJoin(ends).select(x, y, "z", (edge("x", x) | edge("y", y)).alias("on_edge"))
 
 
-def comparison(metrics: DataFrame, row: str, col: str, cols: list[str]) -> DataFrame:
-    """One row per model with a column per combination, and the best combination if values differ."""
+def comparison(metrics: DataFrame, row: str, col: str, cols: list[str], lower: bool = False) -> DataFrame:
+    """One row per model with a column per combination, and the best combination if values differ; lower: less is better."""
     wide = metrics.groupBy(row).pivot(col, cols).agg(F.first("value"))
-    best = F.array_max(F.array(*[F.struct(F.col(f"`{c}`").alias("v"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(cols)]))
-    low = F.least(*[F.col(f"`{c}`") for c in cols])
-    return wide.withColumn("best", F.when(best["v"] != low, best["c"]))
+    value = lambda c: -F.col(f"`{c}`") if lower else F.col(f"`{c}`")
+    best = F.array_max(F.array(*[F.struct(value(c).alias("v"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(cols)]))
+    worst = F.least(*[value(c) for c in cols])
+    return wide.withColumn("best", F.when(best["v"] != worst, best["c"]))
+
+
+def best_on_average(wide: DataFrame, cols: list[str], lower: bool = False) -> DataFrame:
+    """(combination, mean, complete, best): means of a comparison's columns; the best is sought among those that every model has, ties to the first."""
+    counts = wide.agg(F.count("*").alias("__rows"), *[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(cols)], *[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cols)])
+    each = F.array(*[F.struct(F.lit(c).alias("combination"), F.lit(i).alias("at"), F.col(f"m{i}").alias("mean"), (F.col(f"n{i}") == F.col("__rows")).alias("complete")) for i, c in enumerate(cols)])
+    rows = counts.select(F.explode(each).alias("x")).select("x.*")
+    # a row per combination: a stated, small set
+    order = Window.partitionBy("complete").orderBy(F.asc_nulls_last("mean") if lower else F.desc_nulls_last("mean"), "at")
+    best = F.col("complete") & F.col("mean").isNotNull() & (F.row_number().over(order) == 1)
+    return rows.select("combination", "mean", "complete", best.alias("best"))
 
 
 def varying_axes(configs: DataFrame, axes: list[str]) -> DataFrame:
@@ -94,3 +107,20 @@ def pchip(points: DataFrame, key: str, x: str, y: str, at: DataFrame) -> DataFra
     t = (c("ax") - c("x0")) / c("h")
     val = (2 * t**3 - 3 * t**2 + 1) * c("y0") + (t**3 - 2 * t**2 + t) * c("h") * c("m0") + (-2 * t**3 + 3 * t**2) * c("y1") + (t**3 - t**2) * c("h") * c("m1")
     return got.select(key, c("ax").alias(x), F.coalesce(val, c("y0")).alias(y))
+
+
+def fill_grid(cells: DataFrame, x: str, y: str, z: str = "z") -> DataFrame:
+    """(x, y, z, filled): holes of a response grid by monotone cubic interpolation along x within each y, what is left along y within each x.
+
+    Cells are (x, y, z) with a null z for a hole. Outside the known range of both its row and its column a hole stays one.
+    """
+    for key, along in ((y, x), (x, y)):
+        holes = cells.filter(F.col(z).isNull()).select(key, along)
+        # a single known point gives no curve
+        known = cells.filter(F.col(z).isNotNull())
+        some = known.groupBy(key).count().filter("count > 1").select(key)
+        made = pchip(known.join(some, key, "left_semi"), key, along, z, holes.join(some, key, "left_semi")).withColumnRenamed(z, "__made")
+        if "filled" not in cells.columns:
+            cells = cells.withColumn("filled", F.lit(False))
+        cells = cells.join(made, [key, along], "left").select(x, y, F.coalesce(z, "__made").alias(z), (F.col("filled") | F.col(z).isNull() & F.col("__made").isNotNull()).alias("filled"))
+    return cells

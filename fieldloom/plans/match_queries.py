@@ -144,14 +144,13 @@ def position_names(spark: SparkSession, folder: str) -> DataFrame:
 SHOWN = ["passes", "pass_completion_pct", "field_tilt", "goals_minus_xg", "absolute_width", "direct_speed"]
 
 
-@query(f"""with p as (select s_suppkey k, ({SHOWN})[s_suppkey % 6 + 1] f, case when s_suppkey % 10 <> 0 then round(s_acctbal / 100, 3) end v from supplier) select k, f feature,
+@query(f"""with p as (select s_suppkey k, ({SHOWN})[s_suppkey % 6 + 1] f, case when s_suppkey % 10 <> 0 then round(s_acctbal / 100, 3) + 0.0003 end v from supplier) select k, f feature,
   case when v is null then '–' when f in ('pass_completion_pct', 'field_tilt') then printf('%.1f %%', v * 100) when f = 'goals_minus_xg' then printf('%+.2f', v) when f = 'absolute_width' then printf('%.1f m', v) when f = 'direct_speed' then printf('%.2f m/s', v)
-    when abs(v) < 10 then printf('%.2f', v) else printf('%.1f', v) end shown from p where k % 10 = 0 or v * 1000 % 10 <> 5 and v * 1000 % 100 <> 50""")
+    when abs(v) < 10 then printf('%.2f', v) else printf('%.1f', v) end shown from p""")
 def shown_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Values that end in the middle between two shown ones are left out: engines round them apart."""
+    """All suppliers; values get a share of a thousandth, so that none ends in the middle between two shown ones, which engines round apart."""
     feature = F.get(F.array(*[F.lit(f) for f in SHOWN]), (c("s_suppkey") % 6).cast("int"))
-    rows = table(spark, folder, "supplier").select(c("s_suppkey").alias("k"), feature.alias("feature"), F.when(c("s_suppkey") % 10 != 0, F.round(c("s_acctbal") / 100, 3)).alias("v"))
-    rows = rows.filter("k % 10 = 0 or v * 1000 % 10 <> 5 and v * 1000 % 100 <> 50")
+    rows = table(spark, folder, "supplier").select(c("s_suppkey").alias("k"), feature.alias("feature"), F.when(c("s_suppkey") % 10 != 0, F.round(c("s_acctbal") / 100, 3) + 0.0003).alias("v"))
     return rows.select("k", "feature", fn.format_metric(c("feature"), c("v")).alias("shown"))
 
 

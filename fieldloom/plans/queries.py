@@ -378,6 +378,13 @@ def compare_rankings(spark: SparkSession, folder: str) -> DataFrame:
     return got.withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query(f"""with {OBS}, {_top_sql("partition by league", "1")}, {_top_sql("", "2")} select p.a, p.b, p.r::bigint "rank", q.r::bigint other_rank
+  from (select * from t1 where r <= 10 and a % 20 = 0) p left join (select * from t2 where r <= 10 and a % 20 = 0) q on p.a = q.a and p.b = q.b""")
+def ranks_in_both(spark: SparkSession, folder: str) -> DataFrame:
+    """Each supplier's ten nearest by league with their ranks in the model over all leagues."""
+    return rk.ranks_in_both(*(_supplier_top(spark, folder, g, 10, asked=True) for g in ("league", None)))
+
+
 WORDS = [("red",), ("small",), ("ring",), ("Large Bolt",), ("steel",), ("xyzzy",), ("small ring",)]
 NAMES = "q as (select unnest(['red', 'small', 'ring', 'Large Bolt', 'steel', 'xyzzy', 'small ring']) text)"
 
@@ -414,11 +421,11 @@ def name_search_marked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""with q as (select distinct c_name text from customer where c_custkey % 10 = 0 union all select 'Customer#00000000' union all select 'nobody'), m as (select text, min(case when lower(c_name) = lower(text) then c_custkey end) e, count(c_custkey) n, min(c_custkey) a
-  from q left join customer on contains(lower(c_name), lower(text)) group by text) select text, case when n = 0 then 'absent' when e is not null then 'exact' when n = 1 then 'unique' else 'ambiguous' end status, case when e is not null or n = 1 then coalesce(e, a) end id from m""")
+  , list(c_name order by c_custkey)[1:10] told from q left join customer on contains(lower(c_name), lower(text)) group by text) select text, case when e is null and n > 1 then array_to_string(told, ',') end candidates, case when n = 0 then 'absent' when e is not null then 'exact' when n = 1 then 'unique' else 'ambiguous' end status, case when e is not null or n = 1 then coalesce(e, a) end id from m""")
 def resolve_names(spark: SparkSession, folder: str) -> DataFrame:
     cu = table(spark, folder, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"))
     asked = cu.filter("id % 10 = 0").select(c("name").alias("text")).unionByName(spark.createDataFrame([("Customer#00000000",), ("nobody",)], "text string"))
-    return rk.resolve(cu, asked)
+    return rk.resolve(cu, asked).withColumn("candidates", F.array_join("candidates", ","))
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
@@ -527,6 +534,51 @@ def comparison_pivot(spark: SparkSession, folder: str) -> DataFrame:
     return sw.comparison(m, "combination", "entity", ["F", "O", "P"]).select("combination", *[F.round(k, 4).alias(k) for k in "FOP"], "best")
 
 
+LOWER_CELLS = f"{METRICS}, x as (select yr, pr, min(\"value\") z from l where metric = 'asymmetry' group by all)"
+
+
+def _lower(spark: SparkSession, folder: str) -> DataFrame:
+    return _metrics(spark, folder).filter("metric = 'asymmetry'")
+
+
+@query(f"with {LOWER_CELLS} select yr, pr, round(z, 4) z, (yr = (select min(yr) from x) or yr = (select max(yr) from x) or pr = (select min(pr) from x) or pr = (select max(pr) from x)) on_edge from x order by z, yr, pr limit 1")
+def lower_optimum(spark: SparkSession, folder: str) -> DataFrame:
+    """The best cell of a metric of which less is better."""
+    return sw.optimum(sw.response_grid(_lower(spark, folder), "yr", "pr", lower=True), "yr", "pr", lower=True).withColumn("z", F.round("z", 4))
+
+
+@query(f"""with {METRICS}, p as (select combination, max("value") filter (entity = 'F') f, max("value") filter (entity = 'O') o, max("value") filter (entity = 'P') p from l where metric = 'asymmetry' group by combination)
+  select combination, round(f, 4) "F", round(o, 4) "O", round(p, 4) "P", case when greatest(f, o, p) <> least(f, o, p) then case least(f, o, p) when f then 'F' when o then 'O' else 'P' end end best from p""")
+def lower_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    wide = sw.comparison(_lower(spark, folder), "combination", "entity", ["F", "O", "P"], lower=True)
+    return wide.select("combination", *[F.round(k, 4).alias(k) for k in "FOP"], "best")
+
+
+@query(f"""with {METRICS}, n as (select count(distinct combination) n from l where metric = 'asymmetry'), mm as (select entity combination, avg("value") mean, count(*) = any_value(n) complete from l, n where metric = 'asymmetry' group by entity)
+  select combination, round(mean, 6) mean, complete, complete and mean = (select min(mean) from mm where complete) best from mm""")
+def best_on_average(spark: SparkSession, folder: str) -> DataFrame:
+    wide = sw.comparison(_lower(spark, folder), "combination", "entity", ["F", "O", "P"], lower=True)
+    return sw.best_on_average(wide, ["F", "O", "P"], lower=True).withColumn("mean", F.round("mean", 6))
+
+
+@query()
+def filled_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean prices by year and priority with a third of the cells taken out, filled along years and then along priorities."""
+    cells = sw.response_grid(_metrics(spark, folder).filter("metric = 'mrr'").withColumn("yr", c("yr").cast("int")).withColumn("pr", F.ascii("pr").cast("int")), "yr", "pr", "mean")
+    return sw.fill_grid(cells.withColumn("z", F.when((c("yr") + c("pr")) % 3 != 0, c("z"))), "yr", "pr")
+
+
+@query("""with v as (select o_orderkey id, sum(l_quantity)::double q, 10.0::double * count(*) n, round(any_value(o_totalprice)) / 1000 p from orders join lineitem on l_orderkey = o_orderkey group by o_orderkey),
+  d as (select a.id, b.id neighbour, sqrt((a.q - b.q) ** 2 + (a.n - b.n) ** 2 + (a.p - b.p) ** 2) far from v a join v b on a.id <> b.id where a.id % 20 = 0)
+  select id, neighbour, round(far, 4) distance, row_number() over (partition by id order by round(far, 9), neighbour) "rank" from d qualify row_number() over (partition by id order by round(far, 9), neighbour) <= 5""")
+def knn_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest orders by quantity, lines and price, of orders whose key is divisible by 20 against all; pivot cells leave most distances out."""
+    lines = table(spark, folder, "lineitem").groupBy(c("l_orderkey").alias("id")).agg(F.sum("l_quantity").cast("double").alias("q"), (F.lit(10.0) * F.count("*")).alias("n"))
+    price = table(spark, folder, "orders").select(c("o_orderkey").alias("id"), (F.round("o_totalprice") / 1000).cast("double").alias("p"))
+    v = lines.join(price, "id").select("id", F.array("q", "n", "p").alias("x"))
+    return geo.knn(v, v.filter("id % 20 = 0"), 5).withColumn("distance", F.round("distance", 4))
+
+
 # --- operators without SQL: held against numpy in the tests --------------------------------------------------------------
 
 

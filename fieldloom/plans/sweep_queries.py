@@ -51,10 +51,12 @@ def combination_names(spark: SparkSession, folder: str) -> DataFrame:
     return sw.assign_names(old, cf, ["yr", "pr"])
 
 
-@query(f"""with {METRICS} select combination, entity, metric, round(case when yr < '1995' then "value" * 2 else "value" end, 4) "value" from l where yr < '1997'""")
+@query(f"""with {METRICS} select combination, entity, metric, round(case when yr < '1995' then "value" * 2 else "value" end, 4) "value" from l""")
 def accumulated_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows up to 1996 from before; the batch doubles those up to 1994 and adds those from 1997 on."""
     m = _metrics(spark, folder).select("combination", "entity", "metric", "value", "yr")
-    got = tb.accumulate(m.filter("yr < 1997"), m.filter("yr < 1995").withColumn("value", c("value") * 2), ["combination", "entity", "metric"])
+    batch = m.filter("yr < 1995 or yr >= 1997").withColumn("value", F.when(c("yr") < 1995, c("value") * 2).otherwise(c("value")))
+    got = tb.accumulate(m.filter("yr < 1997"), batch, ["combination", "entity", "metric"])
     return got.select("combination", "entity", "metric", F.round("value", 4).alias("value"))
 
 

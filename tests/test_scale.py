@@ -13,7 +13,9 @@ from fieldloom.operators import matrices as mx
 from fieldloom.operators import neighbours as nb
 from fieldloom.operators import phases as ph
 from fieldloom.operators import quantiles as qt
+from fieldloom.operators import ranking as rk
 from fieldloom.operators import ranks as rn
+from fieldloom.operators import sweep as sw
 from fieldloom.operators import transport as tr
 from fieldloom.operators.steps import stored
 
@@ -203,3 +205,41 @@ def test_pruned_neighbours_of_few_rows(spark):
     assert got == [(0, r, r) for r in range(1, 5)]
     direct = sorted((r.id, r["rank"], r.neighbour) for r in geo.knn(df, df.filter("id < 1"), 9).collect())
     assert direct == got == sorted((r.id, r["rank"], r.neighbour) for r in geo.knn(df, df.filter("id < 1"), 9, block_rows=2).collect())
+
+
+def test_grid_is_filled_along_rows_and_then_columns(spark):
+    """A plane with holes: curves through points of a plane stay in it; what no row and no column reaches stays open."""
+    holes = {(1, 1), (2, 1), (0, 0), (4, 2), (3, 3), (3, 0), (3, 1), (3, 2)}
+    cells = [(x, y, None if (x, y) in holes else 2.0 * x + 3.0 * y) for x in range(5) for y in range(5)]
+    got = {(r.x, r.y): (r.z, r.filled) for r in sw.fill_grid(spark.createDataFrame(cells, "x int, y int, z double"), "x", "y").collect()}
+    assert len(got) == 25 and got[0, 0] == (None, False)
+    for (x, y), (z, filled) in got.items():
+        if (x, y) != (0, 0):
+            assert z == pytest.approx(2 * x + 3 * y) and filled == ((x, y) in holes)
+    # at the end of its row, so filled along its column
+    assert got[4, 2][1]
+
+
+def test_less_is_better_where_said(spark):
+    rows = [("m1", "v1", 3.0), ("m1", "v2", 1.0), ("m2", "v1", 2.0), ("m2", "v2", 2.0), ("m3", "v1", 0.5)]
+    df = spark.createDataFrame(rows, "model string, combination string, value double")
+    for lower, want in ((False, {"m1": "v1", "m2": None}), (True, {"m1": "v2", "m2": None})):
+        wide = sw.comparison(df, "model", "combination", ["v1", "v2"], lower)
+        assert {r.model: r.best for r in wide.filter("model != 'm3'").collect()} == want
+        means = {r.combination: (r["mean"], r.complete, r.best) for r in sw.best_on_average(wide, ["v1", "v2"], lower).collect()}
+        assert means == {"v1": (pytest.approx(5.5 / 3), True, True), "v2": (1.5, False, False)}
+    grid = df.withColumn("y", F.lit(1))
+    assert sw.optimum(sw.response_grid(grid, "combination", "y", lower=True), "combination", "y", lower=True).first().z == 0.5
+    assert sw.optimum(sw.response_grid(grid, "combination", "y"), "combination", "y").first().z == 3.0
+
+
+def test_candidates_and_ranks_in_both(spark):
+    names = spark.createDataFrame([(i, f"Anna {i:02}") for i in range(14)] + [(99, "Ánna")], "id bigint, name string")
+    asked = spark.createDataFrame([("anna",), ("anna 1",), ("ANNA 03",), ("nobody",)], "text string")
+    got = {r.text: (r.status, r.id, r.candidates) for r in rk.resolve(names, asked).collect()}
+    assert got == {"anna": ("exact", 99, None), "anna 1": ("ambiguous", None, [f"Anna {i}" for i in range(10, 14)]), "ANNA 03": ("exact", 3, None), "nobody": ("absent", None, None)}
+    many = rk.resolve(names.filter("id < 99"), asked.limit(1)).first()
+    assert many.status == "ambiguous" and many.candidates == [f"Anna {i:02}" for i in range(10)]
+    a = spark.createDataFrame([(1, 2, 1), (1, 3, 2)], "a int, b int, rank int")
+    b = spark.createDataFrame([(1, 3, 1), (1, 4, 2)], "a int, b int, rank int")
+    assert {(r.b, r["rank"], r.other_rank) for r in rk.ranks_in_both(a, b).collect()} == {(2, 1, None), (3, 2, 1)}
