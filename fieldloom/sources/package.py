@@ -6,7 +6,9 @@ give the keys that rows do not hold. `to_bronze` writes events as Parquet, parti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.events import EVENT_DDL
@@ -113,3 +115,43 @@ def discover(spark: SparkSession, root: str, ids: list[int] | None = None, compe
     found = found.unionByName(problem(taken.filter("__n > 1"), "error", "matches", "the match is there more than once"))
     found = found.unionByName(problem(ask.join(matches, "match_id", "left_anti"), "error", "matches", "the match is asked for but not there"))
     return taken.filter("__n = 1").drop("__n"), found
+
+
+def _listed(rows: Column) -> Column:
+    return F.to_json(F.collect_list(rows)).alias("value")
+
+
+def package_files(competitions: DataFrame, matches: DataFrame, events: DataFrame, lineups: DataFrame) -> DataFrame:
+    """(path, value): the files of a package. A match's events are gathered in order of pos; matches are as `read_matches` gives them."""
+    named = lambda key, name, side: F.struct(F.col(f"{side}_team_id").alias(key), F.col(f"{side}_team_name").alias(name))
+    match = F.struct(
+        "match_id", F.col("match_date").cast("string").alias("match_date"), "match_week", F.struct(F.col("competition_stage").alias("name")).alias("competition_stage"),
+        named("home_team_id", "home_team_name", "home").alias("home_team"), named("away_team_id", "away_team_name", "away").alias("away_team"), "home_score", "away_score",
+    )
+    event = F.struct(*[F.col(f"`{c}`") for c in events.columns if c not in ("match_id", "pos")]).alias("e")
+    ordered = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", event))), lambda x: x["e"])).alias("value")
+    path = lambda *parts: F.concat(*[F.lit(p) if p.endswith(("/", ".json")) else F.col(p).cast("string") for p in parts]).alias("path")
+    parts = [
+        competitions.agg(_listed(F.struct(*competitions.columns))).select(F.lit("competitions.json").alias("path"), "value"),
+        matches.groupBy("competition_id", "season_id").agg(_listed(match)).select(path("matches/", "competition_id", "/", "season_id", ".json"), "value"),
+        events.groupBy("match_id").agg(ordered).select(path("events/", "match_id", ".json"), "value"),
+        lineups.groupBy("match_id").agg(_listed(F.struct("team_id", "team_name", "lineup"))).select(path("lineups/", "match_id", ".json"), "value"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Writes (path, value) as files of these names under root. Executors write them aside; the driver then only renames."""
+    spark, aside = files.sparkSession, f"{root}/_writing"
+    files.write.partitionBy("path").text(aside)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(at(aside)):
+        name = folder.getPath().getName()
+        if name.startswith("path="):
+            target = at(f"{root}/{unquote(name.removeprefix('path='))}")
+            fs.mkdirs(target.getParent())
+            for part in fs.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    fs.rename(part.getPath(), target)
+    fs.delete(at(aside), True)
