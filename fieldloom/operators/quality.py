@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -63,3 +64,22 @@ def ingest_report(before: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """One row: new and updated keys of a batch against the table before."""
     old = before.select(key).distinct().withColumn("__o", F.lit(1))
     return batch.select(key).distinct().join(old, key, "left").agg(F.count(F.when(F.col("__o").isNull(), 1)).alias("new"), F.count("__o").alias("updated"))
+
+
+def ingest_items(before: Mapping[str, DataFrame], batch: Mapping[str, DataFrame], keys: Mapping[str, list[str]]) -> DataFrame:
+    """(kind, key, state): each key of the batch once per kind (matches, players, teams, leagues), new or updated.
+
+    A kind that the tables before lack is all new. Keys of several columns are joined by '/', null as the empty string.
+    """
+    def of(df: DataFrame, kind: str) -> DataFrame:
+        return df.select(F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys[kind]]).alias("key")).distinct()
+
+    def told(kind: str) -> DataFrame:
+        now = of(batch[kind], kind)
+        if kind not in before:
+            return now.select(F.lit(kind).alias("kind"), "key", F.lit("new").alias("state"))
+        old = of(before[kind], kind).withColumn("__o", F.lit(1))
+        state = F.when(F.col("__o").isNull(), "new").otherwise("updated")
+        return now.join(old, "key", "left").select(F.lit(kind).alias("kind"), "key", state.alias("state"))
+
+    return reduce(DataFrame.unionByName, [told(kind) for kind in batch])

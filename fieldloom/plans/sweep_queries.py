@@ -72,6 +72,24 @@ def ingest_counts(spark: SparkSession, folder: str) -> DataFrame:
     return dq.ingest_report(cu.filter("c_custkey % 3 != 0"), cu.filter("c_custkey % 2 = 0"), "c_custkey")
 
 
+@query("""
+with o as (select o_orderkey, o_custkey, o_orderpriority, year(o_orderdate) yr from orders),
+k as (
+    select 'matches' kind, o_orderkey::varchar "key", yr from o
+    union all select 'players', o_custkey::varchar, yr from o
+    union all select 'leagues', coalesce(o_orderpriority, '') || '/' || yr, yr from o
+)
+select kind, "key", case when bool_or(yr <= 1996) then 'updated' else 'new' end state
+from k group by kind, "key" having bool_or(yr >= 1996)
+""")
+def ingest_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders up to 1996 are the tables before, those from 1996 on the batch."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("yr"))
+    keys = {"matches": ["o_orderkey"], "players": ["o_custkey"], "leagues": ["o_orderpriority", "yr"]}
+    before, batch = o.filter("yr <= 1996"), o.filter("yr >= 1996")
+    return dq.ingest_items(dict.fromkeys(keys, before), dict.fromkeys(keys, batch), keys)
+
+
 @query("""select c_custkey id, case when c_custkey % 2 = 0 and c_custkey % 3 = 0 then 'ready' when c_custkey % 2 = 0 then 'without_data' when c_custkey % 3 = 0 then 'projectable' else 'unknown' end status from customer""")
 def entity_lookup(spark: SparkSession, folder: str) -> DataFrame:
     ids = table(spark, folder, "customer").select(c("c_custkey").alias("id"))

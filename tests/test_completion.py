@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.operators import quality as dq
 from fieldloom.functions import catalogue as cat
 from fieldloom.functions import scalars as fn
 from fieldloom.operators import artefacts as art
@@ -194,3 +195,13 @@ def test_state_and_structure(spark, tmp_path):
     matches = spark.createDataFrame([(i,) for i in range(1, 5)], "match_id bigint")
     got = {(r.place, r.match_id, r.message) for r in package.validate_structure(spark, f"file://{tmp_path}", matches).collect()}
     assert got == {("events", 2, "the file is no JSON"), ("events", 3, "the file is no list"), ("events", 4, "the file is missing"), ("lineups", 4, "the file is missing")}
+
+
+def test_ingest_items(spark):
+    rows = lambda *v: spark.createDataFrame(list(v), "a bigint, b string")
+    keys = {"matches": ["a"], "leagues": ["a", "b"], "teams": ["b"]}
+    batch = rows((1, "x"), (1, "x"), (2, None), (3, "y"))
+    got = dq.ingest_items({"matches": rows((1, "q"), (9, "q")), "leagues": rows((2, None), (1, "y"))}, dict.fromkeys(keys, batch), keys)
+    want = {("matches", "1", "updated"), ("matches", "2", "new"), ("matches", "3", "new"), ("leagues", "1/x", "new"), ("leagues", "2/", "updated"), ("leagues", "3/y", "new")}
+    assert sorted(map(tuple, got.collect())) == sorted(want | {("teams", "x", "new"), ("teams", "y", "new"), ("teams", "", "new")})
+    assert dq.ingest_items({}, {"matches": rows()}, keys).count() == 0
