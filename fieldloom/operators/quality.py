@@ -13,6 +13,8 @@ from fieldloom.functions.catalogue import POSITIONS
 REQUIRED = {
     "events": ["id", "period", "minute", "type.name", "team.id", "team.name"],
     "lineups": ["team_id", "team_name", "lineup"],
+    "players": ["player_id", "player_name", "positions"],
+    "spells": ["position_id", "position", "from"],
     "matches": ["match_id", "match_date", "home_team_id", "away_team_id", "home_score", "away_score"],
 }
 
@@ -29,6 +31,13 @@ def check_required(df: DataFrame, place: str) -> DataFrame:
     return _told(missing, place, [("error", F.col(p.replace(".", "_")), f"rows lack {p}") for p in paths])
 
 
+def lineup_members(lineups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The players and the spells of line-ups, one row each with their match_id, for `check_required`; spells with their player_id."""
+    players = lineups.select("match_id", F.explode("lineup").alias("p")).select("match_id", "p.*")
+    spells = players.select("match_id", "player_id", F.explode("positions").alias("s")).select("match_id", "player_id", "s.*")
+    return players, spells
+
+
 def validate_events(events: DataFrame) -> DataFrame:
     """events: as read, one row per raw event."""
     x, y = F.get("location", 0), F.get("location", 1)

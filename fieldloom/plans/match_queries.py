@@ -171,6 +171,20 @@ def dq_required(spark: SparkSession, folder: str) -> DataFrame:
     return dq.check_required(md.raw_events(spark, folder), "events")
 
 
+@query(f"""
+with {RAW_SQL}, {LINEUP_SQL}
+select 'error' "level", 'players' place, match_id, count(*) || ' rows lack player_name' message from us where player_id % 13 = 0 group by match_id
+union all
+select 'error', 'spells', match_id, count(*) || ' rows lack position' from sp where player_id % 11 = 0 group by match_id
+""")
+def dq_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every 13th player has lost the name, and the spells of every 11th the position."""
+    players, spells = dq.lineup_members(md.lineups(spark, folder))
+    players = players.withColumn("player_name", F.when(F.col("player_id") % 13 != 0, F.col("player_name")))
+    spells = spells.withColumn("position", F.when(F.col("player_id") % 11 != 0, F.col("position")))
+    return dq.check_required(players, "players").unionByName(dq.check_required(spells, "spells"))
+
+
 @query(f"with {RAW_SQL} {EVENT_SQL}")
 def dq_events(spark: SparkSession, folder: str) -> DataFrame:
     return dq.validate_events(md.raw_events(spark, folder))

@@ -205,3 +205,13 @@ def test_ingest_items(spark):
     want = {("matches", "1", "updated"), ("matches", "2", "new"), ("matches", "3", "new"), ("leagues", "1/x", "new"), ("leagues", "2/", "updated"), ("leagues", "3/y", "new")}
     assert sorted(map(tuple, got.collect())) == sorted(want | {("teams", "x", "new"), ("teams", "y", "new"), ("teams", "", "new")})
     assert dq.ingest_items({}, {"matches": rows()}, keys).count() == 0
+
+
+def test_required_fields_of_players_and_spells(spark):
+    rows = [(1, [("p", 7, [(1, "Goalkeeper", "00:00"), (None, None, "45:00")]), (None, 8, None)]), (2, [("q", 9, [])]), (3, None)]
+    spell = "struct<position_id: int, position: string, from: string>"
+    lineups = spark.createDataFrame(rows, f"match_id bigint, lineup array<struct<player_name: string, player_id: bigint, positions: array<{spell}>>>")
+    players, spells = dq.lineup_members(lineups)
+    told = lambda df, place: sorted((r.match_id, r.message) for r in dq.check_required(df, place).collect())
+    assert told(players, "players") == [(1, "1 rows lack player_name"), (1, "1 rows lack positions")]
+    assert told(spells, "spells") == [(1, "1 rows lack position"), (1, "1 rows lack position_id")]
