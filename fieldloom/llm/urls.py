@@ -2,7 +2,7 @@
 
 Curated rules fit a host and its subdomains, and paths that start with theirs; the longest wins. Where none fits, mined
 rules decide. Each labelled url is a basket of tokens (host parts, path parts, query keys and values, fragment, scheme;
-numbers become #) and its label. Spark's FP-growth finds the frequent baskets; rules `tokens -> label` are pruned by
+numbers become #) and its label. Spark's FP-growth finds the frequent baskets, whatever the number of a url's tokens; rules `tokens -> label` are pruned by
 support, by confidence, by size, and if a rule with fewer tokens says the same with no less confidence. An inverted index holds each
 rule under its rarest token; a url looks up its tokens and checks the rules found there for the rest. The rule of
 the largest confidence, then support, then most tokens decides; without one the default verdict holds.
@@ -61,31 +61,51 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.when(host != "", F.array_distinct(parts)), F.array().cast("array<string>"))
 
 
-def _baskets(labelled: DataFrame, sets: DataFrame, least: float, max_items: int) -> DataFrame:
-    """A row per labelled row: its items, the rarest of the frequent ones at most, and its label."""
+def _items(sets: DataFrame, least: float) -> DataFrame:
+    """(token, item, often): the frequent tokens. Tokens that are in the same urls have the same count and sum of hashes; the smallest of them, the item, stands for all."""
     each = sets.select("tokens", "verdict", "n", F.explode("tokens").alias("token"))
-    # tokens that are in the same urls have the same count and sum of hashes; one of them stands for all
-    known = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.xxhash64("tokens", "verdict").cast("decimal(38,0)")).alias("same")).filter(F.col("n") >= least)
-    items = known.groupBy("n", "same").agg(F.min("token").alias("token")).select("token", F.col("n").alias("often"))
+    known = each.groupBy("token").agg(F.sum("n").alias("often"), F.sum(F.xxhash64("tokens", "verdict").cast("decimal(38,0)")).alias("same")).filter(F.col("often") >= least)
     # frequent tokens are few: at most the tokens of a url / min_support
-    chosen = each.join(F.broadcast(items), "token").groupBy("tokens", "verdict", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("often", "token"))), 1, max_items).alias("own"))
+    return known.select("token", F.min("token").over(Window.partitionBy("often", "same")).alias("item"), "often")
+
+
+def _baskets(labelled: DataFrame, sets: DataFrame, items: DataFrame, max_items: int, max_tokens: int) -> DataFrame:
+    """Rows (items): the frequent items of each labelled row and its label; of more than max_items items, baskets that hold every `max_tokens` of them together.
+
+    The items of a long row are cut into blocks of max_items / max_tokens, rarest first, and each choice of max_tokens blocks is a basket.
+    """
+    each = sets.select("tokens", "verdict", "n", F.explode("tokens").alias("token"))
+    own = F.array_sort(F.collect_list(F.struct("often", "token")))
+    chosen = each.join(F.broadcast(items.filter("token = item").select("token", "often")), "token").groupBy("tokens", "verdict", "n").agg(own.alias("own"))
     chosen = chosen.select("tokens", "verdict", "n", F.transform("own", lambda x: x["token"]).alias("own"))
-    rows = join_groups(labelled.filter(F.size("tokens") > 0), chosen, ["tokens", "verdict"], "n")
-    return rows.select(F.array_append("own", F.concat(F.lit("verdict="), "verdict")).alias("items"))
+    rows = join_groups(labelled.filter(F.size("tokens") > 0), chosen, ["tokens", "verdict"], "n").select("own", F.concat(F.lit("verdict="), "verdict").alias("told"))
+    short = rows.filter(F.size("own") <= max_items).select(F.array_append("own", F.col("told")).alias("items"))
+    size = max(1, max_items // max_tokens)
+    long = rows.filter(F.size("own") > max_items).withColumn("blocks", F.ceil(F.size("own") / size).cast("int"))
+    long = long.withColumn("last", F.lit(-1)).withColumn("part", F.array().cast("array<string>"))
+    for left in range(max_tokens - 1, -1, -1):
+        # the next block of the choice; as many as are still to be chosen stay behind it
+        long = long.filter(F.col("last") + 1 <= F.col("blocks") - 1 - left).withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.col("blocks") - 1 - left)))
+        long = long.withColumn("part", F.concat("part", F.slice("own", F.col("last") * size + 1, F.lit(size))))
+    return short.unionByName(long.select(F.array_append("part", F.col("told")).alias("items")))
 
 
 def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.9, max_tokens: int = 3, max_items: int = 12) -> DataFrame:
-    """Rules from (tokens, verdict) rows: tokens, size, verdict, confidence, support; stored in the shared folder.
+    """Rules of up to max_tokens tokens from (tokens, verdict) rows: tokens, size, verdict, confidence, support; stored in the shared folder.
 
-    FP-growth finds sets of every size, so what it is given is bounded: tokens that are in the same urls are one item, and a url has
-    its `max_items` rarest frequent items, so that it adds 2^max_items sets at most. It proposes token sets; their counts are then taken
-    over all tokens of all labelled urls.
+    FP-growth finds sets of every size, so that a basket of n items may add 2^n. Tokens that are in the same urls are therefore one item, and
+    a url of more than `max_items` items is given in several baskets, so that each set of max_tokens of its items is in one of them. Such a
+    url counts several times, so no frequent set is missed and some others are proposed; the counts of all that is proposed are then taken over
+    all tokens of all labelled urls, and a rule holds for each token that its items stand for.
     """
     steps = Steps(labelled.sparkSession)
     sets = steps.stored(labelled.filter(F.size("tokens") > 0).groupBy("tokens", "verdict").agg(F.count("*").alias("n")), "token-sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    baskets = steps.stored(_baskets(labelled, sets, min_support * total, max_items), "baskets")
-    found = FPGrowth(minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets.filter(F.size("items") <= max_tokens + 1)
+    items = steps.stored(_items(sets, min_support * total), "items")
+    baskets = steps.stored(_baskets(labelled, sets, items, max(max_items, max_tokens), max_tokens), "baskets")
+    # as many baskets as it takes urls, however many baskets there are; counts that rounding may lose are let in
+    least = min(1.0, min_support * total * (1 - 1e-9) / max(1, baskets.count()))
+    found = FPGrowth(minSupport=least, minConfidence=min_confidence).fit(baskets).freqItemsets.filter(F.size("items") <= max_tokens + 1)
     of = F.filter("items", lambda x: x.startswith("verdict="))
     proposed = found.filter((F.size(of) == 1) & (F.size("items") > 1)).select(F.array_sort(F.array_except("items", of)).alias("rule")).distinct()
     proposed = steps.stored(proposed.withColumn("key", F.col("rule")[0]), "proposed")
@@ -99,7 +119,16 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
     keyed = rules.select(F.col("tokens").alias("sub"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
     subsets = rules.select("tokens", "verdict", "confidence", F.explode(F.concat(F.transform("tokens", lambda x: F.array_remove("tokens", x)), F.transform("tokens", lambda x: F.array(x)))).alias("sub")).filter(F.size("sub") < F.size("tokens"))
     worse = subsets.join(keyed, "sub").filter((F.col("verdict") == F.col("v")) & (F.col("c") >= F.col("confidence"))).select("tokens", "verdict").distinct()
-    return rules.join(worse, ["tokens", "verdict"], "left_anti")
+    out = rules.join(worse, ["tokens", "verdict"], "left_anti").withColumns({"left": F.col("tokens"), "tokens": F.array().cast("array<string>")})
+    # each item becomes each of its tokens; two tokens of one item say no more than one
+    alike = items.select("item", F.col("token").alias("own"))
+    for k in range(max_tokens):
+        done, more = out.filter(F.size("left") == 0), out.filter(F.size("left") > 0).withColumn("item", F.col("left")[0])
+        more = more.join(F.broadcast(alike), "item").withColumns({"tokens": F.array_append("tokens", F.col("own")), "left": F.slice("left", 2, max_tokens)})
+        out = more.drop("item", "own") if k == 0 else done.unionByName(more.drop("item", "own"))
+    out = steps.stored(out.select(F.array_sort("tokens").alias("tokens"), "size", "verdict", "confidence", "support"), "mined")
+    steps.drop(items, rules)
+    return out
 
 
 def index_of(rules: DataFrame, labelled: DataFrame) -> DataFrame:

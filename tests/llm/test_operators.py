@@ -417,6 +417,29 @@ def test_mined_rules_against_counts(spark):
     assert {(tuple(sorted(r.tokens)), r.verdict): round(r.confidence, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_mining_keeps_the_common_tokens_of_rich_urls(spark):
+    """Seventeen frequent tokens a url, the labels told by the most common ones, one of which has a twin that goes wherever it goes."""
+    from itertools import combinations
+
+    rng, rows = random.Random(8), []
+    for _ in range(200):
+        tokens = {f"r{k:02}" for k in range(16) if rng.random() < 0.7} | {c for c in "xyz" if rng.random() < 0.9}
+        tokens |= {"twin"} if "x" in tokens else set()
+        rows.append((sorted(tokens), "block" if {"x", "y"} <= tokens and rng.random() < 0.95 else "allow"))
+    assert sum(len(t) - ("twin" in t) > 12 for t, _ in rows) > 100
+    both, alone = Counter(), Counter()
+    for tokens, verdict in rows:
+        for n in (1, 2, 3):
+            for c in combinations(tokens, n):
+                alone[c] += 1
+                both[c, verdict] += 1
+    rules = {(c, v): n / alone[c] for (c, v), n in both.items() if n / alone[c] >= 0.9 and n >= 0.2 * len(rows)}
+    want = {k: conf for k, conf in rules.items() if not any(rules.get((s, k[1]), 0) >= conf for n in range(1, len(k[0])) for s in combinations(k[0], n))}
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.2, min_confidence=0.9).collect()
+    assert {(tuple(r.tokens), r.verdict): round(r.confidence, 9) for r in got} == {k: round(v, 9) for k, v in want.items()} and len(got) == len(want)
+    assert (("x", "y"), "block") in want and (("twin", "y"), "block") in want
+
+
 def test_mining_is_bounded_where_many_tokens_go_together(spark):
     """Forty tokens in all urls of a site, and thirty that each miss one url: sets of all sizes would be 2^70."""
     site = [f"s{k}" for k in range(40)]
