@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Iterable, Iterator
 
@@ -29,6 +31,13 @@ class TwoGenerations:
         return new
 
 
+def freed() -> None:
+    """Workers serve many tasks and stages: what earlier ones have freed goes back to the system, from Arrow's pool and from the C library's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def groups(texts: pa.StringArray, at_once: int = 1 << 22) -> Iterator[pa.StringArray]:
     """Slices of about `at_once` bytes, one text at least. The collector of cycles rests while one is worked on: none are made."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))

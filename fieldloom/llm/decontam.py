@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.llm.columns import freed
 from fieldloom.llm.common import LOWER, UPPER, fresh, stored, tidy
 
 #: bytes.translate table: A-Z to a-z; ASCII other than letters and digits to a blank; UTF-8 bytes from 0x80 on stay.
@@ -144,6 +145,7 @@ def _pass(docs: DataFrame, bench: DataFrame, text_col: str, size: int, max_windo
     more, kinds = (OUT.fields, KINDS) if last else ([T.StructField(n, t) for n, t in zip(held, HELD, strict=True)], HELD_KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         matchers = [Matcher(b) for b in blocks_of(sent.value, size, max_window_words)]
         for batch in batches:
             texts = (x.as_py() for x in batch.column(at))

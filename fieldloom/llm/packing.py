@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.columns import TwoGenerations, groups, numbers
+from fieldloom.llm.columns import TwoGenerations, freed, groups, numbers
 from fieldloom.llm.common import stored, tidy
 
 #: The bases are broadcast up to so many tasks of pass one (16 bytes each), and joined by a shuffle beyond.
@@ -139,8 +139,7 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # workers serve several stages: what earlier tasks have freed goes back first
-        pa.default_memory_pool().release_unused()
+        freed()
         enc, part, at = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             row = 0

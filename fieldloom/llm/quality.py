@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.columns import TwoGenerations, groups, numbers
+from fieldloom.llm.columns import TwoGenerations, freed, groups, numbers
 from fieldloom.llm.common import Steps, sha256, text_of, tidy, without
 
 BUCKETS = 1 << 18
@@ -66,6 +66,7 @@ def _counts(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, target, raw): n-gram counts in the good texts of the sample and in all texts. Input: text, good."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         of, sums = Buckets(buckets), np.zeros((2, buckets), dtype=np.int64)
         for batch in batches:
             good, row = pc.equal(batch.column(1), 1).fill_null(False).to_numpy(zero_copy_only=False), 0
@@ -111,6 +112,7 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("log_weight", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         of, ratio = Buckets(buckets), ratios.value
         for batch in batches:
             w = [np.zeros(0)]

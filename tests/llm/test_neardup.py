@@ -70,3 +70,17 @@ def test_comparisons_stay_few_in_a_group_of_middling_similarity(spark, monkeypat
     near = [(a, b) for a in sets for b in sets if b <= a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert got == set(brute_components(near).values()) and len(got) < len(rows)
     assert sum(compared) < 0.15 * len(rows) ** 2 / 2
+
+
+def test_stages_bound_the_batches_of_workers(spark, sf):
+    """A session's batches of ten thousand documents are made smaller by each stage; smaller ones stay."""
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    docs = docs_of(spark, [(1, "a b"), (2, None)])
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+            for _, stage in corpus_pipeline.STAGES[1:2] + corpus_pipeline.STAGES[3:4]:
+                spark.conf.set(corpus_pipeline.BATCH, given)
+                stage(spark, docs, sf)
+                assert spark.conf.get(corpus_pipeline.BATCH) == want
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
