@@ -1,21 +1,22 @@
-"""Near-dedup of texts by the Jaccard similarity of their word shingles: the corpus pipeline's form of the near-duplicate operator.
+"""Near-dedup of texts by the Jaccard similarity of their word shingles: the corpus pipeline's form of the SimHash operator.
 
 Two texts are near copies if their sets of five-word shingles have similarity 0.8 or more; of each component one stays.
-A SimHash radius cannot stand for this: at similarity 0.8 fingerprints differ in about 10 of 64 bits, and covering masks
-for radius 10 are 2,047 tables. So candidates come from MinHash bands; classes, links, components and removal are those of `simhash`.
+Candidates come from SimHash fingerprints of these sets first: all pairs at 2 or fewer of 64 differing bits, found through covering masks as in `simhash`,
+with certainty. A radius cannot reach all near copies: at similarity 0.8 fingerprints differ in about 10 bits, and covering masks
+for radius 10 are 2,047 tables. So MinHash bands add the candidates that fingerprints leave out; classes, components and removal are those of `simhash`.
 
-Candidates are the texts that share a band of a MinHash signature: 120 bands of 12 values, so that two texts of
+The bands' candidates are the texts that share a band of a MinHash signature: 120 bands of 12 values, so that two texts of
 similarity 0.8 meet with probability 1 - (1 - 0.8^12)^120 = 0.9998, of 0.85 with 0.99999999, but of 0.5 with 0.03 only: texts that are alike
 without being near copies would otherwise meet in one bucket in great numbers. Every link is then confirmed on
-the whole shingle sets (of 64-bit hashes); signatures decide nothing.
+the whole shingle sets (of 64-bit hashes); fingerprints and signatures decide nothing. A word that is within one bit of two fingerprints is a bucket like a band.
 
 Rows of one shingle set are one class; only classes are compared. The smallest class of a bucket is its hub. First every class is compared with
 the smallest of its hubs, then with those of its other hubs that are still in another component. What is linked by then needs no pair. A class that is in another
 component than the hub is compared with the others of its bucket that are in another component than itself, unless the sizes, the triangle inequality of the Jaccard distance, or a sketch of 1,472 one-bit
 MinHash values rule the pair out: the sketch lets through all that differ in at most five standard deviations more bits than pairs at the bound do on
-average, so that of pairs at exactly 0.8 about one in a million is passed over, and fewer of more similar ones. A pair that shares several bands is compared once.
+average, so that of pairs at exactly 0.8 about one in a million is passed over, and fewer of more similar ones. A pair that shares several buckets is compared once.
 
-Only texts that stand for a class which shares a band are shuffled, once; the others stay where they are.
+Only texts that stand for a class which shares a bucket are shuffled, once; the others stay where they are.
 
 Defined results: null and empty texts and those of white space have no words and are one class, like any other; a text of fewer than five
 words is one shingle. Repeated rows are of one class, and each counts. The smallest id of a group stays, with all its
@@ -34,9 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldloom.llm.columns import freed
 from fieldloom.llm.common import ASCII_LOWER, KeyFilter, Steps, join_groups, sha256, text_of, tidy, without
 from fieldloom.llm.components import components
-from fieldloom.llm.simhash import grouped
+from fieldloom.llm.simhash import grouped, meetings, of_hashes
 
 BANDS, ROWS = 120, 12
 #: an odd number by which the words' hashes of a shingle are told apart by place, and one that mixes the sums
@@ -93,19 +95,20 @@ class Signature:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """(id, digest, fp, bands) per row of docs: fp is a 64-bit hash of the shingle set."""
+    """(id, digest, fp, sim, bands) per row of docs: fp is a 64-bit hash of the shingle set, sim its SimHash fingerprint."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), sha256(text_of(text_col)).alias("digest"))
-    schema = T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         of, bands = Shingles(k), Signature()
         for batch in batches:
-            fps, keys = np.zeros(len(batch), dtype=np.uint64), np.zeros((len(batch), BANDS), dtype=np.int64)
+            (fps, sims), keys = np.zeros((2, len(batch)), dtype=np.uint64), np.zeros((len(batch), BANDS), dtype=np.int64)
             for i, t in enumerate(batch.column(0)):
                 s = of(t.as_py())
-                fps[i], keys[i] = xxhash.xxh3_64_intdigest(s.tobytes()), bands(s)
+                fps[i], sims[i], keys[i] = xxhash.xxh3_64_intdigest(s.tobytes()), of_hashes(s.byteswap().tobytes()), bands(s)
             at = pa.array(np.arange(len(batch) + 1) * BANDS, type=pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64)), pa.array(sims.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -118,6 +121,7 @@ def _shingled(texts: DataFrame, k: int) -> DataFrame:
     """(fp, n, s) of (fp, text): size and hashes of the set; one row per fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         of = Shingles(k)
         for batch in batches:
             sets, start, size = [], 0, 0
@@ -135,6 +139,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, steps: Steps) -> DataFrame:
     """(a, b, common, total) of distinct pairs (a, b): sizes of the intersection and the union; a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         for batch in batches:
             common, total = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
             for i, sides in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
@@ -165,6 +170,7 @@ def _sketched(sets: DataFrame) -> DataFrame:
     names = [f"k{w}" for w in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        freed()
         of = Signature(64 * SKETCH, 1, 43)
         for batch in batches:
             bits = np.stack([of.least(np.frombuffer(s.as_buffer(), dtype=np.uint64)) & np.uint32(1) for s in batch.column(1)]) if len(batch) else np.zeros((0, 64 * SKETCH))
@@ -180,6 +186,19 @@ def most_apart(least: float) -> int:
     return int(n * p + 5 * (n * p * (1 - p)) ** 0.5)
 
 
+def _keys(classes: DataFrame, steps: Steps) -> DataFrame:
+    """(fp, key): the buckets of each class of classes (fp, sim, bands): the words near its fingerprint, in a written table, and its bands."""
+    words = meetings(classes.select(F.col("sim").alias("fp")).distinct()).filter("word != fp").groupBy("fp").agg(F.collect_list("word").alias("words"))
+    sizes = classes.groupBy("sim").agg(F.count("*").alias("__size"))
+    near = steps.stored(sizes.join(words.withColumnRenamed("fp", "sim").hint("merge"), "sim"), "near-words")
+    others = join_groups(classes.select("fp", "sim"), near, ["sim"], "__size").select("fp", F.explode("words").alias("word"))
+    # classes of one fingerprint meet on it, whether or not others are near
+    met = classes.select("fp", F.col("sim").alias("word")).unionByName(others)
+    met = steps.stored(met.select("fp", F.xxhash64(F.lit("simhash"), "word").alias("key")), "words")
+    steps.drop(near)
+    return met.unionByName(classes.select("fp", F.explode("bands").alias("key")))
+
+
 def _shared(keys: DataFrame, steps: Steps) -> DataFrame:
     """(key, fp, hub): the rows of keys (fp, key) that share their key, with the smallest fp of that key; a written table."""
     hubs = steps.stored(keys.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("hi"), F.count("*").alias("__size")).filter("hub != hi").drop("hi"), "hubs")
@@ -228,23 +247,23 @@ def _open(inside: DataFrame, roots: DataFrame, steps: Steps) -> DataFrame:
 def links(classes: DataFrame, texts_of, k: int = 5, least: float = 0.8) -> DataFrame:
     """(a, b): links at similarity `least` or more that join whatever is linked; a written table.
 
-    classes: (fp, bands). texts_of: gives (fp, text), one row per fp, for a written table of fps.
+    classes: (fp, sim, bands). texts_of: gives (fp, text), one row per fp, for a written table of fps.
     """
     steps = Steps(classes.sparkSession)
     alike, far = F.expr(f"common >= {least}D * total"), 1 - least + 1e-9
-    inside = _shared(classes.select("fp", F.explode("bands").alias("key")), steps)
+    inside = _shared(_keys(classes, steps), steps)
     met = steps.stored(inside.select("fp").distinct(), "met")
     sets = steps.stored(_shingled(texts_of(met), k), "shingles")
     first, mixed = _starred(inside, sets, alike, steps)
     steps.drop(inside, met)
-    # what is left is compared by sketches first, and each pair in the smallest band only that it shares
+    # what is left is compared by sketches first, and each pair in the smallest band only that it shares, or in its words if it shares none
     some = mixed.select("fp").distinct()
     sketches = steps.stored(_sketched(sets.join(some.hint("merge"), "fp", "left_semi")).join(classes.select("fp", "bands").hint("merge"), "fp"), "sketches")
     known = mixed.join(sketches.hint("merge"), "fp")
     x, y = (known.select("key", *[F.col(c).alias(f"{c}_{side}") for c in known.columns if c != "key"]) for side in "xy")
     apart = " + ".join(f"bit_count(k{w}_x ^ k{w}_y)" for w in range(SKETCH))
     possible = f"root_x != root_y and not near_x and (near_y or fp_x < fp_y) and coalesce(abs(d_x - d_y) <= {far}D, true) and least(n_x, n_y) >= {least}D * greatest(n_x, n_y)"
-    possible += f" and {apart} <= {most_apart(least)} and array_min(array_intersect(bands_x, bands_y)) = key"
+    possible += f" and {apart} <= {most_apart(least)} and coalesce(array_min(array_intersect(bands_x, bands_y)) = key, true)"
     more = steps.stored(x.join(y.hint("merge"), "key").filter(possible).select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b")).distinct(), "more")
     rest = _measured(more, sets, steps)
     out = steps.stored(first.unionByName(rest.filter(alike).select("a", "b")), "near-links")
@@ -258,7 +277,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     steps = Steps(docs.sparkSession)
     rows = steps.stored(signatures(docs, id_col, text_col, k), "signed")
     # a class is represented by one of its texts: any of them has the same shingles
-    classes = steps.stored(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.min("digest").alias("digest")), "classes")
+    classes = steps.stored(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sim").alias("sim"), F.first("bands").alias("bands"), F.min("digest").alias("digest")), "classes")
 
     def texts_of(met: DataFrame) -> DataFrame:
         wanted = classes.select("fp", "digest").join(met.hint("merge"), "fp", "left_semi").withColumn("h", F.xxhash64("digest"))
@@ -266,7 +285,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
         some = KeyFilter(wanted, "h", met.count()).split(texts, "h", "maybe").filter("maybe").groupBy("digest").agg(F.first("text").alias("text"))
         return some.join(wanted.hint("merge"), "digest").select("fp", "text")
 
-    near = links(classes.select("fp", "bands"), texts_of, k, least)
+    near = links(classes.select("fp", "sim", "bands"), texts_of, k, least)
     found = grouped(rows.select("id", "digest", "fp"), classes.select("fp", "rep", "copies"), components(near))
     lost = steps.stored(found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "digest"), "lost")
     steps.drop(rows, classes)

@@ -39,7 +39,11 @@ def simhash(text: str | None, k: int = 3, seed: int = 42) -> int:
     if not words:
         return 0
     shingles = zip(*(words[i:] for i in range(k)), strict=False) if len(words) >= k else [words]
-    digest = b"".join([xxhash.xxh64_digest(b" ".join(s), seed) for s in shingles])
+    return of_hashes(b"".join([xxhash.xxh64_digest(b" ".join(s), seed) for s in shingles]))
+
+
+def of_hashes(digest: bytes) -> int:
+    """The fingerprint of shingles' hashes, eight bytes each, the highest first."""
     rows = np.frombuffer(digest, dtype=np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(rows), 65536):
@@ -67,8 +71,8 @@ def covering_masks(radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints at 2 or fewer differing bits that join whatever is linked."""
+def meetings(classes: DataFrame) -> DataFrame:
+    """(fp, word) of the distinct fingerprints that share a bucket: two differ in at most 2 bits if and only if they have a word in common."""
     masks = covering_masks(2)
     # inputs of joins are forced to be shuffled, so that nothing that grows with the data is broadcast at any size
     tables = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("x")).select("fp", "x.*")
@@ -76,7 +80,12 @@ def links(classes: DataFrame) -> DataFrame:
     open_bits = F.element_at(F.array(*[F.lit(~m) for m in masks]), F.col("t") + 1)
     near = tables.join(shared.hint("merge"), ["t", "key"], "left_semi").groupBy("fp").agg(F.bit_or(open_bits).alias("open"))
     flips = F.expr("transform(filter(sequence(0, 63), b -> (shiftright(open, b) & 1L) = 1L), b -> fp ^ shiftleft(1L, b))")
-    words = near.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("word"))
+    return near.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("word"))
+
+
+def links(classes: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints at 2 or fewer differing bits that join whatever is linked."""
+    words = meetings(classes)
     hubs = words.groupBy("word").agg(F.min("fp").alias("hub"), F.max("fp").alias("hi")).filter("hub != hi").select("word", "hub")
     return words.join(hubs.hint("merge"), "word").filter("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 

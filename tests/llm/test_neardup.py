@@ -72,6 +72,28 @@ def test_comparisons_stay_few_in_a_group_of_middling_similarity(spark, monkeypat
     assert sum(compared) < 0.15 * len(rows) ** 2 / 2
 
 
+def test_near_fingerprints_are_candidates_whatever_the_bands(spark):
+    """Bands that no two texts share: pairs within two bits of their fingerprints are still found, and confirmed on whole sets."""
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(12), []
+    for k in range(40):
+        words = [f"{rng.choice(WORDS)}{rng.randrange(90)}" for _ in range(300)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words, "end"])), (3 * k + 2, " ".join(["odd", *words[:20], "odd", *words[21:]]))]
+    docs = docs_of(spark, rows)
+    classes = neardup.signatures(docs).select("id", "fp", "sim", F.array(F.xxhash64("id")).alias("bands")).cache()
+    at = {r.id: r for r in classes.collect()}
+    sets = {i: brute_set(t) for i, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    near = [(at[a].fp, at[b].fp) for a, b in alike if ((at[a].sim ^ at[b].sim) & (2**64 - 1)).bit_count() <= 2]
+    assert 10 < len(near) < len(alike)
+    texts = docs.withColumnRenamed("doc_id", "id").join(classes.select("id", "fp"), "id").select("fp", "text")
+    found = [(r.a, r.b) for r in neardup.links(classes.drop("id"), lambda met: texts.join(met, "fp", "left_semi")).collect()]
+    assert {tuple(sorted(p)) for p in found} <= {tuple(sorted((at[a].fp, at[b].fp))) for a, b in alike}
+    root, want = brute_components(found), brute_components(near)
+    assert all(root.get(a) == root.get(b) is not None for a, b in near) and set(want) <= set(root)
+
+
 def test_stages_bound_the_batches_of_workers(spark, sf):
     """A session's batches of ten thousand documents are made smaller by each stage; smaller ones stay."""
     before = spark.conf.get(corpus_pipeline.BATCH)
