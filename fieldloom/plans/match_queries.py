@@ -150,7 +150,7 @@ SHOWN = ["passes", "pass_completion_pct", "field_tilt", "goals_minus_xg", "absol
 def shown_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """All suppliers; values get a share of a thousandth, so that none ends in the middle between two shown ones, which engines round apart."""
     feature = F.get(F.array(*[F.lit(f) for f in SHOWN]), (c("s_suppkey") % 6).cast("int"))
-    rows = table(spark, folder, "supplier").select(c("s_suppkey").alias("k"), feature.alias("feature"), F.when(c("s_suppkey") % 10 != 0, F.round(c("s_acctbal") / 100, 3) + 0.0003).alias("v"))
+    rows = table(spark, folder, "supplier").select(c("s_suppkey").alias("k"), feature.alias("feature"), F.when(c("s_suppkey") % 10 != 0, fn.round_scaled(c("s_acctbal") / 100, 3) + 0.0003).alias("v"))
     return rows.select("k", "feature", fn.format_metric(c("feature"), c("v")).alias("shown"))
 
 
