@@ -9,6 +9,7 @@ from fieldloom.operators.features import phase_profile, zscore
 from fieldloom.operators.geometry import aggregate_weights, embed_entities, normalized, pair_scores, rff, slim_weights
 from fieldloom.operators.ranking import recommend
 from fieldloom.operators.ranks import with_midrank_pct
+from fieldloom.operators.steps import stored
 
 
 def project_features(obs: DataFrame, frozen: DataFrame, group: str | None, features: list[str]) -> DataFrame:
@@ -65,5 +66,5 @@ def similarity_between_new(new: DataFrame, model: DataFrame, key: str, entity: s
 def recommend_projected(scores: DataFrame, long: DataFrame, new_long: DataFrame, phases: DataFrame, lower_better: list[str], k: int = 10, n: int = 4) -> DataFrame:
     """recommend() for projected entities: they join the display table, and phase percentiles are taken with them included."""
     both = long.select("entity", "feature", "z").unionByName(new_long.select("entity", "feature", "z"))
-    profile = with_midrank_pct(phase_profile(both, phases, "entity", lower_better), ["phase"], "score", "pct").select("entity", "phase", "pct")
+    profile = with_midrank_pct(stored(phase_profile(both, phases, "entity", lower_better), "phase-scores"), ["phase"], "score", "pct").select("entity", "phase", "pct")
     return recommend(scores, both, profile, new_long.select(F.col("entity").alias("a")), k, n)
