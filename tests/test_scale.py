@@ -207,6 +207,29 @@ def test_pruned_neighbours_of_few_rows(spark):
     assert direct == got == sorted((r.id, r["rank"], r.neighbour) for r in geo.knn(df, df.filter("id < 1"), 9, block_rows=2).collect())
 
 
+@pytest.mark.parametrize("kind", ["euclidean", "manhattan", "cosine"])
+def test_neighbours_met_tile_by_tile(spark, kind):
+    """Nine tiles, ids as text, copies across tiles, rows without a distance; only the base, the queries and their lists are written."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(800, 6))
+    x[300:330], x[400:460] = x[300], 0
+    x[700] = np.nan
+    ids = np.array([f"k{i}" for i in range(800)])
+    df = spark.createDataFrame([(str(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id string, x array<double>")
+    report = {}
+    got = nb.knn_pruned(df, df.filter("id like '%5' or id like 'k4%'"), 7, kind, "id", "x", chunk=50, report=report, tile=90)
+    told = {(r.id, r["rank"]): (r.neighbour, r.distance) for r in got.collect()}
+    assert report["tiles"] == 9
+    asked = [i for i, k in enumerate(ids) if k.endswith("5") or k.startswith("k4")]
+    for q in asked:
+        d = geo.block_distances(x[q : q + 1], x, kind)[0]
+        d[[q, 700]] = np.inf
+        order = np.lexsort((ids, d.round(9)))[:7]
+        assert [told[ids[q], r][0] for r in range(1, 8)] == ids[order].tolist()
+        assert [told[ids[q], r][1] for r in range(1, 8)] == pytest.approx(d[order].tolist(), abs=1e-9)
+    assert len(told) == 7 * len(asked)
+
+
 def test_grid_is_filled_along_rows_and_then_columns(spark):
     """A plane with holes: curves through points of a plane stay in it; what no row and no column reaches stays open."""
     holes = {(1, 1), (2, 1), (0, 0), (4, 2), (3, 3), (3, 0), (3, 1), (3, 2)}
