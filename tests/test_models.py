@@ -38,6 +38,22 @@ def test_l1_regression_resists_an_outlier_and_warm_start_gives_the_same(spark):
         assert warm.get((r.r, r.s), 0.0) == pytest.approx(r.w, abs=5e-3)
 
 
+def test_regressions_of_many_rows_are_those_of_each(spark):
+    rng = np.random.default_rng(6)
+    a, y, start = rng.normal(size=(50, 7, 9)), rng.normal(size=(50, 9)), rng.uniform(size=(50, 7))
+    a[3, 5:], start[3, 5:] = 0, 0  # a row with fewer neighbours
+    for w0 in (None, start):
+        own = lambda i: None if w0 is None else w0[i]  # noqa: B023, E731
+        many = geo.nn_elastic_nets(a @ a.transpose(0, 2, 1), (a @ y[:, :, None])[:, :, 0], 0.5, 0.01, start=w0)
+        assert np.abs(many - [geo.nn_elastic_net(a[i].T, y[i], 0.5, 0.01, start=own(i)) for i in range(50)]).max() < 1e-9
+        many = geo.nn_l1_nets(a, y, 0.5, 0.01, start=w0)
+        assert np.abs(many - [geo.nn_l1_net(a[i].T, y[i], 0.5, 0.01, start=own(i)) for i in range(50)]).max() < 1e-6
+    _, df = obs(spark, 60, 4)
+    for kind in ("euclidean", "manhattan"):
+        once, rounds = ({(r.r, r.s): r.w for r in geo.slim_weights(df, "id", "x", 6, 0.5, 0.01, kind, round_bytes=b).collect()} for b in (1 << 30, 4000))
+        assert once and once == pytest.approx(rounds)
+
+
 def test_projection_by_rows_and_by_resampled_masses(spark):
     xm, model = obs(spark, 25, 4)
     xn, new = obs(spark, 10, 4, seed=9, first=100)
