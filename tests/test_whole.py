@@ -40,3 +40,21 @@ def test_pair_divergence_in_blocks_with_missing_rows(spark):
     s, t = (m * (1 - np.eye(40)) for m in want)
     got = geo.pair_divergence(a, b, "id", lambda p, q: p @ q.T, 7).first()
     assert (got.max_abs, got.top) == pytest.approx((np.abs(s - t).max(), np.abs(t).max()))
+
+
+def test_best_pairs_tile_by_tile_take_larger_ids_of_equal_scores(spark):
+    from fieldloom.operators import geometry as geo
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 3)).round(1)
+    x[20:60], x[70] = x[20], 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    asked = df.filter("id % 7 = 0")
+    for left in (df, asked):
+        got = {(r.a, r["rank"]): (r.b, r.score) for r in geo.pair_scores(left, df, "id", lambda a, b: (a @ b.T).round(9), 6, 25).collect()}
+        want = {}
+        for a in (r.id for r in left.collect()):
+            s = (x[a] @ x.T).round(9)
+            best = [b for b in sorted(range(90), key=lambda b: (-s[b], -b)) if b != a and s[b] != 0][:6]
+            want |= {(a, n): (b, pytest.approx(s[b])) for n, b in enumerate(best, 1)}
+        assert got == want
