@@ -58,3 +58,17 @@ def test_best_pairs_tile_by_tile_take_larger_ids_of_equal_scores(spark):
             best = [b for b in sorted(range(90), key=lambda b: (-s[b], -b)) if b != a and s[b] != 0][:6]
             want |= {(a, n): (b, pytest.approx(s[b])) for n, b in enumerate(best, 1)}
         assert got == want
+
+
+def test_generalization_makes_halves_of_the_pool_only(spark, sf, monkeypatch):
+    """With pools of one entity four halves are embedded."""
+    from fieldloom.operators import geometry as geo
+    from fieldloom.operators import phases as ph
+
+    embedded, embed = [], geo.embed_entities
+    told, asked = ph.generalization, []
+    monkeypatch.setattr(geo, "embed_entities", lambda *a: embedded.append(embed(*a)) or embedded[-1])
+    monkeypatch.setattr(ph, "generalization", lambda halves, inside, pool, **more: asked.append(inside) or told(halves, inside, pool, **more))
+    monkeypatch.setattr(ph, "pool_of", lambda inside, pool, seed=7, f=ph.pool_of: f(inside, 1, seed))
+    model_queries.phase_generalization(spark, sf)
+    assert asked[0].count() > 2 and embedded[0].count() == 4
